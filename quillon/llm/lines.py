@@ -109,7 +109,7 @@ def line_postings(docs: DataFrame, min_chars: int) -> DataFrame:
     ).select(F.xxhash64("key").alias("h"), F.hash("key").alias("g"), "doc")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 2, fanout: int = 2) -> DataFrame:
     """``docs`` with the kept lines as ``text`` and the counts ``n_lines`` (before dropping) and ``n_dropped``.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least ``min_chars`` code

@@ -28,6 +28,24 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(spark, folder, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.bpe import decode_documents, encode_documents
+
+    path = word_vocabulary()
+    return decode_documents(encode_documents(documents(spark, sf_dir), path), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.lines import dedup_lines
 
