@@ -52,6 +52,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.topk import exact_topk
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_topk(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.decon import contamination
 
