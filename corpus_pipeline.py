@@ -1,10 +1,72 @@
-"""The corpus pipeline. STAGES is filled in as its operators come."""
+"""The corpus pipeline: raw documents to token ids, in five stages of the operators in ``quillon.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Every stage's result is written to the shared folder and read again. Rows that share a doc_id are one document in stages
+that drop documents: they stay or go together.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm._store import documents, materialise
+from quillon.llm.bpe import decode_documents, encode_documents
+from quillon.llm.decon import decontaminate
+from quillon.llm.lines import dedup_lines
+from quillon.llm.minhash import near_duplicates
+from quillon.llm.toxicity import toxicity
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(F.col("toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Frequent lines stay in one document only; n_chars is that of the text that is left."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group stays."""
+    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.where("n_items = 0").select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: the ids of every text, and the digest of what they decode to."""
+    coded = decode_documents(encode_documents(docs, VOCABULARY), VOCABULARY)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", to_tokens),
+]
+
+#: The first stage learns a model, which SQL can't express; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
