@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quillon import plans
+from quillon.operators import queries as operator_queries
+from quillon.sources import facts
+from quillon.sources.roles import FACTS_SQL
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return plans.run(spark, name, facts(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """Monthly sales per company with growth and acceleration."""
+    return _planned(spark, sf_dir, "growth_monthly")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: partial(_planned, name=name) for name in plans.PLANS} | operator_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: plans.duckdb_sql(name, FACTS_SQL) for name in plans.PLANS} | operator_queries.ORACLE

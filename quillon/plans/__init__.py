@@ -1 +1,19 @@
+"""Plans over role-bound facts. ``run`` applies one to any DataFrame that ``sources.bind_roles`` made."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.plans import aggregates, research, series
+from quillon.plans.dialect import render
+
+PLANS: dict[str, str] = aggregates.PLANS | series.PLANS | research.PLANS
+
+
+def run(spark: SparkSession, name: str, facts: DataFrame) -> DataFrame:
+    return spark.sql(render(PLANS[name], 0), f=facts)
+
+
+def duckdb_sql(name: str, facts_sql: str) -> str:
+    body = render(PLANS[name], 1).replace("{f}", "f").strip()
+    return f"WITH {facts_sql}, {body[5:]}" if body.startswith("WITH ") else f"WITH {facts_sql} {body}"
