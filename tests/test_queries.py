@@ -68,7 +68,7 @@ def test_fuzzy_and_sweep(spark, sf):
 def test_collections_clamp(spark):
     from quillon.operators.schedule import expected_collections
 
-    df = spark.sql("SELECT DATE '2024-01-31' AS start, DATE '2024-04-30' AS end, 1 AS months")
+    df = spark.sql("SELECT DATE '2024-01-31' AS start, DATE '2024-04-29' AS end, 1 AS months")
     assert [str(r.due) for r in expected_collections(df, "start", "end", "months").orderBy("period").collect()] == ["2024-01-31", "2024-02-29", "2024-03-31"]
 
 
