@@ -36,9 +36,9 @@ def fit_scale(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * x + b)
-        g = np.array([((p - y) * x).sum() + 1e-2 * (a - 1), (p - y).sum()])
+        g = np.array([((p - y) * x).sum() + 0.1 * (a - 1), (p - y).sum() + 1e-2 * b])
         w = np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
+        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
         move = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a - move[0], b - move[1]
+        a, b = float(np.clip(a - move[0], 0.05, 20)), float(np.clip(b - move[1], -40, 40))
     return float(a), float(b)

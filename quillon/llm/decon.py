@@ -155,6 +155,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage
     found = found.withColumnsRenamed({"doc_id": "__id", "h": "__h"})
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
     names = [c for c in docs.columns if c not in ("n_items", "worst", "item_ids")]
-    return docs.join(found.hint("shuffle_hash"), on, "left").select(
+    return docs.select(*names).join(found.hint("shuffle_hash"), on, "left").select(
         *names, F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("worst", F.lit(0.0)).alias("worst"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids")
     )

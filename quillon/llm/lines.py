@@ -98,7 +98,7 @@ class LineRuns:
             top = len(self.levels)
             self.levels = []
             path = self._merge(tables, top)
-        return self.spark.read.parquet(path)  # by its path: a join may then deal it out anew and split hot lines
+        return self.spark.read.schema("h long, g int, n long, last long").parquet(path)  # by its path: a join may then deal it out anew and split hot lines
 
 
 def line_postings(docs: DataFrame, min_chars: int) -> DataFrame:

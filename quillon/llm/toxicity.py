@@ -122,16 +122,16 @@ class LabelModel:
             rate1 = (one @ masks + 0.5) / (one.sum() + 1)
             rate0 = (zero @ masks + 1e-3) / (zero.sum() + 1)
             rate1, rate0 = np.clip(rate1, 1e-6, 1 - 1e-6), np.clip(rate0, 1e-6, 1 - 1e-6)
-            rho = np.zeros((VOTERS, VOTERS))
-            for share, rate in ((one, rate1), (zero, rate0)):
-                centred = masks - rate
-                cov = (centred * share[:, None]).T @ centred / max(share.sum(), 1e-9)
-                rho = np.maximum(rho, cov / np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))))
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.clip(rho, 0, 1).sum(axis=1))
-            speak, silent = weight * np.log(rate1 / rate0), weight * np.log((1 - rate1) / (1 - rate0))
+            speak, silent = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
             post = sigmoid(np.log(prior / (1 - prior)) + masks @ speak + (1 - masks) @ silent)
-        return cls(float(prior), speak, silent, rho)
+        rho = np.zeros((VOTERS, VOTERS))
+        for share, rate in ((w * post, rate1), (w * (1 - post), rate0)):
+            centred = masks - rate
+            cov = (centred * share[:, None]).T @ centred / max(share.sum(), 1e-9)
+            rho = np.maximum(rho, cov / np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))))
+        np.fill_diagonal(rho, 0)
+        weight = 1 / (1 + np.clip(rho, 0, 1).sum(axis=1))
+        return cls(float(prior), weight * speak, weight * silent, rho)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ self.speak + (1 - votes) @ self.silent)
