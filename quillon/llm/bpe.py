@@ -100,14 +100,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-BLOCKS = "block string, idx int, word string, ids array<long>, counts array<int>, codes binary"
+#: A word's place: its block in the high bits, its index in the low ones (a block has fewer characters than 2**IDX_BITS).
+IDX_BITS = 28
+BLOCKS = "block long, at long, word string, ids array<long>, counts array<int>, codes binary"
 
 
 def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """BLOCKS: a row per distinct word of each block (idx, word), and a row with the block's documents (ids, counts,
+    """BLOCKS: a row per distinct word of each block (at, word), and a row with the block's documents (ids, counts,
     codes). The indexes fall with the words' frequency, so that the codes pack well."""
     names = [x.split()[0] for x in BLOCKS.split(", ")]
-    types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,7 +122,7 @@ def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
         size = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            block = f"{part}-{number}"
+            block = (part << 16) + number
             all_codes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
             order = np.argsort(-np.bincount(all_codes, minlength=len(index)), kind="stable")
             rank = np.empty(len(index), np.uint32)
@@ -130,11 +132,11 @@ def split_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
                 some = order[a : a + 50_000]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([listed[i] for i in some], pa.string()), *(pa.nulls(n, t) for t in types[3:])],
+                    [pa.array(np.full(n, block)), pa.array((block << IDX_BITS) + np.arange(a, a + n)), pa.array([listed[i] for i in some], pa.string()), *(pa.nulls(n, t) for t in types[3:])],
                     names,
                 )
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([ids], types[3]), pa.array([counts], types[4]), pa.array([_pack(rank[all_codes])], types[5])],
+                [pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([ids], types[3]), pa.array([counts], types[4]), pa.array([_pack(rank[all_codes])], types[5])],
                 names,
             )
 
@@ -163,16 +165,21 @@ def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split_blocks(docs, path, block_chars).write.format("parquet").option("path", at).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
+    kind = "<u2" if vocabulary(path).size <= 2**16 else "<u4"
+    width = int(kind[-1])
 
     @F.pandas_udf("binary")
     def encode(words):
         import pandas as pd
 
-        return pd.Series([np.asarray(x, "<u4").tobytes() for x in vocabulary(path).encode(words.tolist())])
+        return pd.Series([np.asarray(x, kind).tobytes() for x in vocabulary(path).encode(words.tolist())])
 
-    each = blocks.where("word IS NOT NULL").select("block", "idx", "word")
-    table = each.select("word").distinct().withColumn("ids", encode("word"))
-    back = each.join(table.hint("merge"), "word").select(F.col("block").alias("at"), "idx", "ids")
+    # one exchange serves both the distinct words and the join that brings their ids back
+    each = blocks.where("word IS NOT NULL").select("word", "at").repartition(buckets, "word")
+    table = each.groupBy("word").agg(F.min("at").alias("first")).where("first IS NOT NULL").select("word", encode("word").alias("ids"))
+    back = each.join(table.hint("merge"), "word").select(
+        F.shiftright("at", IDX_BITS).alias("of"), F.col("at").bitwiseAND(F.lit(2**IDX_BITS - 1)).cast("int").alias("idx"), "ids"
+    )
     codes = blocks.where("codes IS NOT NULL").select("block", F.col("ids").alias("doc_ids"), "counts", "codes")
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -180,11 +187,11 @@ def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS)
         packed = right.column("ids").to_pylist()
         size = np.zeros(len(packed) + 1, np.int64)
         idx = right.column("idx").to_numpy()
-        size[idx + 1] = [len(x) // 4 for x in packed]
+        size[idx + 1] = [len(x) // width for x in packed]
         starts = np.cumsum(size)
         flat = np.empty(starts[-1], np.int32)
         for i, x in zip(idx, packed, strict=True):
-            flat[starts[i] : starts[i + 1]] = np.frombuffer(x, "<u4")
+            flat[starts[i] : starts[i + 1]] = np.frombuffer(x, kind)
         out: list[pa.Table] = []
         for row in left.to_pylist():
             codes, counts = _unpack(row["codes"]), np.asarray(row["counts"], np.int64)
@@ -197,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS)
         empty = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
         return pa.concat_tables(out) if out else empty
 
-    return codes.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(fill, "doc_id long, ids array<int>")
+    return codes.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(fill, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
