@@ -49,6 +49,8 @@ def read_text_table(spark: SparkSession, path: str, schema: StructType | str | N
     head = _head(spark, path)
     encoding = detect_encoding(head)
     line = head.decode(encoding, "replace").lstrip("﻿").split("\n", 1)[0]
+    if encoding in ("cp949", "euc-kr"):  # Spark reads other character sets of Java only with this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.option("header", True).option("sep", sniff_separator(line)).option("encoding", {"latin-1": "ISO-8859-1", "cp949": "MS949"}.get(encoding, encoding))
     reader = reader.option("mode", "PERMISSIVE" if keep_bad else "DROPMALFORMED").option("recursiveFileLookup", True)
     return (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)

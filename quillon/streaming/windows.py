@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def _totals(events: DataFrame, window: Column, keys: list[str], late: str) -> DataFrame:
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(window.alias("w"), *keys)
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n", F.round("total", 4).alias("total"))
