@@ -7,7 +7,8 @@ components of a signature are negatively correlated, which lowers the variance b
 
 Links are confirmed on whole shingle sets. Equal sets are one class from the start. In each band's bucket, every class is
 first compared with the bucket's smallest one (a star, not all pairs); what the stars leave in different components is
-then compared across components, exhaustively: nothing is capped.
+then compared across components: all pairs whose sizes allow a link and whose signatures agree in as many components as
+linked sets do; nothing is capped.
 
 Defined cases: null and empty texts have no shingles, are linked with nothing and are kept; rows that share a doc_id are
 one vertex; rows with a null doc_id are linked with nothing (component null, kept); columns besides doc_id and text are
@@ -20,13 +21,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._bytes import chunks, mix, shingle_sets
 from quillon.llm._store import materialise
 
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>"
+SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
+#: Bits of each component in the sketch.
+PLANES = 4
 
 
 def super_minhash(h: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -62,7 +65,9 @@ def super_minhash(h: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """SIGNATURE: size and two sums that name the set, and a hash for each band of the SuperMinHash signature."""
+    """SIGNATURE: size and two sums that name the set, a hash for each band of the SuperMinHash signature, and a sketch:
+    the low bits of all components, in ``PLANES`` bit planes of whole longs."""
+    wide = -(-bands * rows // 64)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
@@ -71,9 +76,14 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 h, row = shingle_sets(data, offsets, shingle)
                 n = np.bincount(row, minlength=b - a)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                total = np.concatenate([[0], np.cumsum(mix(h))]).astype(np.uint64)
-                total2 = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))]).astype(np.uint64)
-                sig = super_minhash(h, row, b - a, bands * rows).reshape(b - a, bands, rows)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
+                total2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
+                sig = super_minhash(h, row, b - a, bands * rows)
+                bits = np.zeros((b - a, PLANES, wide * 64), np.uint8)
+                for k in range(PLANES):
+                    bits[:, k, : bands * rows] = (sig >> np.uint64(k)) & np.uint64(1)
+                sketch = np.packbits(bits, axis=2).reshape(b - a, -1).view(np.int64)
+                sig = sig.reshape(b - a, bands, rows)
                 band = np.zeros((b - a, bands), np.uint64)
                 for k in range(rows):
                     band = mix(band * np.uint64(3) + sig[:, :, k])
@@ -82,6 +92,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                         batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)),
                         *(pa.array((t[ends[1:]] - t[ends[:-1]]).view(np.int64)) for t in (total, total2)),
                         pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * PLANES * wide), pa.array(sketch.ravel())),
                     ],
                     names,
                 )
@@ -130,34 +141,52 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def similar_size(n: Column, m: Column, pct: int) -> Column:
+    """Can sets of these sizes be linked? The intersection is at most the smaller, the union at least the larger."""
+    return 100 * F.least(n, m) >= pct * F.greatest(n, m)
+
+
+def similar_sketch(x: str, y: str, components: int, pct: int) -> Column:
+    """Do as many components agree as sets at the threshold have, less five standard deviations? Sets of ``pct`` or more
+    fail this with a probability below 1e-6."""
+    wide = -(-components // 64)
+    likely = pct / 100 + (1 - pct / 100) / 2**PLANES
+    least = components * likely - 5 * (components * likely * (1 - likely)) ** 0.5
+    unlike = [" | ".join(f"({x}[{k * wide + i}] ^ {y}[{k * wide + i}])" for k in range(PLANES)) for i in range(wide)]
+    return F.expr(" + ".join(f"bit_count({u})" for u in unlike)) <= components - least
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
-    Sets of distinct ``shingle``-word shingles are linked where 100 * intersection >= pct * union. With 32 bands of 4
-    rows, a pair at 0.8 shares no bucket with a probability of 5e-8.
+    Sets of distinct ``shingle``-word shingles are linked where 100 * intersection >= pct * union. With 48 bands of 6
+    rows, a pair at 0.8 shares no bucket with a probability of 5e-7. Sets whose sizes differ too much are not compared.
     """
     sig = materialise(signatures(docs, shingle, bands, rows), "signatures")
     real = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    posts = classes.select("rep", F.posexplode("bands").alias("band", "h"))
-    hubs = posts.groupBy("band", "h").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("most > hub").drop("most")
-    shared = materialise(posts.join(hubs, ["band", "h"]).select("band", "h", "hub", "rep"), "shared")
-    stars = materialise(shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    ends = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    posts = classes.select("rep", "n", F.posexplode("bands").alias("band", "h"))
+    hubs = posts.groupBy("band", "h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("most")).where("most > hub.rep").select("band", "h", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = materialise(posts.join(hubs, ["band", "h"]).select("band", "h", "hub", "hub_n", "rep", "n"), "shared")
+    stars = materialise(shared.where("rep != hub").where(similar_size(F.col("hub_n"), F.col("n"), pct)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    ends = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends.hint("shuffle_hash"), "doc_id"), "texts")
     links = materialise(verify(stars, texts, shingle, pct), "links")
     nodes = ends.withColumnRenamed("doc_id", "id")
     labels = components(nodes, links)
 
     # what shares a bucket across components and isn't compared yet
-    member = shared.join(labels.withColumnRenamed("id", "rep"), "rep").withColumnRenamed("comp", "rep_comp")
+    marks = labels.join(classes.select(F.col("rep").alias("id"), "sketch"), "id").toDF("rep", "rep_comp", "sketch")
+    member = shared.join(labels.toDF("rep", "rep_comp"), "rep")
     mixed = member.groupBy("band", "h").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).where("hi > lo").select("band", "h", "lo")
-    member = materialise(member.join(mixed, ["band", "h"]).select("band", "h", "hub", "rep", "rep_comp", "lo"), "mixed")
-    out = member.where("rep_comp != lo").select("band", "h", F.col("rep").alias("x"), F.col("rep_comp").alias("x_comp"))
+    member = member.join(mixed, ["band", "h"]).select("band", "h", "hub", "rep", "n", "lo").join(marks, "rep")
+    member = materialise(member, "mixed")
+    out = member.where("rep_comp != lo").select("band", "h", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("rep_comp").alias("x_comp"), F.col("sketch").alias("x_sketch"))
     pairs = (
         out.join(member, ["band", "h"])
         .where("x_comp != rep_comp AND x != hub AND rep != hub AND (rep_comp = lo OR x < rep)")
+        .where(similar_size(F.col("x_n"), F.col("n"), pct) & similar_sketch("x_sketch", "sketch", bands * rows, pct))
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
         .distinct()
     )
