@@ -31,9 +31,11 @@ def isin_check_digit(body: Column) -> Column:
 
 
 def name_key(x: Column) -> Column:
-    """Lower case, without punctuation, white space and company suffixes."""
-    x = F.regexp_replace(F.lower(F.trim(x)), r"\b(co|ltd|inc|corp|company|limited)\b\.?", "")
-    return F.regexp_replace(x, r"[^0-9a-z]+", "")
+    """Lower case letters and digits of every script, without company forms (Korean ones only at the ends)."""
+    x = F.regexp_replace(F.lower(F.trim(x)), r"^(주식회사|㈜|\(주\))\s*", "")
+    x = F.regexp_replace(x, r"\s*(주식회사|㈜|\(주\)|\(유\)|유한회사|홀딩스)\s*$", "")
+    x = F.regexp_replace(x, r"(?<![\p{L}\p{N}_])(co|ltd|inc|corp|company|limited)(?![\p{L}\p{N}_])\.?", "")
+    return F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}]+", "")
 
 
 def pack_count(x: Column) -> Column:
@@ -51,23 +53,28 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _parts(name: str, ratio: float) -> Column:
+    """Hashes of the distinct strings inside a name, shorter than it and of at least ``ratio`` of its length."""
+    n = F.length(name)
+    low = F.greatest(F.lit(1), F.ceil(n * ratio - 1e-9)).cast("int")
+    of_size = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.substring(F.col(name), i, k)))
+    return F.array_distinct(F.when(low < n, F.flatten(F.transform(F.sequence(low, n - 1), of_size))).otherwise(F.array()))
+
+
 def match_names(left: DataFrame, registry: DataFrame, name: str, key: str, ratio: float = 0.5) -> DataFrame:
     """``left`` with ``matched`` (a ``key`` of the registry) and ``how``: equal normalised names, else the longest
-    registry name inside the name that has at least ``ratio`` of its length. The second step joins on shared word
-    prefixes of three characters, so that only names that can contain each other meet."""
-    reg = registry.select(F.col(key).alias("__key"), name_key(F.col(name)).alias("__reg")).where("length(__reg) > 0")
-    exact = reg.groupBy("__reg").agg(F.min("__key").alias("__exact"))
-    rows = left.withColumn("__name", name_key(F.col(name))).withColumn("__row", F.xxhash64(*left.columns))
-    first = rows.join(exact, F.col("__name") == F.col("__reg"), "left").drop("__reg")
-    rest = first.where(F.col("__exact").isNull() & (F.length("__name") >= 3)).select("__row", "__name").distinct()
-    grams = F.transform(F.sequence(F.lit(1), F.length("__name") - 2), lambda i: F.substring(F.col("__name"), i, F.lit(3)))
-    probes = rest.withColumn("__p", F.explode(F.array_distinct(grams)))
-    heads = reg.where("length(__reg) >= 3").withColumn("__p", F.substring("__reg", 1, 3))
-    inside = probes.join(heads, "__p").where(F.col("__name").contains(F.col("__reg")) & (F.length("__reg") >= ratio * F.length("__name")))
-    best = inside.groupBy("__row").agg(F.max_by("__key", F.struct(F.length("__reg"), F.col("__reg"))).alias("__long"))
-    out = first.join(best, "__row", "left")
+    registry name that contains the name or is inside it, where the shorter has at least ``ratio`` of the longer's
+    length. The second step joins the strings inside the names of one side with the names of the other, both ways, so
+    that only names that contain each other meet, whatever their script and length."""
+    exact = registry.select(F.col(key).alias("__key"), name_key(F.col(name)).alias("__reg")).where("length(__reg) > 0").groupBy("__reg").agg(F.min("__key").alias("__exact"))
+    first = left.withColumn("__name", name_key(F.col(name))).join(exact, F.col("__name") == F.col("__reg"), "left").drop("__reg")
+    rest = first.where(F.col("__exact").isNull() & (F.length("__name") > 0)).select("__name").distinct()
+    inside = rest.withColumn("__p", F.explode(_parts("__name", ratio))).join(exact.withColumn("__p", F.xxhash64("__reg")), "__p").where(F.col("__name").contains(F.col("__reg")))
+    around = exact.withColumn("__p", F.explode(_parts("__reg", ratio))).join(rest.withColumn("__p", F.xxhash64("__name")), "__p").where(F.col("__reg").contains(F.col("__name")))
+    best = inside.unionByName(around).groupBy("__name").agg(F.max_by("__exact", F.struct(F.length("__reg"), F.col("__reg"))).alias("__long"))
+    out = first.join(best, "__name", "left")
     how = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__long").isNotNull(), "contains").otherwise("none")
-    return out.withColumn("matched", F.coalesce("__exact", "__long")).withColumn("how", how).drop("__row", "__name", "__exact", "__long")
+    return out.withColumn("matched", F.coalesce("__exact", "__long")).withColumn("how", how).drop("__name", "__exact", "__long")
 
 
 def keyword_tags(df: DataFrame, column: str, tags: dict[str, list[str]], gate: Column | None = None) -> DataFrame:

@@ -59,6 +59,22 @@ def test_name_matching(spark, sf):
             assert (r.matched, r.how) == (key, "exact" if key % 2 == 0 else "contains")
 
 
+def test_names_of_any_script_length_and_direction(spark):
+    from quillon.operators.text import match_names
+
+    registry = ["㈜삼성전자", "LG", "네이버", "한국전력공사", "SK", "alpha beta gamma", "A", "ab cd", "日本電気", None, "..."]
+    want = {
+        "삼성전자": (0, "exact"), "주식회사 네이버": (2, "exact"), "삼성전자 우": (0, "contains"), "한국전력": (3, "contains"), "lg": (1, "exact"), "SKC": (4, "contains"),
+        "S": (4, "contains"), "beta gamma": (5, "contains"), "alpha": (None, "none"), "a": (6, "exact"), "abcdx": (7, "contains"), "bcd": (7, "contains"), "日本電": (8, "contains"),
+        "현대": (None, "none"), "": (None, "none"), "-": (None, "none"), None: (None, "none"),
+    }
+    left = spark.createDataFrame([(x,) for x in want for _ in (0, 1)], "name string")
+    rows = match_names(left, spark.createDataFrame(list(enumerate(registry)), "id long, name string"), "name", "id").collect()
+    assert len(rows) == 2 * len(want)
+    for r in rows:
+        assert (r.matched, r.how) == want[r.name], r
+
+
 def test_fuzzy_and_sweep(spark, sf):
     assert all(0 <= r.ratio <= 1 for r in catalog.queries()["fuzzy_names"](spark, sf).collect())
     rows = catalog.queries()["currency_sweep"](spark, sf).collect()
