@@ -110,6 +110,14 @@ def unpivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot("brand", ["amt", "qty"], "metric", "value").dropna()
 
 
+def year_pivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``year_pivot`` over every year: a column for each that the table holds, ``undated`` for rows without one."""
+    label = F.coalesce(F.concat(F.lit("y"), F.floor(F.col("ym") / 100).cast("string")), F.lit("undated"))
+    f = facts(spark, sf_dir).select("company", "amt", label.alias("yr"))
+    years = sorted(r.yr for r in f.select("yr").distinct().collect())
+    return f.groupBy("company").pivot("yr", years).agg(F.round(F.sum("amt"), 2))
+
+
 def metric_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     x = F.col("p_retailprice")
@@ -132,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_filters, token_membership, unit_prices, codes, name_matching, fuzzy_names, new_sku_tags, latest_order, customers_without_orders, active_suppliers,
-        asof_orders, overlay_names, master_merge, layout, collections_due, currency_sweep, unpivot_metrics, metric_functions, events_tumbling, events_sliding, events_sessions,
+        asof_orders, overlay_names, master_merge, layout, collections_due, currency_sweep, unpivot_metrics, year_pivot_all, metric_functions, events_tumbling, events_sliding, events_sessions,
     )
 }
 

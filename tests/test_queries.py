@@ -75,6 +75,18 @@ def test_names_of_any_script_length_and_direction(spark):
         assert (r.matched, r.how) == want[r.name], r
 
 
+def test_year_pivot_covers_all_years(spark, sf, duck):
+    sums = "SELECT 'y' || year(l_shipdate), sum(l_extendedprice * (1 - l_discount)) FROM lineitem GROUP BY 1"
+    want = dict(duck.execute(sums).fetchall())
+    wide = catalog.queries()["year_pivot_all"](spark, sf)
+    rows = wide.collect()
+    assert set(wide.columns) == {"company", *want} and len({r.company for r in rows}) == len(rows)
+    for y, total in want.items():
+        assert math.isclose(sum(r[y] or 0 for r in rows), total, rel_tol=1e-6)
+    three = {r.company: r for r in catalog.queries()["year_pivot"](spark, sf).collect()}
+    assert all(math.isclose(r[y] or 0, three[r.company][y] or 0, abs_tol=0.011) for r in rows for y in ("y1996", "y1997", "y1998"))
+
+
 def test_fuzzy_and_sweep(spark, sf):
     assert all(0 <= r.ratio <= 1 for r in catalog.queries()["fuzzy_names"](spark, sf).collect())
     rows = catalog.queries()["currency_sweep"](spark, sf).collect()
