@@ -97,12 +97,23 @@ def collections_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.select("o_orderkey", "period", F.col("due").cast("string").alias("due"), schedule.payout_due(F.col("due")).cast("string").alias("payout"))
 
 
-def currency_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _currency(spark: SparkSession, sf_dir: str, hold: tuple[int, ...]) -> DataFrame:
     daily = table(spark, sf_dir, "orders").groupBy(F.datediff("o_orderdate", F.lit("1995-01-01")).alias("d")).agg(F.avg("o_totalprice").alias("rate"), F.count("*").alias("n"))
     days = daily.select(F.col("d").cast("long").alias("day"), F.col("n").cast("double").alias("inflow"), "rate", F.pmod(F.col("d") * 37, F.lit(100)).cast("double").alias("score"))
     grid = spark.range(3).select((F.col("id") * 20 + 30).cast("double").alias("weak")).join(spark.range(3).select((F.col("id") * 20 + 50).cast("double").alias("strong")))
-    grid = grid.withColumn("scenario", F.concat_ws("/", F.col("weak").cast("string"), F.col("strong").cast("string")))
-    return schedule.pool_simulation(days, grid).select("scenario", *(F.round(c, 4).alias(c) for c in ("sold", "avg_rate", "forced", "left")))
+    if hold:
+        grid = grid.withColumn("hold", F.explode(F.array(*map(F.lit, hold))))
+    grid = grid.withColumn("scenario", F.concat_ws("/", *(F.col(c).cast("string") for c in grid.columns)))
+    return schedule.pool_simulation(days, grid).select("scenario", *(F.round(c, 4).alias(c) for c in ("sold", "avg_rate", "forced", "cleared", "left")))
+
+
+def currency_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _currency(spark, sf_dir, ())
+
+
+def currency_hold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep over limits of holding as well."""
+    return _currency(spark, sf_dir, (90, 120, 150, 180, 240, 300, 365))
 
 
 def unpivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_filters, token_membership, unit_prices, codes, name_matching, fuzzy_names, new_sku_tags, latest_order, customers_without_orders, active_suppliers,
-        asof_orders, overlay_names, master_merge, layout, collections_due, currency_sweep, unpivot_metrics, year_pivot_all, metric_functions, events_tumbling, events_sliding, events_sessions,
+        asof_orders, overlay_names, master_merge, layout, collections_due, currency_sweep, currency_hold_sweep, unpivot_metrics, year_pivot_all, metric_functions, events_tumbling, events_sliding, events_sessions,
     )
 }
 

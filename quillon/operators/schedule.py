@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,28 +29,37 @@ def stage(due: Column, invoiced: Column, paid: Column, today: Column, days: int
 
 
 def pool_simulation(days: DataFrame, scenarios: DataFrame, max_age: int = 30) -> DataFrame:
-    """A first-in-first-out pool of currency per scenario: inflow joins it each day, the share that the score asks for is
-    sold, and what is older than ``max_age`` days is sold anyway. ``days``: day long, inflow double, rate double, score
-    double (bounded by the calendar); ``scenarios``: scenario string, weak double, strong double."""
+    """A first-in-first-out pool of currency per scenario: inflow joins it each day, what is ``hold`` days old is sold, then
+    the share of the rest that the score asks for, and what remains is cleared at the last day's rate. ``days``: day long,
+    inflow double, rate double, score double (bounded by the calendar); ``scenarios``: scenario string, weak double, strong
+    double, and hold (days) unless it is ``max_age`` for all. ``sold`` and ``avg_rate`` hold all sales; ``forced`` those by
+    age and ``cleared`` those at the end are parts of ``sold``."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
-        pool: list[list[float]] = []
-        sold = got = forced = 0.0
+        pool: deque[list[float]] = deque()
+        got = forced = wanted = cleared = 0.0
         for r in pdf.itertuples():
             pool.append([r.day, r.inflow])
+            old = 0.0
+            while pool and r.day - pool[0][0] >= r.hold:
+                old += pool.popleft()[1]
             share = 1.0 if r.score >= r.strong else 0.5 if r.score >= r.weak else 0.0
-            left = share * sum(x[1] for x in pool)
-            while pool and (left > 1e-9 or r.day - pool[0][0] >= max_age):
-                old = r.day - pool[0][0] >= max_age
-                part = pool[0][1] if old else min(pool[0][1], left)
-                sold, got = sold + part, got + part * r.rate
-                forced += part if old and left <= 1e-9 else 0.0
-                left -= min(part, left)
+            left = asked = share * sum(x[1] for x in pool) if share else 0.0
+            while pool and left > 1e-9:
+                part = min(pool[0][1], left)
+                left -= part
                 pool[0][1] -= part
                 if pool[0][1] <= 1e-9:
-                    pool.pop(0)
-        return pd.DataFrame({"scenario": pdf["scenario"].iloc[:1], "sold": sold, "avg_rate": got / sold if sold else None, "forced": forced, "left": sum(x[1] for x in pool)})
+                    pool.popleft()
+            forced, wanted, got = forced + old, wanted + asked, got + (old + asked) * r.rate
+        if len(pdf):
+            cleared = sum(x[1] for x in pool)
+            got += cleared * pdf["rate"].iloc[-1]
+        sold = forced + wanted + cleared
+        return pd.DataFrame({"scenario": pdf["scenario"].iloc[:1], "sold": sold, "avg_rate": got / sold if sold else None, "forced": forced, "cleared": cleared, "left": 0.0})
 
     grid = scenarios.where("strong >= weak")
-    return days.join(F.broadcast(grid)).groupBy("scenario").applyInPandas(fold, "scenario string, sold double, avg_rate double, forced double, left double")
+    if "hold" not in grid.columns:
+        grid = grid.withColumn("hold", F.lit(max_age))
+    return days.join(F.broadcast(grid)).groupBy("scenario").applyInPandas(fold, "scenario string, sold double, avg_rate double, forced double, cleared double, left double")

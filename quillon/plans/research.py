@@ -8,6 +8,18 @@ _FWD = (
     + """, p AS (SELECT code, MONTHNO(ym) AS mn, sum(amt) / nullif(sum(qty), 0) AS px FROM {f} GROUP BY code, MONTHNO(ym)),
     x AS (SELECT y.code, y.sector, y.ym, y.mn, y.yoy, 100 * (n.px / nullif(p.px, 0) - 1) AS fwd FROM y JOIN p ON y.code = p.code AND y.mn = p.mn LEFT JOIN p n ON y.code = n.code AND y.mn + 1 = n.mn)"""
 )
+#: long-short return and turnover (share of all codes whose fifth changed from the month before) by month
+_LS = (
+    _FWD
+    + """, e AS (SELECT ym, PCTL(yoy, 0.2) AS e1, PCTL(yoy, 0.4) AS e2, PCTL(yoy, 0.6) AS e3, PCTL(yoy, 0.8) AS e4, count(*) AS n FROM x WHERE yoy IS NOT NULL GROUP BY ym),
+    b AS (SELECT x.code, x.ym, x.fwd, 1 + CASE WHEN yoy > e1 THEN 1 ELSE 0 END + CASE WHEN yoy > e2 THEN 1 ELSE 0 END + CASE WHEN yoy > e3 THEN 1 ELSE 0 END + CASE WHEN yoy > e4 THEN 1 ELSE 0 END AS q
+          FROM x JOIN e ON x.ym = e.ym WHERE yoy IS NOT NULL AND fwd IS NOT NULL AND n >= 5),
+    d AS (SELECT ym, lag(ym) OVER (ORDER BY ym) AS before FROM (SELECT DISTINCT ym FROM b) t),
+    h AS (SELECT b.ym, b.fwd, b.q, CASE WHEN lag(b.ym) OVER w = d.before AND lag(b.q) OVER w <> b.q THEN 1 ELSE 0 END AS moved FROM b JOIN d ON b.ym = d.ym WINDOW w AS (PARTITION BY b.code ORDER BY b.ym)),
+    k AS (SELECT count(DISTINCT code) AS n_codes FROM b),
+    v AS (SELECT ym, avg(CASE WHEN q = 5 THEN fwd END) - avg(CASE WHEN q = 1 THEN fwd END) AS ls, 1.0 * sum(moved) / max(n_codes) AS turnover FROM h CROSS JOIN k GROUP BY ym),
+    s AS (SELECT ym, ls, turnover, ls - 0.3 * turnover AS net, sum(ls) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING) AS cum, sum(ls - 0.3 * turnover) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING) AS cum_net FROM v)"""
+)
 
 PLANS = {
     # known from the fifth business day after the month's end
@@ -38,6 +50,12 @@ PLANS = {
              b AS (SELECT x.ym, avg(CASE WHEN yoy > e4 THEN fwd END) AS top, avg(CASE WHEN yoy <= e1 THEN fwd END) AS bottom FROM x JOIN e ON x.ym = e.ym WHERE yoy IS NOT NULL AND fwd IS NOT NULL AND n >= 5 GROUP BY x.ym),
              c AS (SELECT ym, top - bottom AS ls, sum(top - bottom) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING) AS cum FROM b)
         SELECT ym, round(ls, 4) AS ls, round(cum, 3) AS cum, round(cum - max(cum) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING), 3) AS drawdown FROM c""",
+    # after costs of 15 basis points each for selling and buying
+    "quintile_backtest_costs": f"WITH {_LS} SELECT ym, round(ls, 4) AS ls, round(turnover, 4) AS turnover, round(net, 4) AS net, round(cum_net, 3) AS cum_net FROM s",
+    "quintile_backtest_summary": f"""
+        WITH {_LS}, z AS (SELECT *, cum - max(cum) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING) AS drawdown FROM s)
+        SELECT count(ls) AS n, round(coalesce(sqrt(12) * avg(ls) / nullif(stddev_samp(ls), 0), 0), 4) AS sharpe, round(coalesce(sqrt(12) * avg(net) / nullif(stddev_samp(net), 0), 0), 4) AS sharpe_net, round(12 * avg(ls), 4) AS annual,
+               round(1.0 * count(CASE WHEN ls > 0 THEN 1 END) / nullif(count(ls), 0), 4) AS hit, round(avg(turnover), 4) AS turnover, round(min(drawdown), 4) AS max_drawdown FROM z""",
     "cross_sectional_ic": f"""
         WITH {_FWD}, u AS (SELECT ym, yoy, fwd FROM x WHERE yoy IS NOT NULL AND fwd IS NOT NULL),
              r AS (SELECT ym, rank() OVER (PARTITION BY ym ORDER BY yoy) + (count(*) OVER (PARTITION BY ym, yoy) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ym ORDER BY fwd) + (count(*) OVER (PARTITION BY ym, fwd) - 1) / 2.0 AS b FROM u)

@@ -93,6 +93,41 @@ def test_fuzzy_and_sweep(spark, sf):
     assert len(rows) == 8 and len({round(r.sold + r.left, 2) for r in rows}) == 1
 
 
+def test_pool_holds_and_clears(spark):
+    from quillon.operators.schedule import pool_simulation
+
+    days = spark.createDataFrame([(0, 100.0, 1.0, 0.0), (1, 100.0, 2.0, 0.0), (2, 0.0, 4.0, 60.0), (3, 0.0, 8.0, 0.0)], "day long, inflow double, rate double, score double")
+    grid = spark.createDataFrame([("a", 50.0, 90.0, 2), ("b", 50.0, 90.0, 9)], "scenario string, weak double, strong double, hold int")
+    got = {r.scenario: (r.sold, r.avg_rate, r.forced, r.cleared, r.left) for r in pool_simulation(days, grid).collect()}
+    # a: 100 by age and half of the rest at 4, the rest by age at 8; b: half at 4, the rest cleared at 8
+    assert got == {"a": (200.0, 5.0, 150.0, 0.0, 0.0), "b": (200.0, 6.0, 0.0, 100.0, 0.0)}
+
+
+def test_hold_sweep(spark, sf):
+    rows = catalog.queries()["currency_hold_sweep"](spark, sf).collect()
+    assert len(rows) == 56 and len({round(r.sold, 2) for r in rows}) == 1 and any(r.cleared > 0 for r in rows)
+
+
+def test_backtest_costs(spark, sf, duck):
+    from quillon.plans import dialect, research
+    from quillon.sources.roles import FACTS_SQL
+
+    sql = dialect.render(f"WITH {FACTS_SQL}, {research._FWD} SELECT code, ym, yoy, fwd FROM x WHERE yoy IS NOT NULL", 1).replace("{f}", "f")
+    x = duck.execute(sql).df()
+    x = x[x.groupby("ym")["yoy"].transform("count") >= 5].copy()
+    x["q"] = x.groupby("ym")["yoy"].transform(lambda s: 1 + sum((s > s.quantile(p)).astype(int) for p in (0.2, 0.4, 0.6, 0.8)))
+    x = x.dropna(subset=["fwd"])
+    mean = x.pivot_table(index="ym", columns="q", values="fwd")
+    ls, turnover = mean[5] - mean[1], (x.pivot_table(index="ym", columns="code", values="q").diff().abs() > 0).mean(axis=1)
+    net = ls - turnover * 0.3
+    rows = {r.ym: r for r in catalog.queries()["quintile_backtest_costs"](spark, sf).collect()}
+    assert set(rows) == set(ls.index)
+    assert all(math.isclose(rows[m].turnover, turnover[m], abs_tol=1e-3) and (math.isnan(net[m]) or math.isclose(rows[m].net, net[m], abs_tol=1e-3)) for m in rows)
+    (total,) = catalog.queries()["quintile_backtest_summary"](spark, sf).collect()
+    want = (ls.count(), 12**0.5 * ls.mean() / ls.std(), 12**0.5 * net.mean() / net.std(), 12 * ls.mean(), (ls.dropna() > 0).mean(), turnover.mean(), (ls.cumsum() - ls.cumsum().cummax()).min())
+    assert all(math.isclose(a, b, abs_tol=1e-3) for a, b in zip(total, want, strict=True)), (total, want)
+
+
 def test_collections_clamp(spark):
     from quillon.operators.schedule import expected_collections
 
