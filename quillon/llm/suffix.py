@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by bucket-pointer refinement over sampled suffixes.
+"""Removal of repeated byte strings by winnowed anchors and window hashes (in place of bucket-pointer refinement).
 
 A byte is removed if a string of ``size`` bytes that covers it starts anywhere else in the corpus, in the same document
 included. Sorting all suffixes is avoided: of the ``gram``-byte grams inside each window of ``size`` bytes, the one with
