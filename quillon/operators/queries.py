@@ -37,7 +37,7 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "customer").select(F.concat(F.upper("c_name"), F.when(F.col("c_custkey") % 2 == 0, " Co., Ltd.").otherwise(" x")).alias("name"))
-    registry = table(spark, sf_dir, "customer").where("c_custkey % 5 < 3").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return text.match_names(left, registry, "name", "id").select("name", "matched", "how")
 
 
@@ -77,7 +77,7 @@ def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlay_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     curated = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("").alias("label"))
-    registry = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", F.concat(F.lit("reg "), "s_name").alias("label"))
+    registry = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("reg "), "s_name")).otherwise("").alias("label"))
     return joins.overlay(base, curated, registry, "s_suppkey", ["label"])
 
 

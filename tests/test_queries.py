@@ -59,6 +59,12 @@ def test_name_matching(spark, sf):
             assert (r.matched, r.how) == (key, "exact" if key % 2 == 0 else "contains")
 
 
+def test_name_matching_covers_all_customers(spark, sf):
+    for r in catalog.queries()["name_matching"](spark, sf).collect():
+        key = int(r.name.split("#")[1].split()[0])
+        assert (r.matched, r.how) == (key, "exact" if key % 2 == 0 else "contains")
+
+
 def test_names_of_any_script_length_and_direction(spark):
     from quillon.operators.text import match_names
 
