@@ -5,14 +5,19 @@ components and offers it the value j + (a random fraction); each component keeps
 document stops as soon as all components lie below the next step's values: long documents after one or two steps. The
 components of a signature are negatively correlated, which lowers the variance below that of independent minima.
 
-Links are confirmed on whole shingle sets. Equal sets are one class from the start. In each band's bucket, every class is
-first compared with the bucket's smallest one (a star, not all pairs); what the stars leave in different components is
-then compared across components: all pairs whose sizes allow a link and whose signatures agree in as many components as
-linked sets do; nothing is capped.
+Every pair that shares a bucket is decided on whole shingle sets, without making all pairs of a bucket:
+
+1. Equal sets are one class. In each bucket, every class is compared with the bucket's hub (a star). The comparison gives
+   the link and the *difference* from the hub, the elements that only one of the two sets holds. Links are grouped.
+2. Two members of a bucket differ by ``|Dx| + |Dy| - 2 |Dx and Dy|`` elements, D being their differences from the hub, so
+   that the differences, short for what resembles the hub, decide any pair exactly. In buckets that still hold several
+   components, what is outside the largest one meets a new hub of each bucket, drawn by a hash from the largest one.
+3. What is still apart is compared, across components only, with every member of the bucket; a join whose condition is
+   the link itself gives out linked components, not pairs.
 
 Defined cases: null and empty texts have no shingles, are linked with nothing and are kept; rows that share a doc_id are
-one vertex; rows with a null doc_id are linked with nothing (component null, kept); columns besides doc_id and text are
-ignored.
+one vertex, which any of their texts can link; rows with a null doc_id are linked with nothing (component null, kept);
+columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +32,7 @@ from pyspark.sql import functions as F
 from quillon.llm._bytes import chunks, mix, shingle_sets
 from quillon.llm._store import materialise
 
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"
-#: Bits of each component in the sketch.
-PLANES = 4
+SIGNATURE = "doc_id long, t long, n long, c binary, bands array<long>"
 
 
 def super_minhash(h: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -65,66 +68,55 @@ def super_minhash(h: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """SIGNATURE: size and two sums that name the set, a hash for each band of the SuperMinHash signature, and a sketch:
-    the low bits of all components, in ``PLANES`` bit planes of whole longs."""
-    wide = -(-bands * rows // 64)
+    """SIGNATURE: the text's hash, the set's size, 16 bytes that name it, and hashes of the signature's bands and their numbers."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(2)):
                 h, row = shingle_sets(data, offsets, shingle)
                 n = np.bincount(row, minlength=b - a)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
-                total2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
-                sig = super_minhash(h, row, b - a, bands * rows)
-                bits = np.zeros((b - a, PLANES, wide * 64), np.uint8)
-                for k in range(PLANES):
-                    bits[:, k, : bands * rows] = (sig >> np.uint64(k)) & np.uint64(1)
-                sketch = np.packbits(bits, axis=2).reshape(b - a, -1).view(np.int64)
-                sig = sig.reshape(b - a, bands, rows)
-                band = np.zeros((b - a, bands), np.uint64)
+                name = np.empty((b - a, 2), np.uint64)
+                for k, salt in enumerate((0, 0x5851F42D4C957F2D)):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))])
+                    name[:, k] = total[ends[1:]] - total[ends[:-1]]
+                sig = super_minhash(h, row, b - a, bands * rows).reshape(b - a, bands, rows)
+                band = np.tile(np.arange(bands, dtype=np.uint64), (b - a, 1))
                 for k in range(rows):
                     band = mix(band * np.uint64(3) + sig[:, :, k])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)),
-                        *(pa.array((t[ends[1:]] - t[ends[:-1]]).view(np.int64)) for t in (total, total2)),
+                        batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), b - a, [None, pa.py_buffer(name.tobytes())]).cast(pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * PLANES * wide), pa.array(sketch.ravel())),
                     ],
                     names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(sign, SIGNATURE)
 
 
-def verify(edges: DataFrame, texts: DataFrame, shingle: int, pct: int) -> DataFrame:
-    """The pairs ``a, b`` of ``edges`` whose whole shingle sets overlap enough. The smaller part (``a``'s text, once per
-    pair) travels to ``b``; a pair of a frequent ``a`` is a row of its own, so that such rows can be dealt out."""
+def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``a, b, d``: the elements that only one of the whole sets of ``a`` and ``b`` holds. ``a``'s text travels to ``b``
+    once per pair; a pair of a frequent ``a`` is a row of its own, so that such rows can be dealt out."""
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            good = np.zeros(len(a), bool)
-            sets = [[None] * len(a), [None] * len(a)]
+            sets = [[], []]
             for side in (0, 1):
                 for lo, hi, data, offsets in chunks(batch.column(2 + side)):
                     h, row = shingle_sets(data, offsets, shingle)
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
-                    for i in range(lo, hi):
-                        sets[side][i] = h[ends[i - lo] : ends[i - lo + 1]]
-            for i in range(len(a)):
-                x, y = sets[0][i], sets[1][i]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = both > 0 and 100 * both >= pct * (len(x) + len(y) - both)
-            keep = np.flatnonzero(good)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep))], ["a", "b"])
+                    sets[side] += [h[ends[i] : ends[i + 1]] for i in range(hi - lo)]
+            apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sets, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
+            flat = pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["a", "b", "d"])
 
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    full = edges.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(check, "a long, b long")
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    return full.mapInArrow(compare, "a binary, b binary, d array<long>")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,60 +133,89 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_size(n: Column, m: Column, pct: int) -> Column:
-    """Can sets of these sizes be linked? The intersection is at most the smaller, the union at least the larger."""
-    return 100 * F.least(n, m) >= pct * F.greatest(n, m)
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` between components (a, b) have been added: only components in links take part."""
+    links = materialise(links.where("a != b").distinct(), "component-links")
+    if not links.head(1):
+        return labels
+    nodes = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).distinct()
+    new = components(nodes, links).toDF("comp", "root")
+    return materialise(labels.join(new, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+
+
+def enough(n: Column, m: Column, apart: Column, pct: int) -> Column:
+    """Are sets of ``n`` and ``m`` elements linked that differ by ``apart`` of them?"""
+    return (n + m > apart) & (100 * (n + m - apart) >= pct * (n + m + apart))
+
+
+def linked(x: str, y: str, pct: int) -> Column:
+    """Is the link condition met by two members of a bucket? By sizes, then sizes of differences, then exactly."""
+    n, m, d, e = F.col(f"{x}_n"), F.col(f"{y}_n"), F.size(f"{x}_d"), F.size(f"{y}_d")
+    apart = d + e - 2 * F.size(F.array_intersect(f"{x}_d", f"{y}_d"))
+    return enough(n, m, F.abs(n - m), pct) & enough(n, m, F.abs(d - e), pct) & enough(n, m, apart, pct)
 
 
-def similar_sketch(x: str, y: str, components: int, pct: int) -> Column:
-    """Do as many components agree as sets at the threshold have, less five standard deviations? Sets of ``pct`` or more
-    fail this with a probability below 1e-6."""
-    wide = -(-components // 64)
-    likely = pct / 100 + (1 - pct / 100) / 2**PLANES
-    least = components * likely - 5 * (components * likely * (1 - likely)) ** 0.5
-    unlike = [" | ".join(f"({x}[{k * wide + i}] ^ {y}[{k * wide + i}])" for k in range(PLANES)) for i in range(wide)]
-    return F.expr(" + ".join(f"bit_count({u})" for u in unlike)) <= components - least
+def mixed_members(shared: DataFrame, labels: DataFrame, apart: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: ``h, c, n, comp, main`` (the bucket's largest component), d."""
+    member = shared.join(labels.toDF("c", "comp"), "c")
+    sizes = member.groupBy("h", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("m.comp").alias("main"))
+    known = apart.select(F.col("a").alias("hub"), F.col("b").alias("c"), "d")
+    none = F.array().cast("array<bigint>")
+    rows = member.join(main, "h").join(known, ["hub", "c"], "left")
+    return rows.select("h", "c", "n", "comp", "main", F.coalesce("d", none).alias("d"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Sets of distinct ``shingle``-word shingles are linked where 100 * intersection >= pct * union. With 48 bands of 6
-    rows, a pair at 0.8 shares no bucket with a probability of 5e-7. Sets whose sizes differ too much are not compared.
+    rows, a pair at 0.8 shares no bucket with a probability of 5e-7; every pair that shares one is decided exactly.
     """
     sig = materialise(signatures(docs, shingle, bands, rows), "signatures")
     real = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes, "classes")
-    posts = classes.select("rep", "n", F.posexplode("bands").alias("band", "h"))
-    hubs = posts.groupBy("band", "h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("most")).where("most > hub.rep").select("band", "h", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = materialise(posts.join(hubs, ["band", "h"]).select("band", "h", "hub", "hub_n", "rep", "n"), "shared")
-    stars = materialise(shared.where("rep != hub").where(similar_size(F.col("hub_n"), F.col("n"), pct)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    ends = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends.hint("shuffle_hash"), "doc_id"), "texts")
-    links = materialise(verify(stars, texts, shingle, pct), "links")
-    nodes = ends.withColumnRenamed("doc_id", "id")
+    rows_, ids_ = sig.where("doc_id IS NOT NULL").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    repeated = rows_ != ids_
+    classes = materialise(real.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    posts = classes.select("c", "n", F.explode("bands").alias("h"))
+    hubs = posts.groupBy("h").agg(F.min("c").alias("hub"), F.max("c").alias("most")).where("most > hub").select("h", "hub")
+    shared = materialise(posts.join(hubs, "h").select("h", "hub", "c", "n"), "shared")
+    stars = shared.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+    size = shared.groupBy("c").agg(F.first("n").alias("n"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    texts = texts.join(classes.join(size.select("c"), "c", "left_semi").select("rep.doc_id", "rep.t", "c").hint("shuffle_hash"), ["doc_id", "t"]).select("c", "text")
+    texts = materialise(texts.dropDuplicates(["c"]) if repeated else texts, "texts")
+    apart = materialise(differences(stars, texts, shingle), "apart")
+    star_links = apart.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").where(enough(F.col("n_a"), F.col("n_b"), F.size("d"), pct)).select("a", "b")
+
+    links = star_links
+    if repeated:  # the classes of one document's texts are one vertex
+        ids = real.select("doc_id", "c").distinct()
+        several = ids.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("most")).where("most > a").select("doc_id", "a")
+        links = links.unionAll(ids.join(several, "doc_id").where("c != a").select("a", F.col("c").alias("b")))
+    links = materialise(links, "links")
+    nodes = materialise(size.select("c").unionAll(links.select("a")).unionAll(links.select("b")).distinct().toDF("id"), "nodes")
     labels = components(nodes, links)
 
-    # what shares a bucket across components and isn't compared yet
-    marks = labels.join(classes.select(F.col("rep").alias("id"), "sketch"), "id").toDF("rep", "rep_comp", "sketch")
-    member = shared.join(labels.toDF("rep", "rep_comp"), "rep")
-    mixed = member.groupBy("band", "h").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).where("hi > lo").select("band", "h", "lo")
-    member = member.join(mixed, ["band", "h"]).select("band", "h", "hub", "rep", "n", "lo").join(marks, "rep")
-    member = materialise(member, "mixed")
-    out = member.where("rep_comp != lo").select("band", "h", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("rep_comp").alias("x_comp"), F.col("sketch").alias("x_sketch"))
-    pairs = (
-        out.join(member, ["band", "h"])
-        .where("x_comp != rep_comp AND x != hub AND rep != hub AND (rep_comp = lo OR x < rep)")
-        .where(similar_size(F.col("x_n"), F.col("n"), pct) & similar_sketch("x_sketch", "sketch", bands * rows, pct))
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-    )
-    more = materialise(verify(pairs, texts, shingle, pct), "more-links")
-    if more.head(1):
-        labels = components(nodes, links.unionAll(more))
-    of = classes.select("s1", "s2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component_id"))
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    linked = real.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = sig.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    member = materialise(mixed_members(shared, labels, apart), "mixed")
+    pick = F.min(F.struct(F.xxhash64("h", "c").alias("draw"), F.col("n").alias("y_n"), F.col("d").alias("y_d")))
+    second = member.where("comp = main").groupBy("h").agg(pick.alias("y")).select("h", "y.y_n", "y.y_d")
+    other = member.where("comp != main").select("h", F.col("c").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("d").alias("x_d"), "main")
+    labels = joined(labels, other.join(second, "h").where(linked("x", "y", pct)).select(F.col("x_comp").alias("a"), F.col("main").alias("b")))
+
+    member = materialise(mixed_members(shared, labels, apart), "mixed")
+    other = member.where("comp != main").select("h", F.col("c").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("d").alias("x_d"))
+    every = member.select("h", F.col("c").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"), F.col("d").alias("y_d"), (F.col("comp") == F.col("main")).alias("y_main"))
+    across = (F.col("x_comp") != F.col("y_comp")) & (F.col("y_main") | (F.col("x") < F.col("y")))
+    found = other.join(every, "h").where(across & linked("x", "y", pct))
+    labels = joined(labels, found.select(F.least("x_comp", "y_comp").alias("a"), F.greatest("x_comp", "y_comp").alias("b")))
+
+    named = classes.select("c", "rep.doc_id").join(labels.toDF("c", "comp"), "c", "left").select("c", "doc_id", F.coalesce("comp", "c").alias("comp"))
+    of = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("c", "component_id")
+    grouped = real.select("doc_id", "n", "c").join(of, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = sig.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if repeated:  # an empty text of a document that has others
+        grouped = materialise(grouped, "grouped")
+        its = grouped.groupBy("doc_id").agg(F.min("component_id").alias("its"))
+        rest = rest.join(its, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("its", "component_id").alias("component_id"))
+    return grouped.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
