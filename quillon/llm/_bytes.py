@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes handled at once, unless one text is longer.
 CHUNK = 1 << 20
-_BASE, _GOLDEN = 0x9E6C63D0876A9A47, np.uint64(0x9E3779B97F4A7C15)
-_VALUES = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES, _GOLDEN = (0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+_VALUES = np.random.default_rng(20260101).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -34,16 +34,16 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over the bytes; ``span_hash`` gets the hash of any span from them."""
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes; ``span_hash`` gets the hash of any span from them. There are two."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_VALUES[data] * _power(_BASE, len(data)), out=out[1:])
+    np.cumsum(_VALUES[which][data] * _power(_BASES[which], len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = _power(pow(_BASE, -1, 2**64), len(prefix))
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    inverse = _power(pow(_BASES[which], -1, 2**64), len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -66,21 +66,50 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the maximal runs of word bytes; ``is_word``: a flag for each byte value. Runs end with rows."""
-    inside = is_word[data]
-    edge = np.empty(len(data) + 1, bool)
-    edge[0], edge[-1] = len(data) > 0 and inside[0], False
-    edge[1:-1] = inside[1:] & ~inside[:-1]
-    cut = offsets[1:-1]
-    cut = cut[cut < len(data)]
-    edge[cut] = inside[cut]
-    start = np.flatnonzero(edge[:-1]) if len(data) else np.zeros(0, np.int64)
-    last = np.empty(len(data), bool)
-    if len(data):
-        last[-1] = inside[-1]
-        last[:-1] = inside[:-1] & ~inside[1:]
-        last[cut - 1] = inside[cut - 1]
-    end = np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    return _spans(offsets, is_word[data], offsets[1:-1])
+
+
+def _spans(offsets: np.ndarray, inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of what is inside, which end at every position of ``cut``."""
+    n = len(inside)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    cut = cut[(cut > 0) & (cut < n)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
+
+
+#: ASCII letters (lower-case) and digits, and all bytes of other characters.
+_TOKEN = np.zeros(256, bool)
+_TOKEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Second bytes of the letters and digits among U+0080 to U+00BF.
+_LATIN_SIGNS = np.array([0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE], np.uint8)
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the tokens of lower-case UTF-8: runs of letters and digits, and single characters of scripts
+    that are written without spaces. Spaces, punctuation and symbols of every script separate."""
+    inside, cut = _TOKEN[data], offsets[1:-1]
+    if not len(data) or data.max() < 128:
+        return _spans(offsets, inside, cut)
+    lead = np.flatnonzero(data >= 0xC2)
+    after = lambda k: data[np.minimum(lead + k, len(data) - 1)]
+    a, b, c = data[lead], after(1), after(2)
+    wide = np.where(a < 0xE0, 2, np.where(a < 0xF0, 3, 4))
+    apart = (a == 0xC2) & ~np.isin(b, _LATIN_SIGNS) | (a == 0xC3) & ((b == 0x97) | (b == 0xB7))
+    apart |= (a == 0xE2) & (b < 0xB0) | (a == 0xE3) & (b == 0x80) & ~((c >= 0x85) & (c <= 0x87)) | (a == 0xF0) & (b == 0x9F)
+    apart |= (a == 0xEF) & (b == 0xBC) & ((c < 0x90) | (c >= 0x9A) & (c < 0xA1) | (c >= 0xBB))
+    apart |= (a == 0xEF) & ((b == 0xBD) & ((c == 0x80) | (c >= 0x9B) & (c < 0xA6)) | (b == 0xB8) | (b == 0xB9) | (b == 0xBB) & (c == 0xBF))
+    for k in range(4):
+        at = lead[apart & (wide > k)] + k
+        inside[at[at < len(data)]] = False
+    alone = (a >= 0xE4) & (a <= 0xE9) | (a == 0xE3) & (b > 0x80) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+    alone |= (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F)) | (a == 0xF0) & (b >= 0xA0) & (b < 0xB0)
+    return _spans(offsets, inside, np.concatenate([cut, lead[alone], lead[alone] + wide[alone]]))
 
 
 #: A-Z to a-z, all other bytes as they are.
