@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm._store import documents, materialise
-from quillon.llm.bpe import decode_documents, encode_documents
+from quillon.llm.bpe import code_documents
 from quillon.llm.decon import decontaminate
 from quillon.llm.lines import dedup_lines
 from quillon.llm.minhash import near_duplicates
@@ -49,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: the ids of every text, and the digest of what they decode to."""
-    coded = decode_documents(encode_documents(docs, VOCABULARY), VOCABULARY)
+    coded = code_documents(docs, VOCABULARY)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

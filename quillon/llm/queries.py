@@ -29,10 +29,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.bpe import decode_documents, encode_documents
+    from quillon.llm.bpe import code_documents
 
-    path = word_vocabulary()
-    return decode_documents(encode_documents(documents(spark, sf_dir), path), path).select(
+    return code_documents(documents(spark, sf_dir), word_vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
