@@ -1,10 +1,10 @@
 """Line dedup with levelled sorted runs of line hashes (DataFrame functions only).
 
 ``LineRuns`` keeps what has been seen as *runs*: tables bucketed and sorted by line hash, so that a new batch joins
-them without moving them. Each batch merge-anti-joins the runs (which of its lines are new?) and then adds a run of its
-own; once a level holds ``fanout`` runs, they are merged into one run of the next level. ``dedup_lines`` feeds it the
-documents in batches of falling ``doc_id``: the batch in which a line is new is then the one with the largest document
-that holds it.
+them without moving them. Each batch merge-anti-joins the runs: lines that a run has already settled (found in
+``min_docs`` documents, their largest document known) stay out, and what is left becomes a run of its own. Once a level
+holds ``fanout`` runs, they are merged into one run of the next level, which adds up their counts. ``dedup_lines`` feeds
+it the documents in batches of falling ``doc_id``, so the first document counted for a line is the one that keeps it.
 
 Defined cases: null and empty texts are one empty line; rows that share a ``doc_id`` are one document; a null
 ``doc_id`` counts as one document below all others; lines shorter than ``min_chars`` are never dropped; extra columns
@@ -14,16 +14,17 @@ pass through (columns named like the operator's own outputs are replaced).
 from __future__ import annotations
 
 import string
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._store import materialise, shared_path
+from quillon.llm._store import bucketed, discard, materialise, shared_path
 
 SPACES = " \t\n\x0b\f\r"
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
+RUN = "k binary, n long, last long"
 
 
 def ascii_lower(x: Column) -> Column:
@@ -37,108 +38,95 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(SPACES)))
 
 
+def line_hash(key: Column) -> Column:
+    return F.unhex(F.md5(key.cast("binary")))
+
+
 def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 class LineRuns:
-    """Levelled runs of ``(h, g, n, last)``: a line's two hashes, the documents counted and, in the run of the batch
-    that saw the line first, the largest document of that batch."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[tuple[str, str]]] = []
-
-    def _write(self, rows: DataFrame, level: int) -> str:
-        name, path = f"line_run_{uuid.uuid4().hex}", shared_path(self.spark, "line-run")
-        (
-            rows.write.format("parquet")
-            .option("path", path)
-            .bucketBy(self.buckets, "h")
-            .sortBy("h", "g")
-            .saveAsTable(name)
-        )
+    """Levelled runs of RUN: a line's hash, the documents counted and the largest of them."""
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, buckets
+        self.levels: list[list[tuple[DataFrame, str]]] = []
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        path = shared_path(self.spark, "line-run")
+        run = bucketed(rows.select("k", "n", "last"), "k", path, self.buckets, sort=True)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, path))
-        return path
+        self.levels[level].append((run, path))
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: one row ``(h, g, n, last)`` per distinct line. Runs are bucketed by ``h``: only the batch moves."""
-        rows = batch.repartition(self.buckets, "h").withColumn("fresh", F.lit(True))
-        for name, _ in (x for level in self.levels for x in level):
-            run = self.spark.table(name).select("h", "g", F.lit(True).alias("old")).hint("merge")
-            rows = rows.join(run, ["h", "g"], "left").withColumn("fresh", F.col("fresh") & F.col("old").isNull()).drop("old")
-        self._write(rows.select("h", "g", "n", F.when(F.col("fresh"), F.col("last")).alias("last")), 0)
+        """``batch``: one row (RUN) per distinct line of documents below all earlier ones."""
+        for run, _ in (x for level in self.levels for x in level):
+            settled = run.where(F.col("n") >= self.min_docs).select("k").hint("merge")
+            batch = batch.join(settled, "k", "left_anti")
+        self._write(batch, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            tables, self.levels[level] = self.levels[level], []
-            self._merge(tables, level + 1)
+            self._merge([self.levels[level]], level + 1)
             level += 1
 
-    def _merge(self, tables: list[tuple[str, str]], level: int) -> str:
-        rows = self.spark.table(tables[0][0])
-        for name, _ in tables[1:]:  # a merge join of what is bucketed and sorted alike: nothing moves
-            other = self.spark.table(name).withColumnsRenamed({"n": "n_", "last": "last_"}).hint("merge")
-            rows = rows.join(other, ["h", "g"], "full").select(
-                "h", "g", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), F.greatest("last", "last_").alias("last")
-            )
-        path = self._write(rows, level)
-        for name, _ in tables:
-            self.spark.sql(f"DROP TABLE {name}")
-        return path
+    def _merge(self, levels: list[list[tuple[DataFrame, str]]], to: int) -> None:
+        runs = [x for level in levels for x in level]
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:  # a merge join of what is bucketed alike: nothing moves
+            rows = a.join(b.withColumnsRenamed({"n": "n_", "last": "last_"}).hint("merge"), "k", "full")
+            return rows.select("k", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), F.greatest("last", "last_").alias("last"))
+
+        merged = reduce(both, (run for run, _ in runs))
+        for level in levels:
+            level.clear()
+        self._write(merged, to)
+        for _, path in runs:
+            discard(self.spark, path)
 
     def totals(self) -> DataFrame:
-        """Every line seen: hashes, number of documents, largest document."""
-        tables = [x for level in self.levels for x in level]
-        if len(tables) == 1:
-            path = tables[0][1]
-        else:
-            top = len(self.levels)
-            self.levels = []
-            path = self._merge(tables, top)
-        return self.spark.read.schema("h long, g int, n long, last long").parquet(path)  # by its path: a join may then deal it out anew and split hot lines
+        """Every line seen: hash, documents counted (from ``min_docs`` on, perhaps not all), largest document."""
+        if sum(map(len, self.levels)) > 1:
+            self._merge([level for level in self.levels if level], len(self.levels))
+        (_, path), *_ = (x for level in self.levels for x in level)
+        return self.spark.read.schema(RUN).parquet(path)  # by its path: a join may then deal it out anew and split hot lines
 
 
 def line_postings(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(h, g, doc)``: each distinct line of at least ``min_chars`` code points of each row."""
+    """``(k, doc)``: each distinct line of at least ``min_chars`` code points of each row."""
     keys = F.filter(F.transform(text_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.explode(F.array_distinct(keys)).alias("key")
-    ).select(F.xxhash64("key").alias("h"), F.hash("key").alias("g"), "doc")
+    ).select(line_hash(F.col("key")).alias("k"), "doc")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 2, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, fanout: int = 2, least_batches: int = 4, batch_rows: int = 1 << 28) -> DataFrame:
     """``docs`` with the kept lines as ``text`` and the counts ``n_lines`` (before dropping) and ``n_dropped``.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least ``min_chars`` code
-    points in at least ``min_docs`` documents stay only in the largest ``doc_id`` that holds them.
+    points in at least ``min_docs`` documents stay only in the largest ``doc_id`` that holds them. Batches are equal
+    shares of the documents, ``least_batches`` of them, and more where a batch would have over ``batch_rows`` lines.
     """
     spark = docs.sparkSession
     posts = materialise(line_postings(docs, min_chars), "line-postings")
+    batches = max(least_batches, -(-posts.count() // batch_rows))
+    shares = [1 - k / batches for k in range(1, batches)]
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    low, high, rows, distinct = ids.agg(
-        F.min("doc"), F.max("doc"), F.count("*"), F.countDistinct("doc")
-    ).first()
+    rows, distinct = ids.agg(F.count("*"), F.countDistinct("doc")).first()
+    edges = ids.agg(F.percentile_approx("doc", shares, 1000 * batches)).first()[0]
     counted = posts if rows == distinct else posts.distinct()
-    edges = [] if not rows else sorted({low + (high - low) * k // batches for k in range(1, batches)}, reverse=True)
-    runs, above = LineRuns(spark, fanout), None
-    for edge in [*edges, None]:  # from the largest documents down
+    runs, above = LineRuns(spark, min_docs, fanout), None
+    for edge in [*sorted(set(edges or []), reverse=True), None]:  # from the largest documents down
         batch = counted if edge is None else counted.where(F.col("doc") > edge)
         batch = batch if above is None else batch.where(F.col("doc") <= above)
-        runs.add(batch.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc").alias("last")))
+        runs.add(batch.groupBy("k").agg(F.count("*").alias("n"), F.max("doc").alias("last")))
         above = edge
-    common = runs.totals().where(F.col("n") >= min_docs).select("h", "g", "last")
-    drops = (
-        posts.join(common, ["h", "g"])
-        .where(F.col("doc") != F.col("last"))
-        .groupBy("doc")
-        .agg(F.collect_set("h").alias("__drops"))
-    )
+    common = runs.totals().where(F.col("n") >= min_docs).select("k", "last")
+    drops = posts.join(common, "k").where(F.col("doc") != F.col("last")).groupBy("doc").agg(F.collect_set("k").alias("__drops"))
     keep = F.filter(
         F.col("__lines"),
-        lambda x: ~F.when(F.char_length(line_key(x)) >= min_chars, F.array_contains("__drops", F.xxhash64(line_key(x)))).otherwise(False),
+        lambda x: ~F.when(F.char_length(line_key(x)) >= min_chars, F.array_contains("__drops", line_hash(line_key(x)))).otherwise(False),
     )
     out = (
         docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
