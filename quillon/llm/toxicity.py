@@ -5,12 +5,13 @@
 2. The label model is fitted to the counts of all masks over all documents (at most 2**VOTERS rows, whatever the input):
    EM estimates the prior and each voter's rates in both classes; the correlations of voters within the classes, from the
    same counts, take weight from voters that repeat each other.
-3. Posteriors label a bounded share of the documents (parameter ``train_docs``), on which a linear classifier of hashed
-   words and votes is trained; labelled rows set its scale. It scores every document.
+3. A linear classifier of hashed words and votes is trained on the posteriors of the documents of the labelled rows, whose
+   labels set its scale. It scores every document.
 
 Labels are learned only from rows that aren't held out (``_labels.held_out``), of which at most about ``label_rows`` are
-used. Defined cases: null and empty texts have no votes and no words and get the score of the intercept; without
-labelled rows the fixed lexicon alone votes; an empty table gives an empty result.
+used. What comes to the driver is bounded by that: a list of word cells for each such document, and the words that pass. Defined cases: null and empty texts have no votes and no words and get the score of the intercept; without
+labelled rows the fixed lexicon alone votes and the label model's posterior is the score; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._bytes import LOWER, chunks, mix, prefix_hash, span_hash, word_spans
-from quillon.llm._labels import fit_scale, hashed_share, held_out, labelled_texts, sigmoid
-from quillon.llm.decon import TOKEN
+from quillon.llm._bytes import LOWER, chunks, mix, prefix_hash, span_hash, token_spans
+from quillon.llm._labels import fit_scale, held_out, labelled_texts, sigmoid
+from quillon.llm._store import materialise
 
 #: Common insults.
 LEXICON = ["idiot", "moron", "stupid", "dumb", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting", "filth", "vermin", "imbecile", "fool", "garbage", "ugly", "hate", "shut", "kill"]
@@ -59,7 +60,7 @@ class Lexicon:
 def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, row of each, share of capitals in each row)."""
     for a, b, data, offsets in chunks(texts):
-        start, end, row = word_spans(LOWER[data], offsets, TOKEN)
+        start, end, row = token_spans(LOWER[data], offsets)
         h = span_hash(prefix_hash(LOWER[data]), start, end) if len(start) else np.zeros(0, np.uint64)
         capital = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
         size = np.maximum(np.diff(offsets), 1)
@@ -91,17 +92,25 @@ def votes_of(lexicon: Lexicon, h: np.ndarray, row: np.ndarray, rows: int, capita
     return votes
 
 
-def learned_words(h: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int = 60) -> np.ndarray:
-    """Hashes of words whose documents are toxic far more often than not (smoothed odds over 10 times the base odds)."""
-    both = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
-    word, which = both[0], both[1].astype(np.int64)
-    names, at = np.unique(word, return_inverse=True)
-    bad = np.bincount(at, weights=y[which], minlength=len(names))
-    all_ = np.bincount(at, minlength=len(names))
-    base = (y.sum() + 1) / (len(y) - y.sum() + 1)
-    odds = (bad + 0.5) / (all_ - bad + 0.5) / base
-    fit = np.flatnonzero((bad >= 5) & (odds > 10))
-    return names[fit[np.argsort(-(bad * np.log(odds))[fit], kind="stable")[:most]]]
+def learned_words(labelled: DataFrame, toxic: int, clean: int, least: int = 5, odds: float = 10.0) -> np.ndarray:
+    """Hashes of words that at least ``least`` toxic documents hold, whose odds (smoothed) are over ``odds`` times the base."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            for a, _, h, row, _ in words_of(batch.column(1)):
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)  # a word once per document
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                names, at = np.unique(h[new], return_inverse=True)
+                bad = np.bincount(at, weights=y[row[new] + a], minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(names)))], ["h", "bad", "n"])
+
+    words = labelled.select("y", "text").mapInArrow(count, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    good = F.col("n") - F.col("bad") + 0.5
+    telling = words.where((F.col("bad") >= least) & ((F.col("bad") + 0.5) / good > odds * (toxic + 1) / (clean + 1)))
+    return np.sort(telling.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
 @dataclass
@@ -146,8 +155,7 @@ class ToxicityModel:
     slope: float = 1.0
     shift: float = 0.0
 
-    def raw(self, h: np.ndarray, row: np.ndarray, rows: int, votes: np.ndarray) -> np.ndarray:
-        cell, doc, value = word_cells(h, row, rows)
+    def raw(self, cell: np.ndarray, doc: np.ndarray, value: np.ndarray, rows: int, votes: np.ndarray) -> np.ndarray:
         return self.intercept + votes @ self.vote_weights + np.bincount(doc, weights=value * self.weights[cell], minlength=rows)
 
 
@@ -173,29 +181,32 @@ def train_linear(cell: np.ndarray, doc: np.ndarray, value: np.ndarray, votes: np
     return theta[: 2**WORD_BITS], theta[2**WORD_BITS : -1], float(theta[-1])
 
 
-def _features(rows: DataFrame, extra: str) -> list[tuple]:
-    """(extra column, word hashes, capitals) of a bounded number of rows: words are hashed in tasks, texts stay there."""
+def _features(labelled: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, votes, word cells) of the labelled documents: words are counted in tasks, texts stay there."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, row, capitals in words_of(batch.column(1)):
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), pa.array(capitals)], ["x", "h", "capitals"])
+                mask = votes_of(lexicon, h, row, b - a, capitals) @ (1 << np.arange(VOTERS))
+                cell, doc, _ = word_cells(h, row, b - a)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(mask.astype(np.int32)), cells], ["y", "mask", "cells"])
 
-    got = rows.select(F.col(extra).cast("long").alias("x"), "text").mapInArrow(make, "x long, h array<long>, capitals double").toArrow().combine_chunks()
+    got = labelled.select("y", "text").mapInArrow(make, "y int, mask int, cells array<int>").toArrow().combine_chunks()
     if not got.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-    lists = got.column("h").chunk(0)
-    h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    row = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
-    return got.column("x").to_numpy(), h, row, got.column("capitals").to_numpy()
+        return np.zeros(0), np.zeros((0, VOTERS)), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    lists = got.column("cells").chunk(0)
+    n = np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(got.num_rows), n)
+    votes = (got.column("mask").to_numpy()[:, None] >> np.arange(VOTERS)) & 1
+    return got.column("y").to_numpy().astype(float), votes.astype(float), (lists.flatten().to_numpy().astype(np.int64), doc, (1 / np.sqrt(np.maximum(n, 1)))[doc])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 8000, train_docs: int = 8000) -> ToxicityModel:
-    y, h, row, capitals = _features(labelled_texts(docs, labels, "toxic", label_rows), "y")
-    learned = learned_words(h, row, y.astype(float)) if len(y) else np.zeros(0, np.uint64)
-    lexicon = Lexicon.of(LEXICON, learned)
-    votes = votes_of(lexicon, h, row, len(y), capitals).astype(float)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 8000) -> ToxicityModel:
+    labelled = materialise(labelled_texts(docs, labels, "toxic", label_rows).select("y", "text"), "labelled")
+    clean, toxic = ({r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}.get(y, 0) for y in (0, 1))
+    lexicon = Lexicon.of(LEXICON, learned_words(labelled, toxic, clean))
 
     def cast(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +220,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 8000, tra
     start = np.clip(masks[:, :GROUPS].sum(axis=1) / 2, 0.02, 0.98)
     model = LabelModel.fit(masks.astype(float), counted["n"].to_numpy(), start)
 
-    _, wh, wrow, caps = _features(hashed_share(docs.select("doc_id", "text"), "doc_id", train_docs), "doc_id")
-    tv = votes_of(lexicon, wh, wrow, len(caps), caps).astype(float)
-    target = model.posterior(tv)
-    if not len(target):
-        return ToxicityModel(lexicon, np.zeros(2**WORD_BITS), np.zeros(VOTERS), -2.0)
-    out = ToxicityModel(lexicon, *train_linear(*word_cells(wh, wrow, len(caps)), tv, target))
-    if len(np.unique(y)) == 2:
-        out.slope, out.shift = fit_scale(out.raw(h, row, len(y), votes), y.astype(float))
+    y, votes, cells = _features(labelled, lexicon)
+    if not len(y):  # nothing to train on: the label model decides
+        return ToxicityModel(lexicon, np.zeros(2**WORD_BITS), model.speak - model.silent, float(np.log(model.prior / (1 - model.prior)) + model.silent.sum()))
+    out = ToxicityModel(lexicon, *train_linear(*cells, votes, model.posterior(votes)))
+    if toxic and clean:
+        out.slope, out.shift = fit_scale(out.raw(*cells, len(y), votes), y)
     return out
 
 
@@ -229,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, row, capitals in words_of(batch.column(at)):
-                raw = model.raw(h, row, b - a, votes_of(model.lexicon, h, row, b - a, capitals).astype(float))
+                raw = model.raw(*word_cells(h, row, b - a), b - a, votes_of(model.lexicon, h, row, b - a, capitals).astype(float))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(model.slope * raw + model.shift))], [*names, "toxicity"])
 
