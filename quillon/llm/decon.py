@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-case tokens (runs of letters and digits). Documents and benchmark items are joined on seeds,
+Texts are sequences of lower-case tokens (runs of letters and digits; single characters in scripts without spaces). Documents and benchmark items are joined on seeds,
 the hashes of ``seed`` consecutive tokens; a (document, item) pair with seeds in common is then tiled: the longest match
 between unmarked tokens is marked on both sides, again and again, until none of ``seed`` tokens is left. A match of L
 tokens is a run of L - seed + 1 seeds on one diagonal, so running Karp-Rabin hashes are all that has to be compared. The
@@ -24,18 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._bytes import chunks, mix, prefix_hash, span_hash, word_spans
+from quillon.llm._bytes import chunks, mix, prefix_hash, span_hash, token_spans
 from quillon.llm._store import materialise
 
-#: Letters and digits in UTF-8: ASCII ones, and all bytes of other characters.
-TOKEN = np.zeros(256, bool)
-TOKEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-
-
 def seeds_of(texts: pa.Array, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk: (row, token position, seed hash, tokens in the row) of all runs of ``sizes`` tokens."""
     for a, _, data, offsets in chunks(texts):
-        start, end, row = word_spans(data, offsets, TOKEN)
+        start, end, row = token_spans(data, offsets)
         if not len(start):
             continue
         token = span_hash(prefix_hash(data), start, end)
