@@ -9,7 +9,8 @@ those vectors. Shards meet the queries in blocks; each gives k rows a query, ran
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null
 id; vectors only meet those of their own length; a query's own id is never its answer; of query rows that share an id the
-smallest vector is asked; candidate rows that share an id are candidates of their own; ties go to the smaller id.
+smallest vector is asked; candidate rows that share an id are candidates of their own; ties go to the smaller id. Vectors
+with a scaled component that no long holds take no part; scores that no long holds become the least or greatest long.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm._store import materialise
 
-SHARD, QUERIES, COPIES = 16384, 1024, 64
-BLOCK = "dim int, block string, salt int, ids binary, data binary"
+SHARD, QUERIES = 16384, 1024
+BLOCK = "dim int, block string, ids binary, data binary"
 
 
 def blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
@@ -43,7 +44,7 @@ def blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
             ids, data = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
             number += 1
             return pa.RecordBatch.from_pydict(
-                {"dim": pa.array([dim], pa.int32()), "block": [f"{part}-{number}"], "salt": pa.array([(part * 31 + number) % COPIES], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())}
+                {"dim": pa.array([dim], pa.int32()), "block": [f"{part}-{number}"], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())}
             )
 
         for batch in batches:
@@ -54,9 +55,10 @@ def blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
             for dim in np.unique(length):
                 at = np.flatnonzero(length == dim)
                 x = values[starts[at][:, None] + np.arange(dim)]
-                fine = np.isfinite(x).all(axis=1)
+                x = np.floor(scale * x)
+                fine = (np.abs(x) < 2.0**63).all(axis=1)
                 for a in range(0, int(fine.sum()), size):
-                    part_ids, part_x = ids[at[fine]][a : a + size], np.floor(scale * x[fine][a : a + size]).astype(np.int64)
+                    part_ids, part_x = ids[at[fine]][a : a + size], x[fine][a : a + size].astype(np.int64)
                     held.setdefault(int(dim), []).append((part_ids, part_x))
                     if sum(len(y[0]) for y in held[int(dim)]) >= size:
                         yield row(int(dim))
@@ -73,6 +75,7 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, data: np.ndarray, levels: int = 64):
         self.ids, self.data = ids, data
         size = np.abs(data)
+        self.most = int(size.max())
         self.order = np.argsort(-size, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(data, self.order.T, axis=0).T.copy()
         self.step = np.maximum(1, -(-size.max(axis=0) // levels))
@@ -83,6 +86,11 @@ class ImpactIndex:
 
     def search(self, query: np.ndarray, own: int, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """(position, score) of the k best, and of all that tie with the last."""
+        if len(query) * self.most * int(np.abs(query).max()) >= 2**62:  # sums may leave 64 bits
+            may = np.flatnonzero(self.ids != own)
+            exact = np.clip(self.data[may].astype(object) @ query.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+            best = np.lexsort((self.ids[may], ~exact))[:k]
+            return may[best], exact[best]
         n, weight = len(self.ids), np.abs(query)
         score = np.zeros(n, np.int64)
         there = self.ids != own
@@ -115,10 +123,12 @@ class ImpactIndex:
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors of the highest inner product for each query."""
-    shards = blocks(vectors, SHARD, scale)
-    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    copies = max(64, 2 * -(-vectors.count() // SHARD))  # twice as many keys as shards: few shards share one
+    shards = blocks(vectors, SHARD, scale).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int"))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    asked = queries.where(whole).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = materialise(blocks(asked, QUERIES, scale), "queries").select(
-        "dim", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("salt"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")
+        "dim", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")
     )
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
