@@ -3,8 +3,9 @@
 A bundle (``.warc.zst``) is a sequence of independent Zstandard frames, each holding whole WARC records, closed by the
 seek table of the public seekable format: a skippable frame with every frame's compressed and plain size. The index maps
 a record's identifier to its bundle, its frame and its offset in the plain frame, so one record costs one ranged read.
-Tasks write bundles next to each other in a shared folder under a name that depends on their partition only: a task that
-runs again writes the same file again, and a file appears whole (written aside, then moved).
+Tasks write bundles next to each other in a shared folder, each attempt under names of its own, and a file appears whole
+(written aside, then moved). Only bundles that the committed index names are read: what an attempt that was lost, or ran
+beside another, has left there is never seen.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, those with the smallest ``page_id`` are responses, the
 others revisits that refer to it. The payload's digest is joined by page, not by payload: no text moves to the partition
@@ -135,9 +136,9 @@ def digests(pages: DataFrame) -> DataFrame:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, refers_to``: refers_to is the page that holds the payload, null for responses."""
     pages = digests(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    each = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
+    each = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "digest").distinct()
     first = each.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = each.join(first, "digest").where("page_id > refers_to OR page_id IS NULL AND refers_to IS NOT NULL").distinct()
+    again = each.join(first, "digest").where("page_id > refers_to OR page_id IS NULL AND refers_to IS NOT NULL")
     a, b = pages.alias("a"), again.hint("shuffle_hash").alias("b")
     on = F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest"))
     return a.join(b, on, "left").select("a.page_id", "a.url", "a.html", "b.refers_to")
@@ -151,7 +152,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, bundle, size, number = TaskContext.get().partitionId(), None, 0, 0
+        part, attempt, bundle, size, number = TaskContext.get().partitionId(), uuid.uuid4().hex, None, 0, 0
         for batch in batches:
             done: list[tuple] = []
             for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -160,7 +161,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes
                 if bundle is not None and size + len(record) > bundle_bytes:
                     done, bundle = done + bundle.close(), None
                 if bundle is None:
-                    bundle, size, number = _Bundle(folder, f"part-{part:06d}-{number:06d}.warc.zst", frame_bytes), 0, number + 1
+                    bundle, size, number = _Bundle(folder, f"part-{part:06d}-{attempt}-{number:06d}.warc.zst", frame_bytes), 0, number + 1
                 bundle.add(page_id.as_py(), record)
                 size += len(record)
             if done:
@@ -181,14 +182,16 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_bundles(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFrame:
-    """Every record of every bundle of the folder (RECORD), frame by frame along the seek tables."""
+    """Every record of every bundle that the folder's index names (RECORD), frame by frame along the seek tables."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
-            for content in batch.column(0):
-                bundle = content.as_buffer()
+            for uri in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as f:
+                    bundle = f.read_buffer()
                 for start, size, _ in seek_table(bundle.to_pybytes()):
                     plain = zstandard.ZstdDecompressor().decompress(bundle[start : start + size])
                     rows = list(parse_records(plain))
@@ -196,8 +199,8 @@ def read_bundles(spark: SparkSession, folder: str, keep_payload: bool = True) ->
                         rows = [(*r[:-1], None) for r in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(read, RECORD)
+    index = spark.read.schema(INDEX).parquet(posixpath.join(folder, "index"))
+    return index.select("bundle").distinct().mapInArrow(read, RECORD)
 
 
 def fetch_record(entry: dict) -> bytes:
