@@ -59,21 +59,22 @@ def shingle_set(text: str | None, n: int) -> set:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def components(docs: list[tuple[int, str | None]], n: int = 2, pct: int = 80) -> dict:
-    sets = {i: shingle_set(t, n) for i, t in docs}
-    ids, root = sorted(sets), {i: i for i in sets}
+def components(docs: list[tuple[int, str | None]], n: int = 2, pct: int = 80) -> list[tuple]:
+    """Rows of the result, sorted; rows that share a doc_id are one vertex."""
+    sets = [(i, shingle_set(t, n)) for i, t in docs]
+    root = {i: i for i, _ in sets if i is not None}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= pct * len(x | y):
+                u, v = find(a), find(b)
+                root[max(u, v)] = min(u, v)
+    return sorted(((i, len(x), None if i is None else find(i), i is None or find(i) == i) for i, x in sets), key=str)
 
 
 def repeats(docs: list[tuple[int, str | None]], size: int = 200) -> dict:

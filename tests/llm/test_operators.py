@@ -77,6 +77,7 @@ def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     folder = f"file://{tmp_path}/w"
     index = warc.write_bundles(pages, folder, frame_bytes=500, bundle_bytes=4000)
+    (tmp_path / "w" / "part-000000-lost-000000.warc.zst").write_bytes(b"what a lost attempt left")
     back = {r.page_id: r for r in warc.read_bundles(spark, folder).collect()}
     want = brute.warc([(i, h) for i, _, h in rows])
     assert {i: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for i, r in back.items()} == want
@@ -84,31 +85,70 @@ def test_warc(spark, tmp_path):
     for entry in index.collect():
         assert f"<urn:page:{entry.page_id}>".encode() in warc.fetch_record(entry.asDict())
     empty = f"file://{tmp_path}/e"
-    assert warc.write_bundles(pages.limit(0), empty).count() == 0
+    assert warc.write_bundles(pages.limit(0), empty).count() == 0 and warc.read_bundles(spark, empty).count() == 0
+
+
+def test_warc_of_repeated_rows_and_null_ids(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (2, "b", "x"), (None, "c", "x"), (None, "d", "y"), (None, "e", None)]
+    folder = f"file://{tmp_path}/w"
+    warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = sorted(((r.page_id, r.uri, r.record_type, r.refers_to) for r in warc.read_bundles(spark, folder).collect()), key=str)
+    one, two = (1, "a", "response", None), (2, "b", "revisit", 1)
+    assert got == sorted([one, one, two, two, (None, "c", "revisit", 1), (None, "d", "response", None), (None, "e", "response", None)], key=str)
 
 
 def test_bpe(docs, pairs, wide, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.word_vocabulary()
     t = tokenizers.Tokenizer.from_file(path)
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in pairs}
     for block in (1 << 25, 50):
-        got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.decode_documents(bpe.encode_documents(docs, path, block), path).collect()}
-        for i, x in pairs:
-            ids = t.encode(x or "", add_special_tokens=False).ids
-            assert got[i] == (ids, t.decode(ids, skip_special_tokens=False)), (i, x)
-    assert bpe.encode_documents(wide, path).count() == 2 * len(pairs)
-    assert bpe.decode_documents(bpe.encode_documents(none, path), path).count() == 0
+        coded = bpe.code_documents(docs, path, block)
+        got = {r.doc_id: (list(r.ids), r.decoded) for r in coded.collect()}
+        assert got == {i: (ids, t.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
+    again = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    assert {r.doc_id: (list(r.ids), r.decoded) for r in again.collect()} == got
+    assert bpe.code_documents(wide, path).count() == 2 * len(pairs)
+    odd = wide.withColumn("doc_id", F.when(F.col("doc_id") > 20, F.col("doc_id")))
+    assert bpe.code_documents(odd, path).where("doc_id IS NULL").count() == 42
+    assert bpe.decode_documents(bpe.encode_documents(none, path), path).count() == 0 and bpe.code_documents(none, path).count() == 0
 
 
 def test_lines(docs, pairs, wide, none):
     got = {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.text)) for r in lines.dedup_lines(docs).collect()}
     assert got == brute.lines(pairs) and any(x[1] for x in got.values())
-    twice = lines.dedup_lines(wide, batches=3)
+    twice = lines.dedup_lines(wide, least_batches=3)
     assert {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.text)) for r in twice.collect()} == got
     assert set(EXTRA) <= set(twice.columns) and twice.count() == 2 * len(pairs)
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_sparse_and_null_ids(spark):
+    line = lambda k: f"line number {k} is long enough to be counted here"
+    rnd = random.Random(2)
+    rows = [(None if i == 4 else rnd.randrange(-(2**40), 2**62), "\n".join(line(rnd.randrange(12)) for _ in range(3))) for i in range(40)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.text)) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_batches=6).collect()}
+    want = brute.lines([(lines.NO_ID if i is None else i, t) for i, t in rows])
+    assert got == {None if i == lines.NO_ID else i: x for i, x in want.items()} and len({x[1] for x in got.values()}) > 1
+
+
+def test_line_runs_have_levels(spark):
+    runs = lines.LineRuns(spark, min_docs=3, fanout=2, buckets=2)
+    want: dict[bytes, list[int]] = {}
+    sizes = []
+    for batch in range(5):
+        rows = [(bytes([k]), 1, 100 - batch) for k in range(6) if k <= 3 or (k + batch) % 2]
+        for k, n, last in rows:
+            want.setdefault(k, []).append(last)
+        runs.add(spark.createDataFrame(rows, lines.RUN))
+        sizes.append([len(x) for x in runs.levels])
+    assert sizes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    assert {bytes(r.k) for r in runs.levels[0][0][0].collect()}.isdisjoint({b"\0", b"\1"})  # settled lines don't enter again
+    got = {bytes(r.k): (r.n, r["last"]) for r in runs.totals().collect()}
+    assert {k: x[1] for k, x in got.items()} == {k: max(x) for k, x in want.items()}
+    assert {k: min(x[0], 3) for k, x in got.items()} == {k: min(len(x), 3) for k, x in want.items()}
+
+
 def test_topk(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rnd.normal(size=5).round(1)]) for i in range(230)]
@@ -117,6 +157,8 @@ def test_topk(spark):
     floats = [(r.vec_id, list(r.embedding) if r.embedding else None) for r in v.collect()]
     got = {tuple(r) for r in topk.exact_topk(v, v.where("vec_id % 100 = 0")).collect()}
     assert got == brute.topk([x for x in floats if x[1]])
+    odd = spark.createDataFrame([(100, [1.0, None]), (100, [1.0, 2.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (None, [9.0, 9.0]), (2, [3e37, -3e37]), (3, [1e14, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk.exact_topk(odd, odd.where("vec_id = 100")).collect()] == [(3, 2**63 - 1), (1, 2**21), (1, 2**21)]
     few = v.where("vec_id < 4")
     assert topk.exact_topk(few, few.where("vec_id = 0")).count() == 3
     assert topk.exact_topk(v.limit(0), v.limit(0)).count() == 0
@@ -136,19 +178,70 @@ def test_decontamination(spark, docs, none):
     assert decon.decontaminate(none, bench).count() == 0 and decon.contamination(docs, bench.limit(0)).count() == 0
 
 
+def _groups(df, n, **kw):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, n, **kw).collect()), key=str)
+
+
+def test_decontamination_beyond_ascii(spark):
+    rnd = random.Random(4)
+    item = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(40))
+    rows = [(0, "\u201c" + item.replace(" ", "\u00a0") + "\u201d"), (1, "\uff0c".join(item.split())), (2, f"長い文章の中に{han}があります。"), (3, han[:10] + "x" + han[32:])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, han)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decon.contamination(d, bench).collect()} == {(0, 7), (1, 7), (2, 8)}
+
+
+def test_token_spans_by_regex():
+    import regex
+
+    from quillon.llm._bytes import token_spans
+
+    alone = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}]"
+    texts = ["", "abc def-1", "naïve «quoted» text\u00a0here", "don\u2019t \u201cx\u201d", "日本語 text混じり。", "½ ª × ÷ ²", "ไทย", "ｆｕｌｌ，ｗｉｄｔｈ！１２", "русский ёж", "a\U0001f600b", "한국어 말"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    start, end, row = token_spans(data, offsets)
+    got = [(int(r), data[a:b].tobytes().decode()) for a, b, r in zip(start, end, row, strict=True)]
+    want = [(i, m[0]) for i, t in enumerate(texts) for m in regex.finditer(rf"{alone}|(?:(?!{alone})[\p{{L}}\p{{N}}\p{{M}}])+", t)]
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_duplicates(docs, pairs, wide, none, n):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, n).collect()}
-    assert got == brute.components(pairs, n)
-    assert minhash.near_duplicates(wide, n).count() == 2 * len(pairs)
+    assert _groups(docs, n) == brute.components(pairs, n)
+    assert _groups(wide, n) == brute.components(pairs + pairs, n)
     assert minhash.near_duplicates(none, n).count() == 0
 
 
 def test_near_duplicate_chains(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(100 - i, " ".join(words[5 * i : 5 * i + 60])) for i in range(25)]  # each is like its neighbours only
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
-    assert got == brute.components(rows)
+    assert _groups(spark.createDataFrame(rows, "doc_id long, text string"), 2) == brute.components(rows)
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, ""), (4, b + " more"), (5, None), (None, a), (None, None), (6, "c"), (6, "d"), (7, "d")]
+    got = _groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert got == brute.components(rows) and {r[2] for r in got} == {None, 1, 5, 6}
+
+
+def test_near_duplicate_groups_without_loss(spark):
+    """Groups of copies with more and more changes: few members are linked with the hub, many only with each other."""
+    rnd = random.Random(11)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(60):
+            text, much = base[:], rnd.choice([2, 4, 8, 12, 14])
+            for _ in range(much):
+                k = rnd.randrange(len(text))
+                text[k : k + 1] = rnd.choice([[], [f"x{rnd.randrange(40)}"], [text[k], f"y{rnd.randrange(40)}"]])
+            rows.append((len(rows) * 3 + 1, " ".join(text)))
+    want = brute.components(rows)
+    assert len({r[2] for r in want}) > 8
+    assert _groups(spark.createDataFrame(rows, "doc_id long, text string"), 2) == want
 
 
 def test_super_minhash_estimates_similarity():

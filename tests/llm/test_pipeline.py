@@ -37,5 +37,5 @@ def test_stages(spark, sf):
         if name == "line_dedup":
             assert {i: brute.sha(t) for i, t in after.items()} == {i: x[2] for i, x in brute.lines(list(before.items())).items()}
         if name == "near_dedup":
-            assert set(after) == {i for i, x in brute.components(list(before.items()), 5).items() if x[2]}
+            assert set(after) == {r[0] for r in brute.components(list(before.items()), 5) if r[3]}
     assert seen == ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe"]
