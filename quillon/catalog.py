@@ -8,13 +8,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon import plans
+from quillon.operators import panel_queries
 from quillon.operators import queries as operator_queries
+from quillon.plans.oracles import ORACLES
 from quillon.sources import facts
 from quillon.sources.roles import FACTS_SQL
 
 
 def _planned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return plans.run(spark, name, facts(spark, sf_dir))
+    return plans.run(spark, name, facts(spark, sf_dir, plans.roles(name)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_planned, name=name) for name in plans.PLANS} | operator_queries.QUERIES
+    return {name: partial(_planned, name=name) for name in plans.PLANS} | operator_queries.QUERIES | panel_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plans.duckdb_sql(name, FACTS_SQL) for name in plans.PLANS} | operator_queries.ORACLE
+    return {name: plans.duckdb_sql(name, FACTS_SQL) for name in plans.PLANS} | ORACLES | operator_queries.ORACLE | panel_queries.ORACLE

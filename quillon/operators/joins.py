@@ -12,13 +12,14 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_day: s
     stretch and the next one, so the join is an equi-join whose size is bounded by what two stretches hold."""
     width = tolerance + 1
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
-    a = left.withColumn("__row", F.xxhash64(*left.columns)).withColumn("__b", F.explode(F.array(number(F.col(left_day)), number(F.col(left_day)) + 1)))
+    a = left.groupBy(*left.columns).agg(F.count("*").alias("__n")).withColumn("__b", F.explode(F.array(number(F.col(left_day)), number(F.col(left_day)) + 1)))
     right = right.select(*(F.col(c).alias(c if c in keys else f"__r_{c}") for c in right.columns))
     day = f"__r_{right_day}"
     gap = F.datediff(F.col(day), F.col(left_day))
     found = a.join(right.withColumn("__b", number(F.col(day))), [*keys, "__b"]).where(gap.between(0, tolerance))
     others = [c for c in right.columns if c not in keys]
-    best = found.groupBy("__row", *left.columns).agg(F.min_by(F.struct(*others), F.struct(day, *[c for c in others if c != day])).alias("__best"))
+    best = found.groupBy("__n", *left.columns).agg(F.min_by(F.struct(*others), F.struct(day, *[c for c in others if c != day])).alias("__best"))
+    best = best.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))  # equal rows are joined once
     return best.select(*left.columns, *(F.col(f"__best.{c}").alias(c.removeprefix("__r_") if c.removeprefix("__r_") not in left.columns else c.removeprefix("__r_") + "_right") for c in others))
 
 

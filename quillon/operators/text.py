@@ -12,12 +12,15 @@ from pyspark.sql.types import DoubleType
 
 
 def stock_code(x: Column) -> Column:
-    """Six digits of an ISIN (KR7...), an A-code or digits of up to six places; else null."""
-    x = F.upper(F.trim(x))
+    """Six digits of an ISIN (KR7...), of an A-code, of ten digits (the second to the seventh) or of six; else null.
+    Dashes and spaces don't count, nor do other characters that aren't digits in the last two forms."""
+    x = F.regexp_replace(F.upper(x), r"[-\s]", "")
+    digits = F.regexp_replace(x, r"\D", "")
     return (
         F.when(x.rlike(r"^KR[0-9A-Z]{10}$"), F.substring(x, 4, 6))
         .when(x.rlike(r"^A[0-9]{6}$"), F.substring(x, 2, 6))
-        .when(x.rlike(r"^[0-9]{1,6}$"), F.lpad(x, 6, "0"))
+        .when(F.length(digits) == 10, F.substring(digits, 2, 6))
+        .when(F.length(digits) == 6, digits)
     )
 
 

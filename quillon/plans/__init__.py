@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.plans import aggregates, research, series
 from quillon.plans.dialect import render
+from quillon.sources.roles import ROLES
 
 PLANS: dict[str, str] = aggregates.PLANS | series.PLANS | research.PLANS
 
 
+def roles(name: str) -> set[str]:
+    """The roles that a plan reads."""
+    return {r for r in ROLES if re.search(rf"\b{r}\b", PLANS[name])}
+
+
 def run(spark: SparkSession, name: str, facts: DataFrame) -> DataFrame:
     return spark.sql(render(PLANS[name], 0), f=facts)
 

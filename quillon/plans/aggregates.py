@@ -104,11 +104,13 @@ PLANS = {
                sum(CASE WHEN company IS NULL THEN 1 ELSE 0 END) AS null_company, count(DISTINCT ym) AS months FROM {f})
         SELECT LONG(n) AS n, LONG(null_amt) AS null_amt, LONG(neg_amt) AS neg_amt, LONG(bad_qty) AS bad_qty, months,
                round(greatest(0, 100 - least(30, 100.0 * null_amt / n) - least(20, 100.0 * neg_amt / n) - least(20, 100.0 * bad_qty / n) - CASE WHEN months < 12 THEN 15 ELSE 0 END), 2) AS score FROM s""",
+    # scale and rows on a log scale, 0.5 where all are equal; listed companies have a code; rank within the sector
     "score_companies": """
-        WITH c AS (SELECT company, sum(amt) AS amt, count(*) AS n, count(DISTINCT ym) AS months, count(DISTINCT brand) AS brands FROM {f} GROUP BY company),
-             w AS (SELECT *, (amt - min(amt) OVER ()) / nullif(max(amt) OVER () - min(amt) OVER (), 0) AS a, (n - min(n) OVER ()) / nullif(1.0 * (max(n) OVER () - min(n) OVER ()), 0) AS b,
-                   (months - min(months) OVER ()) / nullif(1.0 * (max(months) OVER () - min(months) OVER ()), 0) AS d, (brands - min(brands) OVER ()) / nullif(1.0 * (max(brands) OVER () - min(brands) OVER ()), 0) AS e FROM c),
-             s AS (SELECT company, 100 * (0.4 * coalesce(a, 0.5) + 0.25 * coalesce(b, 0.5) + 0.2 * coalesce(d, 0.5) + 0.15 * coalesce(e, 0.5)) AS score FROM w),
+        WITH c AS (SELECT company, max(code) AS code, max(sector) AS sector, ln(1 + sum(coalesce(amt, 0))) AS a, sum(coalesce(amt, 0)) AS amt, ln(1 + count(*)) AS n, count(DISTINCT ym) AS months FROM {f} WHERE company IS NOT NULL GROUP BY company),
+             b AS (SELECT min(a) AS a0, max(a) AS a1, min(n) AS n0, max(n) AS n1, greatest(1, max(months)) AS m1 FROM c),
+             w AS (SELECT company, amt, coalesce((a - a0) / nullif(a1 - a0, 0), 0.5) AS scale, CASE WHEN code <> '' THEN 0.6 ELSE 0 END AS investable, 0.7 * months / m1 + 0.3 * coalesce((n - n0) / nullif(n1 - n0, 0), 0.5) AS coverage,
+                   CASE WHEN coalesce(sector, '') = '' THEN 0.3 ELSE 1.0 / row_number() OVER (PARTITION BY sector ORDER BY amt DESC, company) END AS rep FROM c CROSS JOIN b),
+             s AS (SELECT company, round(100 * (0.3 * scale + 0.3 * investable + 0.2 * coverage + 0.2 * rep), 1) AS score FROM w),
              r AS (SELECT company, score, row_number() OVER (ORDER BY score DESC, company) AS pos FROM s)
-        SELECT company, round(score, 4) AS score, CASE WHEN pos <= 20 THEN 'core' WHEN pos <= 30 THEN 'watch' ELSE 'out' END AS tier FROM r""",
+        SELECT company, CAST(score AS DOUBLE) AS score, CASE WHEN pos <= 20 THEN 'core' WHEN pos <= 30 THEN 'watch' ELSE 'out' END AS tier FROM r""",
 }

@@ -42,8 +42,8 @@ PLANS = {
         WITH {_YOY}, w AS (SELECT code, sector, ym, least(greatest(yoy, PCTL(yoy, 0.01) OVER (PARTITION BY ym)), PCTL(yoy, 0.99) OVER (PARTITION BY ym)) AS v FROM y WHERE yoy IS NOT NULL)
         SELECT code, ym, round(v, 4) AS v, round((v - avg(v) OVER (PARTITION BY ym, sector)) / nullif(stddev_samp(v) OVER (PARTITION BY ym, sector), 0), 4) AS z FROM w""",
     "quintiles": f"""
-        WITH {_FWD}, e AS (SELECT ym, PCTL(yoy, 0.2) AS e1, PCTL(yoy, 0.4) AS e2, PCTL(yoy, 0.6) AS e3, PCTL(yoy, 0.8) AS e4, count(*) AS n FROM x WHERE yoy IS NOT NULL GROUP BY ym),
-             b AS (SELECT x.code, x.ym, x.fwd, 1 + CASE WHEN yoy > e1 THEN 1 ELSE 0 END + CASE WHEN yoy > e2 THEN 1 ELSE 0 END + CASE WHEN yoy > e3 THEN 1 ELSE 0 END + CASE WHEN yoy > e4 THEN 1 ELSE 0 END AS q FROM x JOIN e ON x.ym = e.ym WHERE yoy IS NOT NULL AND n >= 5)
+        WITH {_FWD}, e AS (SELECT ym, min(yoy) AS e0, PCTL(yoy, 0.2) AS e1, PCTL(yoy, 0.4) AS e2, PCTL(yoy, 0.6) AS e3, PCTL(yoy, 0.8) AS e4, count(*) AS n FROM x WHERE yoy IS NOT NULL GROUP BY ym),
+             b AS (SELECT x.code, x.ym, x.fwd, 1 + CASE WHEN yoy > e1 AND e1 > e0 THEN 1 ELSE 0 END + CASE WHEN yoy > e2 AND e2 > e1 THEN 1 ELSE 0 END + CASE WHEN yoy > e3 AND e3 > e2 THEN 1 ELSE 0 END + CASE WHEN yoy > e4 AND e4 > e3 THEN 1 ELSE 0 END AS q FROM x JOIN e ON x.ym = e.ym WHERE yoy IS NOT NULL AND n >= 5)
         SELECT ym, q, count(*) AS n, round(avg(fwd), 4) AS fwd FROM b GROUP BY ym, q""",
     "quintile_backtest": f"""
         WITH {_FWD}, e AS (SELECT ym, PCTL(yoy, 0.2) AS e1, PCTL(yoy, 0.8) AS e4, count(*) AS n FROM x WHERE yoy IS NOT NULL GROUP BY ym),
@@ -89,15 +89,18 @@ PLANS = {
         WITH {_MONTHLY}, s AS (SELECT code, count(*) AS n, avg(mn) AS mx, avg(amt) AS my, covar_pop(mn, amt) AS c, var_pop(mn) AS v FROM m GROUP BY code HAVING count(*) >= 4)
         SELECT code, n, round(c / nullif(v, 0), 4) AS slope, round(my - c / nullif(v, 0) * mx, 2) AS intercept FROM s""",
     # normal approximation of the two-sided p-value, then false discovery rates
+    # two-sided p of the normal approximation by a polynomial for erfc (error below 2e-7), then q by false discovery rate
     "fdr": f"""
         WITH {_FWD}, t AS (SELECT code, count(*) AS n, SAFECORR(yoy, fwd) AS r FROM x WHERE yoy IS NOT NULL AND fwd IS NOT NULL GROUP BY code HAVING count(*) >= 8),
-             pv AS (SELECT code, n, r, exp(-0.717 * abs(r) * sqrt(n) - 0.416 * r * r * n) AS p FROM t WHERE r IS NOT NULL),
+             s AS (SELECT code, n, r, abs(r) * sqrt((n - 2) / (1 - least(r * r, 0.999998))) / sqrt(2.0) AS x FROM t WHERE r IS NOT NULL),
+             e AS (SELECT code, n, r, x, 1 / (1 + 0.3275911 * x) AS k FROM s),
+             pv AS (SELECT code, n, r, least(1.0, greatest(0.0, ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-x * x))) AS p FROM e),
              k AS (SELECT *, row_number() OVER (ORDER BY p, code) AS rk, count(*) OVER () AS m FROM pv)
         SELECT code, n, r, round(p, 6) AS p, round(least(1.0, min(p * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
-    "forward_compound": f"""
-        WITH {_MONTHLY}, r AS (SELECT code, ym, 1.0 * tx / nullif(lag(tx) OVER (PARTITION BY code ORDER BY ym), 0) - 1 AS ret FROM m)
-        SELECT code, ym, round(CASE WHEN count(ret) OVER w = 3 THEN exp(sum(ln(greatest(1 + ret, 0.000001))) OVER w) - 1 END, 4) + 0 AS fwd3
-        FROM r WINDOW w AS (PARTITION BY code ORDER BY ym ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)""",
+    # from the next period's price to that three periods later
+    "forward_compound": """
+        WITH p AS (SELECT code, ym, sum(amt) / nullif(sum(qty), 0) AS px FROM {f} WHERE code <> '' GROUP BY code, ym)
+        SELECT code, ym, round(100 * (lead(px, 4) OVER w / nullif(lead(px, 1) OVER w, 0) - 1), 4) AS fwd3 FROM p WINDOW w AS (PARTITION BY code ORDER BY ym)""",
     "event_study": f"""
         WITH {_MONTHLY}, r AS (SELECT code, ym, amt / nullif(lag(amt) OVER (PARTITION BY code ORDER BY ym), 0) - 1 AS g, qty / nullif(lag(qty) OVER (PARTITION BY code ORDER BY ym), 0) - 1 AS ret FROM m),
              h AS (SELECT code, PCTL(g, 0.9) AS cut FROM r GROUP BY code),

@@ -13,11 +13,11 @@ PLANS = {
         SELECT company, TEXT(wk) AS wk, round(amt, 4) AS amt, round(wow, 4) AS wow, round(wow - lag(wow) OVER (PARTITION BY company ORDER BY wk), 4) AS accel FROM g""",
     "moving_average_daily": """
         WITH d AS (SELECT company, dt, sum(amt) AS amt FROM {f} GROUP BY company, dt)
-        SELECT company, TEXT(dt) AS dt, round(amt, 4) AS amt, round(avg(amt) OVER (PARTITION BY company ORDER BY dt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS ma7 FROM d""",
+        SELECT company, TEXT(dt) AS dt, round(amt, 4) AS amt, round(avg(amt) OVER (PARTITION BY company ORDER BY dt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma7 FROM d""",
     # by calendar: the value of the same month a year before, whether or not rows are missing between
     "yoy_by_calendar": f"""
         WITH {_MONTHLY}
-        SELECT a.company, a.ym, round(a.amt, 2) AS amt, round(100 * (a.amt / nullif(y.amt, 0) - 1), 4) AS yoy, round(100 * (a.amt / nullif(p.amt, 0) - 1), 4) AS mom
+        SELECT a.company, a.ym, round(a.amt, 4) AS amt, round(100 * (a.amt / nullif(y.amt, 0) - 1), 4) AS yoy, round(100 * (a.amt / nullif(p.amt, 0) - 1), 4) AS mom
         FROM m a LEFT JOIN m y ON a.company = y.company AND a.mn - 12 = y.mn LEFT JOIN m p ON a.company = p.company AND a.mn - 1 = p.mn""",
     "pct_change_12_rows": f"""
         WITH {_MONTHLY} SELECT company, ym, round(100 * (amt / nullif(lag(amt, 12) OVER (PARTITION BY company ORDER BY ym), 0) - 1), 4) AS pct FROM m""",
@@ -28,7 +28,7 @@ PLANS = {
         SELECT company, ym, round(x, 2) AS x, round(v / nullif(lag(v) OVER (PARTITION BY company ORDER BY ym), 0) - 1, 6) AS pct FROM p""",
     "momentum": f"""
         WITH {_MONTHLY}, a AS (SELECT company, ym, avg(amt) OVER (PARTITION BY company ORDER BY ym ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m3 FROM m)
-        SELECT company, ym, round(m3, 2) AS m3, round(m3 - lag(m3) OVER (PARTITION BY company ORDER BY ym), 2) AS momentum FROM a""",
+        SELECT company, ym, round(m3, 4) AS m3, round(m3 - lag(m3) OVER (PARTITION BY company ORDER BY ym), 4) AS momentum FROM a""",
     "rolling_z": f"""
         WITH {_MONTHLY} SELECT company, ym, round(CASE WHEN count(amt) OVER w >= 3 THEN (amt - avg(amt) OVER w) / nullif(stddev_samp(amt) OVER w, 0) END, 4) AS z
         FROM m WINDOW w AS (PARTITION BY company ORDER BY ym ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
@@ -37,7 +37,7 @@ PLANS = {
             FROM m WINDOW w AS (PARTITION BY company ORDER BY ym ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
         SELECT company, ym, n >= 3 AND (amt < q1 - 1.5 * (q3 - q1) OR amt > q3 + 1.5 * (q3 - q1)) AS outlier FROM q""",
     "rolling_sum_full": f"""
-        WITH {_MONTHLY} SELECT company, ym, round(CASE WHEN count(amt) OVER w = 12 THEN sum(amt) OVER w END, 2) AS ttm
+        WITH {_MONTHLY} SELECT company, ym, round(CASE WHEN count(amt) OVER w = 12 THEN sum(amt) OVER w END, 4) AS ttm
         FROM m WINDOW w AS (PARTITION BY company ORDER BY ym ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""",
     "anomaly_events": f"""
         WITH {_MONTHLY}, z AS (SELECT company, ym, amt, count(*) OVER (PARTITION BY company) AS n, CASE WHEN count(amt) OVER w >= 3 THEN (amt - avg(amt) OVER w) / nullif(stddev_samp(amt) OVER w, 0) END AS z
@@ -53,18 +53,18 @@ PLANS = {
         WITH {_MONTHLY}, l AS (SELECT company, ym, amt, tx, amt / nullif(tx, 0) AS atv, lag(amt) OVER w AS amt0, lag(tx) OVER w AS tx0 FROM m WINDOW w AS (PARTITION BY company ORDER BY ym)),
              e AS (SELECT *, amt0 / nullif(tx0, 0) AS atv0 FROM l WHERE tx0 IS NOT NULL),
              x AS (SELECT company, ym, amt - amt0 AS total, atv0 * (tx - tx0) AS vol, tx0 * (atv - atv0) AS price, (tx - tx0) * (atv - atv0) AS mix FROM e)
-        SELECT company, ym, round(total, 3) + 0 AS total, round(vol, 3) + 0 AS vol, round(price, 3) + 0 AS price, round(mix, 3) + 0 AS mix,
+        SELECT company, ym, round(total, 6) + 0 AS total, round(vol, 6) + 0 AS vol, round(price, 6) + 0 AS price, round(mix, 6) + 0 AS mix,
                CASE WHEN abs(vol) >= 0.6 * (abs(vol) + abs(price) + abs(mix)) THEN 'volume' WHEN abs(price) >= 0.6 * (abs(vol) + abs(price) + abs(mix)) THEN 'price' ELSE 'mixed' END AS driver FROM x""",
     "derived_metrics": f"""
         WITH {_MONTHLY} SELECT company, ym, round(amt / nullif(tx, 0), 4) AS atv, round(amt / nullif(qty, 0), 4) AS asp, round(qty / nullif(tx, 0), 4) AS per_tx FROM m""",
     "trailing_yoy": """
         WITH e AS (SELECT max(dt) AS hi FROM {f}),
              s AS (SELECT company, sum(CASE WHEN DAYS(hi, dt) < 365 THEN amt END) AS recent, sum(CASE WHEN DAYS(hi, dt) >= 365 AND DAYS(hi, dt) < 730 THEN amt END) AS prior FROM {f} CROSS JOIN e GROUP BY company)
-        SELECT company, round(recent, 2) AS recent, round(prior, 2) AS prior, round(100 * (recent - prior) / nullif(abs(prior), 0), 4) AS yoy FROM s WHERE recent IS NOT NULL AND prior IS NOT NULL""",
+        SELECT company, round(recent, 4) AS recent, round(prior, 4) AS prior, round(100 * (recent - prior) / nullif(abs(prior), 0), 4) AS yoy FROM s WHERE recent IS NOT NULL AND prior IS NOT NULL""",
     "ttm_momentum": f"""
         WITH {_MONTHLY}, k AS (SELECT company, amt, dense_rank() OVER (ORDER BY ym DESC) AS r FROM m),
              s AS (SELECT company, sum(CASE WHEN r <= 12 THEN amt END) AS ttm, sum(CASE WHEN r > 12 AND r <= 24 THEN amt END) AS prior FROM k GROUP BY company)
-        SELECT company, round(ttm, 2) AS ttm, round(prior, 2) AS prior, round(100 * (ttm / nullif(prior, 0) - 1), 4) AS chg FROM s""",
+        SELECT company, round(ttm, 4) AS ttm, round(prior, 4) AS prior, round(100 * (ttm / nullif(prior, 0) - 1), 4) AS chg FROM s""",
     "share_shift": """
         WITH y AS (SELECT company, YEARNO(ym) AS yr, sum(amt) AS amt FROM {f} GROUP BY company, YEARNO(ym)),
              k AS (SELECT YEARNO(ym) AS yr FROM {f} GROUP BY YEARNO(ym) HAVING count(DISTINCT ym) = 12), e AS (SELECT min(yr) AS lo, max(yr) AS hi FROM k),
@@ -103,5 +103,5 @@ PLANS = {
         WITH q AS (SELECT company, YEARNO(ym) AS yr, CAST(ceil((ym % 100) / 3.0) AS INT) AS qn, sum(amt) AS amt FROM {f} GROUP BY company, YEARNO(ym), CAST(ceil((ym % 100) / 3.0) AS INT)),
              c AS (SELECT company, yr, qn, sum(amt) OVER (PARTITION BY company, yr ORDER BY qn) AS ytd FROM q),
              l AS (SELECT company, yr, qn, ytd, lag(ytd) OVER w AS before, lag(qn) OVER w AS qb FROM c WINDOW w AS (PARTITION BY company, yr ORDER BY qn))
-        SELECT company, yr, qn, round(ytd, 2) AS ytd, round(CASE WHEN qn = 1 THEN ytd ELSE ytd - before END, 2) AS standalone FROM l WHERE qn = 1 OR qb = qn - 1""",
+        SELECT company, yr, qn, round(ytd, 4) AS ytd, round(CASE WHEN qn = 1 THEN ytd ELSE ytd - before END, 4) AS standalone FROM l WHERE qn = 1 OR qb = qn - 1""",
 }

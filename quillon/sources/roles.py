@@ -17,40 +17,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parse_day(x: Column) -> Column:
+    """A date from a date, a timestamp, digits (YYYYMMDD, as number or text) or text with - / or . between its parts."""
+    text = F.trim(x.cast("string"))
+    digits = F.regexp_extract(text, r"^(\d{8})(?:\.0)?$", 1)
+    parts = F.regexp_replace(F.regexp_extract(text, r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", 0), "[/.]", "-")
+    return F.coalesce(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), F.nullif(parts, F.lit("")).try_cast("date"))
+
+
+def parse_number(x: Column) -> Column:
+    """A double from a number, or from text with thousands separators and spaces; what doesn't parse is null."""
+    return F.regexp_replace(x.cast("string"), r"[,\s]", "").try_cast("double")
+
+
 def bind_roles(df: DataFrame, roles: dict[str, str | Column]) -> DataFrame:
-    """``df`` with canonical columns: missing roles are null of the right type, numbers that don't parse become null,
-    ``ym`` follows from ``dt`` where it isn't bound. Unbound required roles raise."""
+    """``df`` with canonical columns: missing roles are null of the right type, dates and numbers are read by ``parse_day``
+    and ``parse_number``, and what doesn't parse becomes null; ``ym`` follows from ``dt`` where it isn't bound. Unbound required roles raise."""
     if missing := [r for r in REQUIRED if r not in roles]:
         raise ValueError(f"required roles without a column: {missing}")
     bound = {}
     for role, kind in ROLES.items():
         source = roles.get(role)
-        c = F.col(source) if isinstance(source, str) else source
-        if c is None:
-            c = F.lit(None)
-        bound[role] = c.try_cast(kind)
+        c = F.lit(None) if source is None else F.col(source) if isinstance(source, str) else source
+        given = df.select(c.alias("c")).schema["c"].dataType.typeName()
+        if kind == "date" and given not in ("date", "timestamp", "timestamp_ntz", "void"):
+            bound[role] = parse_day(c)
+        elif kind in ("double", "long") and given == "string":
+            bound[role] = parse_number(c).try_cast(kind)
+        else:
+            bound[role] = c.try_cast(kind)
     if "ym" not in roles:
         bound["ym"] = (F.year(bound["dt"]) * 100 + F.month(bound["dt"])).cast("int")
     return df.select(*(c.alias(r) for r, c in bound.items()))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order lines as transactions. Only the columns of the roles are read; small sides are left to Catalyst, which
-    broadcasts them by their measured size."""
-    t = {n: table(spark, sf_dir, n) for n in ("lineitem", "supplier", "nation", "part")}
-    joined = (
-        t["lineitem"]
-        .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"), "left")
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"), "left")
-    )
-    return bind_roles(
-        joined,
-        {
-            "dt": "l_shipdate", "company": "s_name", "code": F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), "brand": "p_brand",
-            "sku": "l_partkey", "cat1": "p_type", "sector": "n_name", "amt": F.col("l_extendedprice") * (1 - F.col("l_discount")), "qty": "l_quantity",
-        },
-    )
+#: The tables that roles of the order lines come from: roles, table, and the keys that are joined.
+SIDES = (
+    ({"company", "sector"}, "supplier", "l_suppkey", "s_suppkey"),
+    ({"sector"}, "nation", "s_nationkey", "n_nationkey"),
+    ({"brand", "cat1"}, "part", "l_partkey", "p_partkey"),
+)
+
+
+def facts(spark: SparkSession, sf_dir: str, roles: set[str] | None = None) -> DataFrame:
+    """The order lines as transactions, with the given roles (all, if None; the others are null): only the tables that
+    these need are joined. Small sides are left to Catalyst, which broadcasts them by their measured size."""
+    sources = {
+        "dt": "l_shipdate", "company": "s_name", "code": F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), "brand": "p_brand",
+        "sku": "l_partkey", "cat1": "p_type", "sector": "n_name", "amt": F.col("l_extendedprice") * (1 - F.col("l_discount")), "qty": "l_quantity",
+    }
+    roles = set(sources) if roles is None else roles | set(REQUIRED)
+    rows = table(spark, sf_dir, "lineitem")
+    for needed_by, name, left, right in SIDES:
+        if needed_by & roles:
+            rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right), "left")
+    return bind_roles(rows, {r: c for r, c in sources.items() if r in roles})
 
 
 #: The same for DuckDB, as the first common table expression.

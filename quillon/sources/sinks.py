@@ -12,6 +12,8 @@ def render_layout(df: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV in UTF-8 with a byte order mark at the head of every file (as part of its header), as spreadsheets expect."""
+    df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
