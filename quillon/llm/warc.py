@@ -200,7 +200,8 @@ def read_bundles(spark: SparkSession, folder: str, keep_payload: bool = True) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     index = spark.read.schema(INDEX).parquet(posixpath.join(folder, "index"))
-    return index.select("bundle").distinct().mapInArrow(read, RECORD)
+    names = index.select("bundle").distinct()
+    return names.repartition(max(1, -(-names.count() // 4))).mapInArrow(read, RECORD)  # names are few bytes, bundles many
 
 
 def fetch_record(entry: dict) -> bytes:
