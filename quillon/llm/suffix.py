@@ -194,6 +194,7 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = materialise(kinds.withColumn("open", (F.col("m") == 1) & F.col("some")), "kinds")
     again = kinds.where("m > 1 AND some").select(*kind)
     mixed = kinds.groupBy(*bucket).agg(F.count("*").alias("kinds"), F.max("open").alias("any")).where("kinds > 1 AND any").select(*bucket)
+    mixed = materialise(mixed, "mixed")
     repeated = rows.where("open").join(again, kind).select("block", "first", "n")
     return materialise(repeated, "repeated"), materialise(kinds.join(mixed, bucket).select(*bucket, "r.*", "open"), "members")
 
@@ -202,7 +203,7 @@ def repeated_spans(blocks: DataFrame, size: int = 200, gram: int = 40) -> DataFr
     """``block, first, n``: runs of repeated windows of ``size`` bytes, by block and offset; they may overlap."""
     found = anchors(blocks, size, gram)
     buckets = found.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi")).where("c > 1")
-    buckets = buckets.select("h", (F.col("lo") == F.col("hi")).alias("alike"))
+    buckets = materialise(buckets.select("h", (F.col("lo") == F.col("hi")).alias("alike")), "grams")  # a table: the join can then split a frequent gram
     shared = materialise(found.join(buckets, "h"), "buckets")
     first, n = F.col("a") - F.shiftright("dn", 8), F.col("dn").bitwiseAND(F.lit(255))
     out = shared.where("alike").select("block", first.alias("first"), n.alias("n"))
