@@ -30,7 +30,7 @@ def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
-    raw = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("A"), F.lpad(key, 6, "0"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("KR7"), F.lpad(key, 6, "0"), F.lit("000"))).otherwise(key)
+    raw = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("A"), F.lpad(key, 6, "0"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("KR7"), F.lpad(key, 6, "0"), F.lit("000"))).otherwise(F.concat(F.lit("1"), F.lpad(key, 6, "0"), F.lit("-001")))
     body = F.concat(F.lit("KR7"), F.lpad(key, 6, "0"), F.lit("00"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.stock_code(raw).alias("code"), F.concat(body, text.isin_check_digit(body).cast("string")).alias("isin"))
 
