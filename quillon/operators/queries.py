@@ -82,8 +82,10 @@ def overlay_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def master_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_mktsegment")
-    fresh = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("c_name"))
+    """Every customer, with a fresh name where one has ordered; keys that only the orders know come along."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    last = F.max("o_orderdate").cast("date").cast("string")
+    fresh = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.concat(F.lit("ordered "), last).alias("c_name"))
     return joins.merge_fresh(old, fresh, "c_custkey")
 
 
@@ -164,7 +166,7 @@ ORACLE = {
     "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "active_suppliers": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49)",
     "overlay_names": "SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name WHEN s_suppkey % 3 = 0 THEN 'reg ' || s_name ELSE '' END AS label FROM supplier",
-    "master_merge": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "master_merge": "SELECT coalesce(c_custkey, k) AS c_custkey, coalesce('ordered ' || d, c_name) AS c_name, c_mktsegment FROM customer FULL JOIN (SELECT o_custkey AS k, strftime(max(o_orderdate), '%Y-%m-%d') AS d FROM orders GROUP BY o_custkey) o ON c_custkey = k",
     "layout": "SELECT n_name AS Nation, CAST(n_nationkey AS VARCHAR) AS Key, '' AS Note FROM nation",
     "unpivot_metrics": "WITH b AS (SELECT p_brand AS brand, round(sum(l_extendedprice * (1 - l_discount)), 4) AS amt, round(sum(l_quantity), 4) AS qty FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY p_brand) SELECT brand, 'amt' AS metric, amt AS value FROM b WHERE amt IS NOT NULL AND brand IS NOT NULL UNION ALL SELECT brand, 'qty', qty FROM b WHERE qty IS NOT NULL AND brand IS NOT NULL",
     "asof_orders": "WITH f AS (SELECT s_name AS company, CAST(l_shipdate AS DATE) AS dt, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS ym, l_quantity AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), s AS (SELECT company, ym, CAST(max(dt) + INTERVAL 1 DAY AS DATE) AS sd FROM f GROUP BY company, ym), d AS (SELECT company, dt, round(avg(qty), 4) AS px FROM f GROUP BY company, dt) SELECT s.company, s.ym, CAST(min(d.dt) AS VARCHAR) AS dt, arg_min(px, d.dt) AS px FROM s JOIN d ON s.company = d.company AND d.dt >= s.sd AND d.dt <= s.sd + INTERVAL 10 DAY GROUP BY s.company, s.ym",

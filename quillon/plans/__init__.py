@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.plans import aggregates, research, series
 from quillon.plans.dialect import render
+from quillon.plans.scaled import SCALED
 from quillon.sources.roles import ROLES
 
 PLANS: dict[str, str] = aggregates.PLANS | series.PLANS | research.PLANS
@@ -19,7 +20,7 @@ def roles(name: str) -> set[str]:
 
 
 def run(spark: SparkSession, name: str, facts: DataFrame) -> DataFrame:
-    return spark.sql(render(PLANS[name], 0), f=facts)
+    return SCALED[name](facts) if name in SCALED else spark.sql(render(PLANS[name], 0), f=facts)
 
 
 def duckdb_sql(name: str, facts_sql: str) -> str:

@@ -111,6 +111,7 @@ PLANS = {
              w AS (SELECT company, amt, coalesce((a - a0) / nullif(a1 - a0, 0), 0.5) AS scale, CASE WHEN code <> '' THEN 0.6 ELSE 0 END AS investable, 0.7 * months / m1 + 0.3 * coalesce((n - n0) / nullif(n1 - n0, 0), 0.5) AS coverage,
                    CASE WHEN coalesce(sector, '') = '' THEN 0.3 ELSE 1.0 / row_number() OVER (PARTITION BY sector ORDER BY amt DESC, company) END AS rep FROM c CROSS JOIN b),
              s AS (SELECT company, round(100 * (0.3 * scale + 0.3 * investable + 0.2 * coverage + 0.2 * rep), 1) AS score FROM w),
-             r AS (SELECT company, score, row_number() OVER (ORDER BY score DESC, company) AS pos FROM s)
-        SELECT company, CAST(score AS DOUBLE) AS score, CASE WHEN pos <= 20 THEN 'core' WHEN pos <= 30 THEN 'watch' ELSE 'out' END AS tier FROM r""",
+             h AS (SELECT company, score FROM s ORDER BY score DESC, company LIMIT 30),
+             r AS (SELECT company, row_number() OVER (ORDER BY score DESC, company) AS pos FROM h)
+        SELECT s.company, CAST(score AS DOUBLE) AS score, CASE WHEN pos <= 20 THEN 'core' WHEN pos <= 30 THEN 'watch' ELSE 'out' END AS tier FROM s LEFT JOIN r ON s.company = r.company""",
 }

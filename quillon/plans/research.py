@@ -21,6 +21,15 @@ _LS = (
     s AS (SELECT ym, ls, turnover, ls - 0.3 * turnover AS net, sum(ls) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING) AS cum, sum(ls - 0.3 * turnover) OVER (ORDER BY ym ROWS UNBOUNDED PRECEDING) AS cum_net FROM v)"""
 )
 
+#: two-sided p of the normal approximation by a polynomial for erfc (error below 2e-7)
+P_VALUES = (
+    _FWD
+    + """, t AS (SELECT code, count(*) AS n, SAFECORR(yoy, fwd) AS r FROM x WHERE yoy IS NOT NULL AND fwd IS NOT NULL GROUP BY code HAVING count(*) >= 8),
+    s AS (SELECT code, n, r, abs(r) * sqrt((n - 2) / (1 - least(r * r, 0.999998))) / sqrt(2.0) AS x FROM t WHERE r IS NOT NULL),
+    e AS (SELECT code, n, r, x, 1 / (1 + 0.3275911 * x) AS k FROM s),
+    pv AS (SELECT code, n, r, least(1.0, greatest(0.0, ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-x * x))) AS p FROM e)"""
+)
+
 PLANS = {
     # known from the fifth business day after the month's end
     "pit_panel": f"""
@@ -88,14 +97,9 @@ PLANS = {
     "regression_line": f"""
         WITH {_MONTHLY}, s AS (SELECT code, count(*) AS n, avg(mn) AS mx, avg(amt) AS my, covar_pop(mn, amt) AS c, var_pop(mn) AS v FROM m GROUP BY code HAVING count(*) >= 4)
         SELECT code, n, round(c / nullif(v, 0), 4) AS slope, round(my - c / nullif(v, 0) * mx, 2) AS intercept FROM s""",
-    # normal approximation of the two-sided p-value, then false discovery rates
-    # two-sided p of the normal approximation by a polynomial for erfc (error below 2e-7), then q by false discovery rate
+    # false discovery rates; in Spark by ``scaled.fdr``
     "fdr": f"""
-        WITH {_FWD}, t AS (SELECT code, count(*) AS n, SAFECORR(yoy, fwd) AS r FROM x WHERE yoy IS NOT NULL AND fwd IS NOT NULL GROUP BY code HAVING count(*) >= 8),
-             s AS (SELECT code, n, r, abs(r) * sqrt((n - 2) / (1 - least(r * r, 0.999998))) / sqrt(2.0) AS x FROM t WHERE r IS NOT NULL),
-             e AS (SELECT code, n, r, x, 1 / (1 + 0.3275911 * x) AS k FROM s),
-             pv AS (SELECT code, n, r, least(1.0, greatest(0.0, ((((1.061405429 * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-x * x))) AS p FROM e),
-             k AS (SELECT *, row_number() OVER (ORDER BY p, code) AS rk, count(*) OVER () AS m FROM pv)
+        WITH {P_VALUES}, k AS (SELECT *, row_number() OVER (ORDER BY p, code) AS rk, count(*) OVER () AS m FROM pv)
         SELECT code, n, r, round(p, 6) AS p, round(least(1.0, min(p * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
     # from the next period's price to that three periods later
     "forward_compound": """

@@ -62,8 +62,8 @@ PLANS = {
              s AS (SELECT company, sum(CASE WHEN DAYS(hi, dt) < 365 THEN amt END) AS recent, sum(CASE WHEN DAYS(hi, dt) >= 365 AND DAYS(hi, dt) < 730 THEN amt END) AS prior FROM {f} CROSS JOIN e GROUP BY company)
         SELECT company, round(recent, 4) AS recent, round(prior, 4) AS prior, round(100 * (recent - prior) / nullif(abs(prior), 0), 4) AS yoy FROM s WHERE recent IS NOT NULL AND prior IS NOT NULL""",
     "ttm_momentum": f"""
-        WITH {_MONTHLY}, k AS (SELECT company, amt, dense_rank() OVER (ORDER BY ym DESC) AS r FROM m),
-             s AS (SELECT company, sum(CASE WHEN r <= 12 THEN amt END) AS ttm, sum(CASE WHEN r > 12 AND r <= 24 THEN amt END) AS prior FROM k GROUP BY company)
+        WITH {_MONTHLY}, k AS (SELECT ym, row_number() OVER (ORDER BY ym DESC) AS r FROM (SELECT DISTINCT ym FROM m) d),
+             s AS (SELECT m.company, sum(CASE WHEN r <= 12 THEN amt END) AS ttm, sum(CASE WHEN r > 12 AND r <= 24 THEN amt END) AS prior FROM m JOIN k ON m.ym = k.ym GROUP BY m.company)
         SELECT company, round(ttm, 4) AS ttm, round(prior, 4) AS prior, round(100 * (ttm / nullif(prior, 0) - 1), 4) AS chg FROM s""",
     "share_shift": """
         WITH y AS (SELECT company, YEARNO(ym) AS yr, sum(amt) AS amt FROM {f} GROUP BY company, YEARNO(ym)),
