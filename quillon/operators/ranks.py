@@ -64,10 +64,16 @@ def percentiles(df: DataFrame, groups: list[str], value: str, shares: dict[str,
     return out.select(*(F.col(f"__g.{g}").alias(g) for g in groups), *shares)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, where it has one, so that several uses don't compute it again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
+
+
 def discovery_rates(df: DataFrame, p: str, ties: list[str], out: str = "q") -> DataFrame:
     """``out``: the false discovery rate of each row's p-value by the step-up rule (the least of p times rows / rank over this
     and all greater p-values, 1 at most)."""
     step = F.floor(F.col(p) * 100_000)
+    df = settled(df)
     ranked = positions(df, p, ties, descending=False, step=step).drop("rnk", "run")
     total = df.agg(F.count("*").alias("__m"))  # one row
     scaled = ranked.join(F.broadcast(total)).withColumns({"__x": F.col(p) * F.col("__m") / F.col("pos"), "__b": step})
