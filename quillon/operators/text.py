@@ -41,15 +41,6 @@ def name_key(x: Column) -> Column:
     return F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}]+", "")
 
 
-def pack_count(x: Column) -> Column:
-    return F.coalesce(F.regexp_extract(x, r"(?i)[x*]\s*([0-9]+)\b", 1).try_cast("int"), F.lit(1))
-
-
-def size_unit(x: Column) -> tuple[Column, Column]:
-    pattern = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(ml|l|g|kg|mg)\b"
-    return F.regexp_extract(x, pattern, 1).try_cast("double"), F.lower(F.regexp_extract(x, pattern, 2))
-
-
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; for the remainder that exact rules leave."""
