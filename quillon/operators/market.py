@@ -25,7 +25,12 @@ def _corr(a: str, b: str) -> Column:
     """Null under two pairs and where one side is constant."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = (F.when(both, F.col(c)) for c in (a, b))
-    return F.when((F.count_if(both) >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+    return F.when((F.count_if(both) >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.covar_pop(x, y) / _spread(F.stddev_pop(x), F.stddev_pop(y)))
+
+
+def _spread(a: Column, b: Column) -> Column:
+    """The divisor of a correlation; ``corr`` itself fails on constant series in ANSI mode, whatever guards it."""
+    return F.nullif(a * b, F.lit(0.0))
 
 
 def signals(daily: DataFrame, freq: str) -> DataFrame:
@@ -37,7 +42,7 @@ def signals(daily: DataFrame, freq: str) -> DataFrame:
     w = W.partitionBy("key").orderBy("period")
     rolling = W.partitionBy("key").orderBy("period").rowsBetween(1 - short, 0)
     varied = (F.min("growth").over(rolling) < F.max("growth").over(rolling)) & (F.min("ret").over(rolling) < F.max("ret").over(rolling))
-    roll = F.when((F.count("*").over(rolling) == short) & varied, F.corr("growth", "ret").over(rolling))
+    roll = F.when((F.count("*").over(rolling) == short) & varied, F.covar_pop("growth", "ret").over(rolling) / _spread(F.stddev_pop("growth").over(rolling), F.stddev_pop("ret").over(rolling)))
     rows = rows.withColumns({"roll": roll, "later": F.array(*(F.lead("ret", n).over(w) for n in range(most + 1)))})
     pairs = rows.select("key", "growth", F.posexplode("later").alias("lag", "after")).where("after IS NOT NULL")
     hit = F.round(100 * F.avg(F.when(F.signum("growth") == F.signum("after"), 1.0).otherwise(0.0)), 1)

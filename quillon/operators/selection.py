@@ -21,10 +21,11 @@ def free_text(columns: list[str], pattern: str) -> Column:
 
 
 def in_range(df: DataFrame, column: str, low: float, high: float) -> Column:
-    """Between low and high; nulls pass only where the range covers all values of the unfiltered table."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
-    whole = lo is None or (low <= lo and high >= hi)
-    return F.col(column).between(low, high) | (F.col(column).isNull() if whole else F.lit(False))
+    """Between low and high; nulls pass only where the range covers all values of the unfiltered table. The bounds are a
+    scalar subquery, so nothing runs before the filtered table does."""
+    bounds = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("b")).scalar()
+    whole = F.coalesce((bounds["lo"] >= low) & (bounds["hi"] <= high), F.lit(True))
+    return F.coalesce(F.col(column).between(low, high), whole)
 
 
 def apply_filters(df: DataFrame, text: tuple[list[str], str] | None = None, equal: dict[str, list] | None = None, tokens: dict[str, list[str]] | None = None, ranges: dict[str, tuple[float, float]] | None = None, required: list[str] = (), excluded: list[str] = ()) -> DataFrame:
