@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import market, products, registry, universe
+from quillon.operators import factors, market, products, registry, universe
 from quillon.operators.text import isin_check_digit
 from quillon.sources.roles import facts, table
 
@@ -220,12 +220,70 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", *(F.round(k, 6).alias(k) for k in kinds))
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir, {"ym", "code", "sector", "amt"})
+    return f.groupBy("code", "sector", "ym").agg(F.sum("amt").alias("sales"), F.count("*").alias("tx"))
+
+
+_FEATURES = ("yoy", "delta", "smooth3", "z6", "tx_yoy", "atv", "atv_yoy", "price_effect")
+
+
+def eight_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amount of a transaction as its logarithm, since a mean of amounts in cents often lies halfway between two digits."""
+    return factors.features(_codes(spark, sf_dir)).withColumn("atv", F.log("atv")).select("code", "ym", *((F.round(c, 4) + 0).alias(c) for c in _FEATURES))
+
+
+def neutral_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth after all five steps, by month; rows of one nation have no sector."""
+    p = factors.features(_codes(spark, sf_dir)).withColumnsRenamed({"ym": "date", "tx": "cap"}).withColumn("sector", F.nullif("sector", F.lit("NATION_3")))
+    return factors.neutralised(p, "yoy", "factor").select("code", F.col("date").alias("ym"), (F.round("factor", 6) + 0).alias("factor"))
+
+
+def neutral_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change of growth after clipping and the deviation within sectors alone."""
+    p = factors.features(_codes(spark, sf_dir)).withColumnsRenamed({"ym": "date", "tx": "cap"})
+    return factors.neutralised(p, "delta", "factor", ("winsorize", "sector_z")).select("code", F.col("date").alias("ym"), (F.round("factor", 6) + 0).alias("factor"))
+
+
+def tracking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of a nation's suppliers against orders of its customers, by quarter."""
+    quarter = lambda d: (F.year(d) * 10 + F.quarter(d)).alias("quarter")
+    sales = facts(spark, sf_dir, {"dt", "sector", "amt"}).groupBy(F.col("sector").alias("nation"), quarter("dt")).agg(F.sum("amt").alias("sales"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    told = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("n_name").alias("nation"), quarter("o_orderdate")).agg(F.sum("o_totalprice").alias("disclosed"))
+    return factors.tracking_quality(sales, told, "nation")
+
+
+def alpha_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    given = table(spark, sf_dir, "supplier").select(
+        k, F.when(k % 5 > 0, k % 61 * 0.977 - 25).alias("mom"), F.when(k % 3 > 0, k % 83 * 0.977 - 30).alias("yoy"), F.when(k % 7 > 0, k % 97 * 0.977).alias("demand"), F.when(k % 4 > 0, k % 15 * 0.977).alias("anomalies"),
+        F.when(k % 2 > 0, k % 12).alias("periods"), F.when(k % 6 > 0, k % 11 / 10).alias("lead_corr"),
+    )
+    return factors.alpha_score(given).select("s_suppkey", F.round("points", 1).alias("points"), "sure")
+
+
+def supplier_isins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _registry(spark, sf_dir)
+    k = F.col("s_suppkey")
+    exchange = r.where("s_suppkey % 2 = 0").select("code", F.col("s_suppkey").cast("string").alias("stock"), "isin", F.lit("main").alias("market"))
+    matches = r.select("s_suppkey", F.when(k % 5 > 0, F.col("corp")).otherwise(" ").alias("corp"), F.when(k % 5 > 0, F.when(k % 3 > 0, F.col("code"))).alias("stock"))
+    return factors.isin_chain(matches, exchange).select("s_suppkey", "isin", "market", "found")
+
+
+def upcoming_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the 30 days from the first order on."""
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    return factors.upcoming(orders, "day", orders.agg(F.min("day").alias("d")).scalar()).select("o_orderkey", F.col("day").cast("string").alias("day"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sku_names, cleaned_names, security_codes, identified, registry_candidates, registry_matches, share_pairs, keyword_owners, catalog_best, company_actions, use_cases,
         brand_review_queue, overridden_brands, delivery_checks, line_numbers_quality, review_dates, next_supplier_id, signals_daily, signals_weekly, signals_monthly, tracking_checks,
-        alpha_panel, delivery_facts, basic_sales, basic_info, brand_categories, shifted_overlay, event_scores,
+        alpha_panel, delivery_facts, basic_sales, basic_info, brand_categories, shifted_overlay, event_scores, eight_features, neutral_growth, neutral_change,
+        tracking_quality, alpha_scores, supplier_isins, upcoming_orders,
     )
 }
 
@@ -237,6 +295,11 @@ _I = """d AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS
     e AS (SELECT k, code, list_sum([CAST(digits[13 - i] AS INTEGER) * (2 - i % 2) - CASE WHEN CAST(digits[13 - i] AS INTEGER) * (2 - i % 2) > 9 THEN 9 ELSE 0 END FOR i IN range(13)]) AS s FROM d),
     i AS (SELECT k, code, CAST((10 - s % 10) % 10 AS INTEGER) AS c, 'KR7' || code || '00' AS body FROM e)"""
 
+#: monthly rows with growth over twelve rows, the row before, and the lists of the last three and six
+_X = _F + """, g AS (SELECT code, nation, ym, sum(amt) AS s, count(*) AS tx, sum(amt) / count(*) AS atv FROM f GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ym) AS j FROM g),
+    y AS (SELECT a.*, 100 * (a.s / nullif(b.s, 0) - 1) AS yoy, 100 * (a.tx / nullif(b.tx, 0) - 1) AS ty, 100 * (a.atv / nullif(b.atv, 0) - 1) AS ay FROM o a LEFT JOIN o b ON b.code = a.code AND b.j = a.j - 12),
+    x AS (SELECT *, list(yoy) OVER (w ROWS 2 PRECEDING) AS last3, list(yoy) OVER (w ROWS 5 PRECEDING) AS last6, lag(yoy) OVER w AS y1 FROM y WINDOW w AS (PARTITION BY code ORDER BY ym))"""
+
 
 def _signals_sql(days: str, period: str, most: int, short: int) -> str:
     corr = lambda a, b: f"CASE WHEN count(*) >= 2 AND min({a}) < max({a}) AND min({b}) < max({b}) THEN corr({a}, {b}) END"
@@ -343,4 +406,28 @@ ORACLE = {
     "shifted_overlay": f"""WITH {_F}, p AS (SELECT company AS key, ym, sum(amt) AS s, sum(amt) / nullif(sum(qty), 0) AS p FROM f GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ym) AS j FROM p)
         SELECT a.key, a.ym, round(100 * b.s / z.s, 4) AS sales, round(100 * a.p / z.p, 4) AS price FROM o a JOIN o z ON z.key = a.key AND z.j = 1 LEFT JOIN o b ON b.key = a.key AND b.j = a.j - 3""",
     "event_scores": "SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'error'), 6) AS error, round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM events GROUP BY user_id",
+    "eight_features": f"""WITH {_X} SELECT code, ym, round(yoy, 4) + 0 AS yoy, round(yoy - y1, 4) + 0 AS delta, round(CASE WHEN list_count(last3) >= 2 THEN list_avg(last3) END, 4) + 0 AS smooth3,
+        round(CASE WHEN list_count(last6) >= 3 THEN (yoy - list_avg(last6)) / nullif(list_stddev_samp(last6), 0) END, 4) + 0 AS z6, round(ty, 4) + 0 AS tx_yoy, round(ln(atv), 4) + 0 AS atv, round(ay, 4) + 0 AS atv_yoy, round(yoy - ty, 4) + 0 AS price_effect FROM x""",
+    "neutral_growth": f"""WITH {_X}, p AS (SELECT code, ym, tx AS cap, CASE WHEN nation <> 'NATION_3' THEN nation END AS sector, sign(yoy) * ln(1 + abs(yoy)) AS v FROM x),
+        w AS (SELECT p.*, CASE WHEN v IS NOT NULL THEN least(greatest(v, lo), hi) END AS u FROM p JOIN (SELECT ym, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM p GROUP BY ym) USING (ym)),
+        z AS (SELECT *, CASE WHEN sector IS NOT NULL THEN (u - avg(u) OVER g) / nullif(stddev_samp(u) OVER g, 0) END AS z FROM w WINDOW g AS (PARTITION BY ym, sector)),
+        r AS (SELECT *, CASE WHEN z IS NOT NULL THEN ((SELECT count(*) FROM z b WHERE b.ym = z.ym AND b.sector = z.sector AND b.z < z.z) + (SELECT count(*) + 1 FROM z b WHERE b.ym = z.ym AND b.sector = z.sector AND b.z = z.z) / 2) / (count(z.z) OVER (PARTITION BY ym, sector)) END AS r FROM z),
+        e AS (SELECT ym, min(cap) AS lo, list_distinct([quantile_cont(cap, 0.2), quantile_cont(cap, 0.4), quantile_cont(cap, 0.6), quantile_cont(cap, 0.8)]) AS e FROM p GROUP BY ym),
+        q AS (SELECT r.*, len(list_filter(e, lambda b: b > lo AND cap > b)) AS q FROM r JOIN e USING (ym))
+        SELECT code, ym, round(CASE WHEN sector IS NOT NULL THEN r - avg(r) OVER (PARTITION BY ym, sector, q) END, 6) + 0 AS factor FROM q""",
+    "neutral_change": f"""WITH {_X}, p AS (SELECT code, ym, nation, yoy - y1 AS v FROM x),
+        w AS (SELECT p.*, CASE WHEN v IS NOT NULL THEN least(greatest(v, lo), hi) END AS u FROM p JOIN (SELECT ym, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM p GROUP BY ym) USING (ym))
+        SELECT code, ym, round((u - avg(u) OVER g) / nullif(stddev_samp(u) OVER g, 0), 6) + 0 AS factor FROM w WINDOW g AS (PARTITION BY ym, nation)""",
+    "tracking_quality": f"""WITH {_F}, s AS (SELECT nation, year(day) * 10 + quarter(day) AS q, sum(amt) AS s FROM f GROUP BY ALL),
+        d AS (SELECT n_name AS nation, year(o_orderdate) * 10 + quarter(o_orderdate) AS q, sum(o_totalprice) AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+        j AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY q) AS j FROM s JOIN d USING (nation, q)), c AS (SELECT b.nation, b.s / nullif(a.s, 0) - 1 AS a, b.d / nullif(a.d, 0) - 1 AS b FROM j b JOIN j a ON a.nation = b.nation AND a.j = b.j - 1),
+        g AS (SELECT nation, count(*) AS n, 100 * avg(CASE WHEN sign(a) = sign(b) THEN 1.0::DOUBLE ELSE 0 END) AS m, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) ELSE 0 END AS r FROM c WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY nation),
+        v AS (SELECT nation, count(*) AS k, CASE WHEN count(*) >= 2 AND avg(s / d) > 0 THEN 1 / (1 + stddev_samp(s / d) / avg(s / d)) ELSE 0 END AS st FROM j GROUP BY nation)
+        SELECT nation, n, round(m, 1) AS match, round(r, 3) AS corr, round(st, 3) AS stability, round(0.5::DOUBLE * m + 30 * abs(r) + 20 * st, 1) AS quality FROM g JOIN v USING (nation) WHERE k >= 4 AND n >= 3""",
+    "alpha_scores": """WITH k AS (SELECT s_suppkey AS k FROM supplier), p AS (SELECT k, CASE WHEN k % 5 > 0 THEN least(1, greatest(0, (k % 61 * 0.977::DOUBLE - 5) / 50)) END AS m, CASE WHEN k % 3 > 0 THEN least(1, greatest(0, (k % 83 * 0.977::DOUBLE - 10) / 60)) ELSE 0 END AS y,
+            CASE WHEN k % 7 > 0 THEN least(1, greatest(0, (k % 97 * 0.977::DOUBLE - 20) / 60)) END AS d, CASE WHEN k % 4 > 0 THEN least(1, (k % 15 * 0.977::DOUBLE) / CASE WHEN k % 2 > 0 THEN greatest(1, k % 12) ELSE 12 END) END AS a, CASE WHEN k % 6 > 0 THEN least(10, greatest(0, ((k % 11) / 10 - 0.5::DOUBLE) * 20)) ELSE 0 END AS b FROM k)
+        SELECT k AS s_suppkey, round(coalesce(round(40 * m + 40 * y, 1), 0) + coalesce(round(35 * d, 1), 0) + coalesce(round((1 - a) * 25, 1), 0) + round(b, 1), 1) AS points, [0.5, 0.65, 0.82, 1][(m IS NOT NULL)::INT + (d IS NOT NULL)::INT + (a IS NOT NULL)::INT + 1]::DOUBLE AS sure FROM p""",
+    "supplier_isins": f"""WITH {_I} SELECT k AS s_suppkey, CASE WHEN k % 5 > 0 AND k % 3 > 0 AND k % 2 = 0 THEN body || c END AS isin, CASE WHEN k % 5 > 0 AND k % 3 > 0 AND k % 2 = 0 THEN 'main' END AS market,
+        CASE WHEN k % 5 = 0 THEN 'no match' WHEN k % 3 = 0 THEN 'unlisted' WHEN k % 2 = 0 THEN 'exchange' ELSE 'not on exchange' END AS found FROM i""",
+    "upcoming_orders": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE CAST(o_orderdate AS DATE) <= (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) + 30",
 }

@@ -99,7 +99,7 @@ def clean_name(x: Column) -> Column:
 
 
 def promotions(x: Column) -> Column:
-    """The words of promotions that occur in the name."""
+    """The words of promotions that occur in the name; none in a null name."""
     return F.filter(F.array(*map(F.lit, PROMOTIONS)), lambda word: F.contains(x, word))
 
 

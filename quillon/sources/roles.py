@@ -51,6 +51,12 @@ def bind_roles(df: DataFrame, roles: dict[str, str | Column]) -> DataFrame:
     return df.select(*(c.alias(r) for r, c in bound.items()))
 
 
+def capabilities(roles: dict[str, str | Column]) -> dict[str, object]:
+    """What bound roles allow: the finest grain, missing required roles, and whether categories, quantities and regions are there."""
+    grain = next((g for g in ("sku", "brand") if g in roles), "company")
+    return {"grain": grain, "missing": [r for r in REQUIRED if r not in roles]} | {f"has_{r}": r in roles for r in ("sku", "brand", "cat1", "qty", "region")}
+
+
 #: The tables that roles of the order lines come from: roles, table, and the keys that are joined.
 SIDES = (
     ({"company", "sector"}, "supplier", "l_suppkey", "s_suppkey"),

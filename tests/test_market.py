@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import market, products, registry, universe
+from quillon.operators import factors, market, products, registry, universe
+from quillon.sources import capabilities
 
 REGISTRY = "code string, isin string, corp string, name_kr string, name_en string, reg_name string, stock string, listed boolean, modified int"
 
@@ -65,7 +67,7 @@ def test_names_and_codes(spark):
         ("신라면 묶음 3-Pack", ["묶음"], "Sinramyeon Mukkeum 3p", True, "KR7005930003", 1, ["신라면", "묶음", "3", "p"]),
         ("", [], "", True, "kr7005930003", 1, []),
         ("a b c", [], "A/b(c)", False, "KR7005930003", 1, ["a", "b", "c"]),
-        (None, None, None, False, None, 1, None),
+        (None, [], None, False, None, 1, None),
     ]
 
 
@@ -108,3 +110,24 @@ def test_calendar_months_of_the_panel(spark):
     panel = market.alpha_panel(spark.createDataFrame(rows, "code string, sku int, ym int, amt double, qty double, trend boolean")).orderBy("ym").collect()
     assert [(r.ym, r.sales_yoy, r.sales_mom, r.asp, r.newproduct_share, r.trend_share) for r in panel] == [(202301, None, None, 10.0, 100.0, 100.0), (202401, 200.0, None, 15.0, 0.0, 0.0), (202402, None, 0.0, None, 100.0, 0.0)]
     assert panel[2].available_date == dt.date(2024, 3, 15)
+
+
+def test_alpha_score_of_missing_parts(spark):
+    rows = [(None, 40.0, None, None, None, None), (30.0, None, None, None, None, None), (30.0, 40.0, 80.0, 0, 12, 0.9), (None, None, None, 3, None, 0.4), (-90.0, -90.0, -9.0, 99, 0, None)]
+    df = spark.createDataFrame(rows, "mom double, yoy double, demand double, anomalies int, periods int, lead_corr double")
+    assert [r.alpha for r in factors.alpha_score(df).collect()] == [0.0, 26.0, 100.0, 12.2, 0.0]
+
+
+def test_neutralised_rows_without_sector_or_spread(spark):
+    rows = [(1, "s", 1.0, 1.0), (1, "s", 3.0, 2.0), (1, "t", 5.0, 3.0), (1, None, 7.0, 4.0), (1, "s", None, 5.0), (2, "s", 2.0, None)]
+    df = spark.createDataFrame(rows, "date int, sector string, x double, cap double")
+    got = {r.x: (r.z and round(r.z, 9), r.p) for r in factors.neutralised(factors.neutralised(df, "x", "z", ("sector_z",)), "x", "p", ("rank_pct",)).collect()}
+    half = round(0.5**0.5, 9)
+    assert got == {1.0: (-half, 0.5), 3.0: (half, 1.0), 5.0: (None, 1.0), 7.0: (None, None), None: (None, None), 2.0: (None, 1.0)}
+    assert {r.x: r.n for r in factors.neutralised(df, "x", "n", ("cap_neutral",)).collect()}[2.0] is None
+    with pytest.raises(ValueError):
+        factors.neutralised(df, "x", "z", ("size",))
+
+
+def test_capabilities():
+    assert capabilities({"dt": "d", "brand": "b"}) == {"grain": "brand", "missing": ["amt"], "has_sku": False, "has_brand": True, "has_cat1": False, "has_qty": False, "has_region": False}
