@@ -87,7 +87,8 @@ def _pieces(name: str, ratio: float = 0.5) -> Column:
 def candidates(names: DataFrame, name: str, registry: DataFrame) -> DataFrame:
     """``name, code, how, rank``: every row of the registry (``code, reg_name, listed, modified``) whose normalised name equals
     the normalised name (exact), or holds it or is held by it (partial: at the beginning or end, or inside with at least half
-    of the longer one's length). Ranks of a name: listed ones first, then the latest modified, then the smallest code."""
+    of the longer one's length). Ranks of a name: listed ones first, then the latest modified, then the smallest code. By this
+    rule a name of one letter is a candidate of all that begin or end with it: rows are as many as there are such pairs."""
     asked = names.select(F.col(name).alias("__n"), name_key(F.col(name)).alias("__k")).where("length(__k) > 0").distinct()
     kept = registry.select("code", "listed", "modified", name_key(F.col("reg_name")).alias("__r")).where("length(__r) > 0")
     keys, regs = asked.select("__k").distinct(), kept.select("__r").distinct()
