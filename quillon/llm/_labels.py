@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows never learned from: crc32 of doc_id as text (null: empty text) is divisible by 5."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
+    """Rows never learned from: crc32 of doc_id as text (null: empty text) modulo ``parts`` is ``part``."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == part
 
 
 def hashed_share(rows: DataFrame, key: str, bound: int) -> DataFrame:
