@@ -104,3 +104,64 @@ def topk(vectors: list[tuple[int, list | None]], step: int = 100, k: int = 10) -
             near = sorted((-sum(a * b for a, b in zip(ok[q], ok[i], strict=True)), i) for i in ok if i != q)[:k]
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(near)}
     return out
+
+
+def resample(docs: list[tuple[int, str | None]], target: list[str | None], buckets: int = 10_000, percent: int = 25, least: int = 20) -> list[tuple]:
+    """(doc_id, n_features, weight, score, rank), sorted."""
+    import math
+    import zlib
+
+    def features(t):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(UPPER))
+        return len(words), [zlib.crc32(x.encode()) % buckets for x in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]]
+
+    own, other = [(i, *features(t)) for i, t in docs], [features(t)[1] for t in target]
+    s, t = defaultdict(int), defaultdict(int)
+    for counts, lists in ((s, [f for _, _, f in own]), (t, other)):
+        for f in lists:
+            for b in f:
+                counts[b] += 1
+    sums = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * sums[0] / ((s[b] + 1.0) * sums[1])))
+    out = []
+    for i, n, f in own:
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(sha(f"7:{'' if i is None else i}")[:8], 16)
+        out.append((i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((x for x in out if x[1] >= least), key=lambda x: (-x[4], x[0] is None, x[0] or 0))
+    rank = {id(x): r + 1 for r, x in enumerate(able[: percent * len(able) // 100])}
+    return sorted(((i, n, w, v, rank.get(id(x))) for x in out for i, _, n, w, v in [x]), key=str)
+
+
+def near(a: str, b: str) -> bool:
+    """Exactly one code point inserted, deleted or replaced."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def spelling(docs: list[tuple[int, str | None]], one_in: int = 31, chars: int = 7, least: int = 2, ratio: int = 10) -> set[tuple]:
+    """(word, form, root, n, n_near, form_n)."""
+    import zlib
+
+    n = defaultdict(int)
+    for i, t in docs:
+        for run in re.findall("[A-Za-z\xc0-\xff]+", t or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % one_in == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= chars and k >= least}
+
+    found = {w: [v for v in n if near(w, v)] for w in n}
+    best = {w: min(vs, key=lambda v: (-n[v], v)) for w, vs in found.items() if vs}
+    form = {w: v for w, v in best.items() if n[v] >= ratio * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {(w, form.get(w), root(w), k, len(found[w]), n[form[w]] if w in form else None) for w, k in n.items()}
