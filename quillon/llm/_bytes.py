@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 _BASES, _GOLDEN = (0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 _VALUES = np.random.default_rng(20260101).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY = b"words"
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -47,6 +49,21 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the keyed BLAKE2b digest of each span; spans are in order and don't overlap. A span that occurs again is
+    digested once. Unlike the polynomial above, equal hashes of unlike spans can't be made up."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    np.subtract.at(edge, end, 1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    lead = np.concatenate([[0], np.cumsum(end - start)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(lead), pa.py_buffer(data[inside])]).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w, digest_size=8, key=_KEY).digest() for w in coded.dictionary.to_pylist())
+    return np.frombuffer(digests, np.uint64)[coded.indices.to_numpy()]
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them); null texts are empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -126,7 +143,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     start, end, row = word_spans(data, offsets, NOT_SPACE)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = span_hash(prefix_hash(LOWER[data]), start, end)
+    word = word_hash(LOWER[data], start, end)
     n = np.bincount(row, minlength=len(offsets) - 1)
     first = np.concatenate([[0], np.cumsum(n)])
     place = np.arange(len(word)) - first[row]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._bytes import chunks, mix, prefix_hash, span_hash, token_spans
+from quillon.llm._bytes import chunks, mix, token_spans, word_hash
 from quillon.llm._store import materialise
 
 def seeds_of(texts: pa.Array, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -33,7 +33,7 @@ def seeds_of(texts: pa.Array, sizes: list[int]) -> Iterator[tuple[np.ndarray, np
         start, end, row = token_spans(data, offsets)
         if not len(start):
             continue
-        token = span_hash(prefix_hash(data), start, end)
+        token = word_hash(data, start, end)
         n = np.bincount(row, minlength=len(offsets) - 1)
         place = np.arange(len(token)) - np.concatenate([[0], np.cumsum(n)])[row]
         for size in sizes:

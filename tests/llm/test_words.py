@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import _crc, langid, queries, resample, spelling
+from quillon.llm import _crc, decon, langid, minhash, queries, resample, spelling
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -185,3 +185,23 @@ def test_elastic_net_leaves_weights_at_zero_and_temperature_calibrates():
     y = rnd.integers(0, 2, 4000)
     logits = np.where(np.eye(2)[np.where(rnd.random(4000) < 0.8, y, 1 - y)] > 0, 6.0, 0.0)
     assert abs(langid.softmax(np.array([6.0, 0.0]) / langid.fit_temperature(logits, y))[0] - 0.8) < 0.03
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word and its complement agree under every polynomial hash modulo 2**64; the operators tell them apart."""
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, morse), (2, other), (3, other)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 2).collect()} == {(1, 1), (2, 2), (3, 2)}
+    bench = spark.createDataFrame([(9, other)], "item_id long, text string")
+    assert {r.doc_id for r in decon.contamination(docs, bench).collect()} == {2, 3}
+
+
+def test_word_hashes():
+    from quillon.llm._bytes import word_hash
+
+    data = np.frombuffer("ab ab,日本 ab".encode(), np.uint8)
+    start, end = np.array([0, 3, 6, 9, 13]), np.array([2, 5, 9, 12, 15])
+    h = word_hash(data, start, end)
+    assert h[0] == h[1] == h[4] and len(set(h.tolist())) == 3
+    assert not len(word_hash(data, np.zeros(0, int), np.zeros(0, int)))
