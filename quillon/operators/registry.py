@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators import products
+from quillon.operators import products, similar
 from quillon.operators.text import name_key, stock_code
 
 
@@ -19,13 +19,14 @@ def _keys(kind: str, key: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
-def identify(queries: DataFrame, query: str, registry: DataFrame) -> DataFrame:
+def identify(queries: DataFrame, query: str, registry: DataFrame, cutoff: float | None = None) -> DataFrame:
     """``queries`` with ``code``, ``how`` and ``score``: the row of the registry (``code, isin, corp, name_kr, name_en``, one row
     per code) that the text of ``query`` stands for, by the first rule that finds one: ticker, RIC, ISIN, ISIN with its check
     digit mended, eight-digit number, code of up to six digits, unique end of a code, exact name, a spelling of a name, or all
     words of the query among those of a name (the name with the fewest words wins). Of rows that a rule finds alike the smallest
     code is taken; null where no rule does. The words of a query are sought by the one that fewest names have, so that words
-    which very many names share are not joined. Similar spellings are left to ``fuzzy_names``."""
+    which very many names share are not joined. With a ``cutoff`` (0.8 or more), what is left takes the name with the most
+    similar spelling (``similar``: one minus edit distance over length; of equally similar names the first in order)."""
     q = F.trim(F.col("__q"))
     asked = queries.select(F.col(query).alias("__q")).where("length(trim(__q)) > 0").distinct()
     code = lambda pattern: F.nullif(F.regexp_extract(q, pattern, 1), F.lit(""))
@@ -55,6 +56,8 @@ def identify(queries: DataFrame, query: str, registry: DataFrame) -> DataFrame:
     first = hits.groupBy("__q").agg(F.min(F.struct("rank", "code", "how", "score")).alias("__hit")).select("__q", "__hit.code", "__hit.how", "__hit.score")
     rest = asked.join(first, "__q", "left_anti")
     found = first.unionByName(_by_words(rest, registry))
+    if cutoff is not None:
+        found = found.unionByName(_by_spelling(asked.join(found, "__q", "left_anti"), registry, cutoff))
     return queries.join(found, F.col(query) == F.col("__q"), "left").drop("__q")
 
 
@@ -73,6 +76,16 @@ def _by_words(rest: DataFrame, registry: DataFrame) -> DataFrame:
     return best.select("__q", "b.code", F.when(several, "words").otherwise("word").alias("how"), F.round(F.when(several, 0.85).otherwise(0.78) + 0.1 * share, 3).alias("score"))
 
 
+def _by_spelling(rest: DataFrame, registry: DataFrame, cutoff: float) -> DataFrame:
+    """The names of the registry in all their spellings against those of the queries."""
+    spelt = lambda df, names, key: df.select(key, F.explode(F.concat(*(F.coalesce(products.name_variants(F.col(x)), F.array().cast("array<string>")) for x in names))).alias("__s"))
+    known = spelt(registry, ["name_en", "name_kr"], "code").where("length(__s) > 0").groupBy("__s").agg(F.min("code").alias("code"))
+    asked = spelt(rest, ["__q"], "__q")
+    near = similar.closest(asked, "__s", known, "__s", cutoff)
+    best = asked.join(near, F.col("__s") == F.col("a")).groupBy("__q").agg(F.min(F.struct((-F.col("ratio")).alias("o"), F.col("b"))).alias("x"))
+    return best.select("__q", F.col("x.b").alias("__s"), (-F.col("x.o")).alias("ratio")).join(known, "__s").select("__q", "code", F.lit("similar").alias("how"), F.round("ratio", 3).alias("score"))
+
+
 def _pieces(name: str, ratio: float = 0.5) -> Column:
     """Hashes of the strings inside a name, shorter than it, that may count as a match: its beginnings and ends, and what is
     inside with at least ``ratio`` of its length."""
