@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import mastering, products, similar
+from quillon.sources import types
 from quillon.sources.roles import table
 
 
@@ -91,7 +92,30 @@ def sku_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(ids, "barcode").select("barcode", "sku_id", "sku_name_en", "sku_slug", "mapping_confidence", "mapping_status", "code")
 
 
-QUERIES = {f.__name__: f for f in (similar_words, product_names, translated_names, brands_resolved, sku_master,)}
+def _text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as a file of text would have them: dates in several forms, separators, blanks, codes with zeros."""
+    d = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("key"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("customer"), F.date_format(d, "yyyyMMdd").alias("day"),
+        F.concat(F.date_format(d, "yyyyMM"), F.lit(".0")).alias("month"), F.when(F.col("o_orderstatus") != "P", F.date_format(d, "yyyy/MM/dd")).otherwise(" ").alias("closed"),
+        F.format_number("o_totalprice", 2).alias("price"), F.format_number(F.floor("o_totalprice"), 0).alias("won"), F.when(F.col("o_orderstatus") == "F", "Y").otherwise("no").alias("filled"),
+        F.col("o_orderpriority").alias("priority"), F.when(F.col("o_totalprice") > 1000, F.date_format(d, "yyyy-MM-dd")).otherwise("soon").alias("mixed"),
+    )
+
+
+def order_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of the orders' text columns; a hundredth of a column's values may be something else."""
+    return types.type_table(spark, types.infer_types(_text_orders(spark, sf_dir), tolerance=0.01))
+
+
+def typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders read back from text by the types found in it."""
+    rows = _text_orders(spark, sf_dir)
+    out = types.typed(rows, types.infer_types(rows, tolerance=0.01))
+    return out.select(*(F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in out.dtypes))
+
+
+QUERIES = {f.__name__: f for f in (similar_words, product_names, translated_names, brands_resolved, sku_master, order_types, typed_orders)}
 
 
 def _case(x: str, words: dict[str, str]) -> str:
@@ -155,4 +179,14 @@ ORACLE = {
         SELECT p_partkey AS barcode, p_partkey :: VARCHAR AS sku_id, sku_name_en, sku_slug, CASE WHEN curated AND known THEN 'high' WHEN curated THEN 'medium' ELSE 'low' END AS mapping_confidence,
                CASE WHEN curated AND known THEN 'verified' WHEN curated THEN 'auto_mapped' ELSE 'needs_review' END AS mapping_status,
                sku_slug || coalesce('__' || nullif(row_number() OVER (PARTITION BY sku_slug ORDER BY p_partkey), 1), '') AS code FROM y""",
+    "order_types": """
+        WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS open, count(*) FILTER (o_totalprice <= 1000) AS small FROM orders)
+        SELECT unnest(['key', 'customer', 'day', 'month', 'closed', 'price', 'won', 'filled', 'priority', 'mixed']) AS column,
+               unnest(['long', 'string', 'date', 'date', 'date', 'double', 'long', 'boolean', 'string', CASE WHEN small <= 0.01 * n THEN 'date' ELSE 'string' END]) AS kind,
+               unnest([NULL, NULL, 'yyyyMMdd', 'yyyyMM', 'yyyy/MM/dd', NULL, NULL, NULL, NULL, CASE WHEN small <= 0.01 * n THEN 'yyyy-MM-dd' END]) AS form, n AS rows,
+               unnest([0, 0, 0, 0, open, 0, 0, 0, 0, 0]) AS nulls, unnest([0, 0, 0, 0, 0, 0, 0, 0, 0, CASE WHEN small <= 0.01 * n THEN small ELSE 0 END]) AS unread FROM n""",
+    "typed_orders": """
+        SELECT o_orderkey AS key, lpad(o_custkey :: VARCHAR, 8, '0') AS customer, o_orderdate :: DATE :: VARCHAR AS day, date_trunc('month', o_orderdate) :: DATE :: VARCHAR AS month,
+               CASE WHEN o_orderstatus <> 'P' THEN o_orderdate :: DATE :: VARCHAR END AS closed, round_even(o_totalprice, 2) AS price, floor(o_totalprice) :: BIGINT AS won, o_orderstatus = 'F' AS filled,
+               o_orderpriority AS priority, CASE WHEN o_totalprice > 1000 THEN o_orderdate :: DATE :: VARCHAR END AS mixed FROM orders""",
 }

@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parse_day(x: Column) -> Column:
-    """A date from a date, a timestamp, digits (YYYYMMDD, as number or text) or text with - / or . between its parts."""
+    """A date from a date, a timestamp, digits (YYYYMMDD, as whole number, double or text) or text with - / or . between its
+    parts. A month alone (YYYYMM from 1900 to 2100, YYYY-MM or YYYY/MM) is its first day."""
     text = F.trim(x.cast("string"))
+    text = F.when(text.rlike(r"^\d\.\d+E\d$"), text.try_cast("double").try_cast("long").cast("string")).otherwise(text)  # a double's text
     digits = F.regexp_extract(text, r"^(\d{8})(?:\.0)?$", 1)
+    month = F.regexp_replace(F.regexp_extract(text, r"^((?:19\d\d|20\d\d|2100)[-/]?\d{2})(?:\.0)?$", 1), "[-/]", "")
     parts = F.regexp_replace(F.regexp_extract(text, r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", 0), "[/.]", "-")
-    return F.coalesce(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), F.nullif(parts, F.lit("")).try_cast("date"))
+    whole = F.coalesce(F.nullif(digits, F.lit("")), F.concat(F.nullif(month, F.lit("")), F.lit("01")))
+    return F.coalesce(F.try_to_date(whole, "yyyyMMdd"), F.nullif(parts, F.lit("")).try_cast("date"))
 
 
 def parse_number(x: Column) -> Column:
