@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import mastering, products, similar
+from quillon.operators import columns, mastering, products, similar
 from quillon.sources import types
 from quillon.sources.roles import table
 
@@ -115,7 +115,17 @@ def typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in out.dtypes))
 
 
-QUERIES = {f.__name__: f for f in (similar_words, product_names, translated_names, brands_resolved, sku_master, order_types, typed_orders)}
+STANDARD = ("Ship Date", "Sales Amount", "Quantity", "Company Name", "Brand", "Item Name", "Category", "Order Count", "Type", "p_name", "Segment Code", "key")
+MAPPED = ("lineitem", "orders", "part", "customer", "supplier", "events")
+
+
+def column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of six tables that fit standard columns best."""
+    out = columns.map_columns(spark, {t: table(spark, sf_dir, t) for t in MAPPED}, list(STANDARD))
+    return out.withColumn("candidates", F.array_join("candidates", "|"))
+
+
+QUERIES = {f.__name__: f for f in (similar_words, product_names, translated_names, brands_resolved, sku_master, order_types, typed_orders, column_mapping)}
 
 
 def _case(x: str, words: dict[str, str]) -> str:
@@ -189,4 +199,19 @@ ORACLE = {
         SELECT o_orderkey AS key, lpad(o_custkey :: VARCHAR, 8, '0') AS customer, o_orderdate :: DATE :: VARCHAR AS day, date_trunc('month', o_orderdate) :: DATE :: VARCHAR AS month,
                CASE WHEN o_orderstatus <> 'P' THEN o_orderdate :: DATE :: VARCHAR END AS closed, round_even(o_totalprice, 2) AS price, floor(o_totalprice) :: BIGINT AS won, o_orderstatus = 'F' AS filled,
                o_orderpriority AS priority, CASE WHEN o_totalprice > 1000 THEN o_orderdate :: DATE :: VARCHAR END AS mixed FROM orders""",
+    "column_mapping": f"""
+        WITH RECURSIVE c AS (SELECT table_name AS t, column_index AS j, column_name AS r, replace(lower(column_name), '_', '') AS b, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' THEN 'float' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'object' END AS d
+                   FROM duckdb_columns() WHERE table_name IN {MAPPED}),
+             s (i, s, kind) AS (VALUES (0, 'Ship Date', 'date'), (1, 'Sales Amount', 'amount'), (2, 'Quantity', 'quantity'), (3, 'Company Name', 'company'), (4, 'Brand', 'brand'), (5, 'Item Name', 'sku'), (6, 'Category', 'category'), (7, 'Order Count', 'count'), (8, 'Type', 'category'), (9, 'p_name', 'text'), (10, 'Segment Code', 'category'), (11, 'key', 'text')),
+             k (kind, pattern, numeric, named) AS (VALUES ('date', 'date|day|ymd', false, false), ('amount', 'amount|amt|revenue|sales|value|price', true, false), ('quantity', 'qty|quantity|ea', true, false), ('count', 'count|cnt|numberoftx|ntx', true, false), ('company', 'company|corp|client|vendor|accountname|grpacnt', false, true),
+                   ('brand', 'brand|maker|grpitem', false, true), ('sku', 'sku|item|product|goods', false, true), ('category', 'cate|genre|type|class|lrcl|mdcl|smcl|sector|industry|segment', false, true), ('text', '^\\b$x', false, false)),
+             f AS (SELECT t, i, s, s.kind, j, r, replace(lower(s), ' ', '') AS z, regexp_matches(b, pattern) AS hit, CASE WHEN numeric THEN d IN ('int', 'float') WHEN named THEN d = 'object' ELSE s.kind = 'date' AND d = 'datetime' END AS fits,
+                          replace(replace(lower(s), ' ', ''), '_', '') AS a, b, CASE WHEN named AND r LIKE '%\\_name' ESCAPE '\\' THEN 15 ELSE 0 END AS bonus FROM c, s JOIN k USING (kind)),
+             p AS (SELECT *, CASE WHEN a = b THEN 100 WHEN hit AND (contains(a, b) OR contains(b, a)) THEN 80 + 5 * fits :: INT + bonus WHEN hit THEN 60 + 5 * fits :: INT + bonus WHEN contains(a, b) OR contains(b, a) THEN 30 + 10 * fits :: INT + bonus WHEN fits THEN 10 + bonus ELSE 0 END AS score FROM f),
+             g AS (SELECT DISTINCT t, 0 AS step, [] :: INT[] AS si, [] :: INT[] AS sj, NULL :: INT AS i, NULL :: VARCHAR AS r, NULL :: INT AS score FROM c
+                   UNION ALL SELECT t, step + 1, list_append(si, best.i), list_append(sj, best.j), best.i, best.r, best.score
+                   FROM g, LATERAL (SELECT p.i, p.j, p.r, p.score FROM p WHERE p.t = g.t AND p.score > 0 AND NOT list_contains(g.si, p.i) AND NOT list_contains(g.sj, p.j) ORDER BY p.score DESC, p.i, p.j LIMIT 1) best),
+             n AS (SELECT t, i, array_to_string(list(r ORDER BY score DESC, j)[1:5], '|') AS candidates FROM p WHERE score > 0 GROUP BY ALL)
+        SELECT tabs.t AS "table", s AS std_col, kind, g.r AS raw_col, coalesce(g.score, 0) AS score, coalesce(candidates, '') AS candidates
+        FROM (SELECT DISTINCT t FROM c) tabs CROSS JOIN s LEFT JOIN g ON g.t = tabs.t AND g.i = s.i LEFT JOIN n ON n.t = tabs.t AND n.i = s.i""",
 }
