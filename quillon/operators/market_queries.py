@@ -395,11 +395,10 @@ ORACLE = {
         SELECT h.code, h.ym, CAST(last_day(h.mo) + 15 AS VARCHAR) AS available_date, round(h.sales, 4) AS sales, h.quantity, h.share, h.asp, h.newproduct_share, h.trend_share, round(100 * round(h.sales / y.sales - 1, 4), 4) + 0 AS sales_yoy, round(100 * round(h.sales / m.sales - 1, 4), 4) + 0 AS sales_mom,
         round(100 * round(h.s3 / q.s3 - 1, 4), 4) + 0 AS sales_3m, round(100 * round(h.asp / y.asp - 1, 4), 4) + 0 AS asp_yoy, round(100 * round(h.asp / m.asp - 1, 4), 4) + 0 AS asp_mom, round(h.share - m.share, 4) + 0 AS share_mom, round(h.share - y.share, 4) + 0 AS share_yoy, round(h.trend_share - y.trend_share, 2) + 0 AS trend_share_yoy
         FROM h LEFT JOIN h y ON y.code = h.code AND y.mo = h.mo - INTERVAL 1 YEAR LEFT JOIN h m ON m.code = h.code AND m.mo = h.mo - INTERVAL 1 MONTH LEFT JOIN h q ON q.code = h.code AND q.mo = h.mo - INTERVAL 3 MONTH""",
-    "delivery_facts": f"""WITH {_F}, g AS (SELECT CASE grouping(sku) + grouping(brand) WHEN 0 THEN 'sku' WHEN 1 THEN 'brand' ELSE 'company' END AS tier, company, brand, sku, ym, make_date(ym // 100, ym % 100, 1) AS mo, sum(amt) AS sales, sum(qty) AS quantity
-            FROM f GROUP BY GROUPING SETS ((company, brand, sku, ym), (company, brand, ym), (company, ym)))
-        SELECT g.tier, g.company, g.brand, g.sku, g.ym, CAST(last_day(g.mo) + 15 AS VARCHAR) AS available_date, g.quantity, round(g.sales, 4) AS sales, round(100 * (g.sales / nullif(y.sales, 0) - 1), 4) + 0 AS yoy, round(100 * (g.sales / nullif(m.sales, 0) - 1), 4) + 0 AS mom
-        FROM g LEFT JOIN g y ON y.tier = g.tier AND y.company = g.company AND coalesce(y.brand, '') = coalesce(g.brand, '') AND coalesce(y.sku, -1) = coalesce(g.sku, -1) AND y.mo = CAST(g.mo - INTERVAL 1 YEAR AS DATE)
-        LEFT JOIN g m ON m.tier = g.tier AND m.company = g.company AND coalesce(m.brand, '') = coalesce(g.brand, '') AND coalesce(m.sku, -1) = coalesce(g.sku, -1) AND m.mo = CAST(g.mo - INTERVAL 1 MONTH AS DATE)""",
+    "delivery_facts": f"""WITH {_F}, g AS (SELECT CASE grouping(sku) + grouping(brand) WHEN 0 THEN 'sku' WHEN 1 THEN 'brand' ELSE 'company' END AS tier, company, brand, sku, ym, ym // 100 * 12 + ym % 100 AS mn, sum(amt) AS sales, sum(qty) AS quantity
+            FROM f GROUP BY GROUPING SETS ((company, brand, sku, ym), (company, brand, ym), (company, ym))),
+        h AS (SELECT *, max(sales) OVER (PARTITION BY tier, company, brand, sku ORDER BY mn RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING) AS y, max(sales) OVER (PARTITION BY tier, company, brand, sku ORDER BY mn RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS m FROM g)
+        SELECT tier, company, brand, sku, ym, CAST(last_day(make_date(ym // 100, ym % 100, 1)) + 15 AS VARCHAR) AS available_date, quantity, round(sales, 4) AS sales, round(100 * (sales / nullif(y, 0) - 1), 4) + 0 AS yoy, round(100 * (sales / nullif(m, 0) - 1), 4) + 0 AS mom FROM h""",
     "basic_sales": f"WITH {_F} SELECT CAST(day AS VARCHAR) AS day, company, company || '_' || brand AS brand, 'all' AS channel, round(sum(amt), 4) AS amount, sum(qty) AS quantity, count(*) AS lines, '' AS people FROM f GROUP BY ALL",
     "basic_info": f"WITH {_F} SELECT DISTINCT company, company || '_' || brand AS brand FROM f WHERE brand <> 'Brand#1' UNION SELECT company, company || '_Total' FROM f",
     "brand_categories": f"WITH {_F}, c AS (SELECT company, brand, cat, count(*) AS n FROM f GROUP BY ALL) SELECT company, brand, cat AS category, n FROM c QUALIFY row_number() OVER (PARTITION BY company, brand ORDER BY n DESC, cat) = 1",

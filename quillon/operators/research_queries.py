@@ -104,10 +104,12 @@ _S = _M + """, h AS (SELECT m.*, 100 * amt / sum(amt) OVER (PARTITION BY ym) AS
 
 
 def _ranked(by: str, least: int) -> str:
-    """From pairs ``x`` (by, a, b): ``c`` with Spearman's correlation to three digits, the share of one sign, and counts."""
+    """From pairs ``x`` (by, a, b): ``c`` with Spearman's correlation to three digits, the share of one sign, and counts. Ranks count
+    twice and moments are whole numbers, so that no order of summing can move a correlation over a rounding edge."""
     part = f"PARTITION BY {by}"
-    return f"""k AS (SELECT {by}, a, b, rank() OVER ({part} ORDER BY a) + (count(*) OVER ({part}, a) - 1) / 2 AS ra, rank() OVER ({part} ORDER BY b) + (count(*) OVER ({part}, b) - 1) / 2 AS rb FROM x),
-    c AS (SELECT {by}, count(*) AS n, round(avg(CAST(sign(a) = sign(b) AS INTEGER)), 2) AS hit, CASE WHEN count(*) >= {least} AND min(a) < max(a) AND min(b) < max(b) THEN round(corr(ra, rb), 3) END AS corr FROM k GROUP BY {by})"""
+    moment = lambda x, y: f"CAST(count(*) * sum({x} * {y}) - sum({x}) * sum({y}) AS DOUBLE)"
+    return f"""k AS (SELECT {by}, a, b, 2 * rank() OVER ({part} ORDER BY a) + count(*) OVER ({part}, a) - 1 AS ra, 2 * rank() OVER ({part} ORDER BY b) + count(*) OVER ({part}, b) - 1 AS rb FROM x),
+    c AS (SELECT {by}, count(*) AS n, round(avg(CAST(sign(a) = sign(b) AS INTEGER)), 2) AS hit, CASE WHEN count(*) >= {least} AND min(a) < max(a) AND min(b) < max(b) THEN round({moment("ra", "rb")} / nullif(sqrt({moment("ra", "ra")} * {moment("rb", "rb")}), 0), 3) END AS corr FROM k GROUP BY {by})"""
 
 
 def _rated(rows: str, corr: str, ties: str) -> str:
