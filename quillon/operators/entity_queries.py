@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators import currency, entities
+from quillon.operators import currency, entities, receivables
 from quillon.sources.roles import table
 
 
@@ -63,7 +63,37 @@ def currency_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("day").cast("string").alias("day"), *((F.round(c, 4) + 0).alias(c) for c in ("short", "mid", "combined")), "advice")
 
 
-QUERIES = {f.__name__: f for f in (order_industries, order_sectors, part_holders, first_orders, currency_scores)}
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts and collections as JSON documents, one of each per customer: from the first order to the last, a record per order."""
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    one = orders.groupBy("o_custkey").agg(F.min("day").alias("a"), F.max("day").alias("b"), (12 * F.floor(F.sum("o_totalprice") / 12)).cast("double").alias("fee"), F.max_by("o_orderstatus", F.struct("o_orderkey")).alias("s"))
+    c = one.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    often = F.element_at(F.create_map(*(F.lit(x) for x in ("AUTOMOBILE", "monthly", "BUILDING", "annually", "MACHINERY", "one-time", "HOUSEHOLD", "Quarterly"))), F.col("c_mktsegment"))
+    share = lambda owner, ratio, amount, mode: F.struct(owner.alias("owner"), ratio.alias("ratio"), amount.alias("amount"), F.lit(mode).alias("mode"))
+    shares = F.array(share(F.col("c_mktsegment"), F.lit(0.3), F.lit(0.0), "ratio"), share(F.lit("fixed"), F.lit(0.0), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).otherwise(0.0), "amount"))
+    contract = F.struct(
+        F.col("c_custkey").cast("string").alias("id"), often.alias("billing_frequency"), (F.col("s") == "O").alias("auto_renewal"), F.col("a").cast("string").alias("effective_date"), F.col("b").cast("string").alias("subscription_end_date"),
+        F.col("fee").alias("yearly_fee"), F.when(F.col("c_nationkey") < 12, "USD").otherwise("KRW").alias("currency"), F.col("c_nationkey").alias("payment_terms_days"), shares.alias("revenue_shares"),
+    )
+    contracts = c.select(F.lit("contracts").alias("name"), F.to_json(F.array(contract)).alias("data"))
+    by_day = orders.groupBy("o_custkey", "day").agg(F.min("o_orderstatus").alias("s"), F.max("o_orderpriority").alias("p")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    steps = F.create_map(F.col("c_mktsegment"), F.struct(F.lit(True).alias("tax_invoice"), F.lit(True).alias("expense"), (F.col("p") < "3").alias("paid")), F.lit("fixed"), F.struct(F.lit(True).alias("tax_invoice"), F.lit(True).alias("expense"), F.lit(True).alias("paid")))
+    record = F.struct((F.col("s") != "P").alias("manager"), F.lit(True).alias("accounting"), F.lit(True).alias("ar"), (F.col("p") != "5-LOW").alias("invoiced"), F.date_add("day", 3).cast("string").alias("invoiced_at"), F.date_add("day", 40).cast("string").alias("paid_at"), steps.alias("payout"))
+    keyed = F.struct(F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("day").cast("string")).alias("k"), record.alias("v"))
+    collections = by_day.groupBy("o_custkey").agg(F.collect_list(keyed).alias("r")).select(F.lit("collections").alias("name"), F.to_json(F.map_from_entries("r")).alias("data"))
+    return contracts.unionByName(collections)
+
+
+def receivable_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections of contracts read from JSON, as of the first of 2000."""
+    store = _store(spark, sf_dir)
+    out = receivables.receivables(receivables.contracts_of(store), receivables.collections_of(store), F.lit("2000-01-01").cast("date"), 1400.0)
+    paid = F.aggregate("payouts", F.lit(0.0), lambda s, p: s + p["amount"])
+    done = F.size(F.filter("payouts", lambda p: p["done"]))
+    return out.select("id", *(F.col(c).cast("string").alias(c) for c in ("due", "payment_due", "payout_due")), F.round("base_amount", 2).alias("base_amount"), "stage", F.size("payouts").alias("partners"), done.alias("partners_done"), F.round(12 * paid, 2).alias("dozen_payouts"))
+
+
+QUERIES = {f.__name__: f for f in (order_industries, order_sectors, part_holders, first_orders, currency_scores, receivable_stages)}
 
 ORACLE = {
     "order_industries": """
@@ -107,4 +137,15 @@ ORACLE = {
                               + CASE WHEN 30 * ust60 IS NULL THEN 0 ELSE least(15, greatest(-15, 30 * ust60)) END - CASE WHEN 1.5 * ko60 IS NULL THEN 0 ELSE least(10, greatest(-10, 1.5 * ko60)) END + CASE WHEN 4 * cny60 IS NULL THEN 0 ELSE least(10, greatest(-10, 4 * cny60)) END + CASE WHEN oil IS NULL THEN 0 ELSE least(10, greatest(-10, oil)) END)) AS mid FROM p)
         SELECT day :: VARCHAR AS day, round(short, 4) + 0 AS short, round(mid, 4) + 0 AS mid, round((short + mid) / 2, 4) + 0 AS combined,
                CASE WHEN short <= -35 AND mid <= -20 THEN 'at once' WHEN least(short, mid) <= -20 AND greatest(short, mid) < 20 THEN 'in parts' WHEN short >= 35 AND mid >= 20 THEN 'wait' WHEN greatest(short, mid) >= 20 AND least(short, mid) > -20 THEN 'only what is needed' ELSE 'by need' END AS advice FROM z""",
+    "receivable_stages": """
+        WITH o AS (SELECT *, o_orderdate :: DATE AS day FROM orders), g AS (SELECT o_custkey AS c, min(day) AS a, max(day) AS b, 12.0 :: DOUBLE * floor(sum(o_totalprice) / 12) AS fee, arg_max(o_orderstatus, o_orderkey) AS s FROM o GROUP BY ALL),
+             k AS (SELECT *, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 12 ELSE 3 END AS step, c_mktsegment = 'MACHINERY' AS once, CASE WHEN s = 'O' THEN greatest(b, DATE '2000-12-31') ELSE b END AS e FROM g JOIN customer ON c_custkey = c),
+             p AS (SELECT *, (a + to_months(CAST(i * step AS INTEGER))) :: DATE AS due FROM (SELECT *, unnest(range(0, CASE WHEN once THEN 1 ELSE 600 END)) AS i FROM k)),
+             q AS (SELECT *, round_even(fee / CASE WHEN once OR step = 12 THEN 1 WHEN step = 1 THEN 12 ELSE 4 END, 2) AS x FROM p WHERE once OR due <= e),
+             r AS (SELECT o_custkey, day, min(o_orderstatus) <> 'P' AS paid, max(o_orderpriority) AS pr FROM o GROUP BY ALL),
+             j AS (SELECT q.*, coalesce(pr <> '5-LOW', false) AS inv, coalesce(paid, false) AS pd, coalesce(pr < '3', false) AS first, pr IS NOT NULL AS rec FROM q LEFT JOIN r ON o_custkey = c AND day = due)
+        SELECT c :: VARCHAR AS id, due :: VARCHAR AS due, CASE WHEN inv THEN (due + 3 + c_nationkey) :: VARCHAR END AS payment_due, CASE WHEN pd THEN last_day(date_trunc('quarter', due + 40) + INTERVAL 3 MONTH) :: VARCHAR END AS payout_due,
+               round(CASE WHEN c_nationkey < 12 THEN 1400 * x ELSE x END, 2) AS base_amount,
+               CASE WHEN NOT inv THEN CASE WHEN due > DATE '2000-01-01' THEN 'planned' ELSE 'to_invoice' END WHEN NOT pd THEN CASE WHEN due + 3 + c_nationkey < DATE '2000-01-01' THEN 'overdue' ELSE 'waiting' END WHEN NOT first THEN 'payout' ELSE 'done' END AS stage,
+               1 + (c_acctbal > 0) :: INT AS partners, first :: INT + (rec AND c_acctbal > 0) :: INT AS partners_done, round(12 * (x * 0.3 :: DOUBLE + CASE WHEN c_acctbal > 0 THEN x * (c_acctbal / fee) ELSE 0 END), 2) AS dozen_payouts FROM j""",
 }
