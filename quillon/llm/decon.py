@@ -7,9 +7,10 @@ tokens is a run of L - seed + 1 seeds on one diagonal, so running Karp-Rabin has
 share of the item's tokens under tiles is its coverage: passages whose parts were reordered are covered as well.
 
 The seeds that tasks filter by are held in sorted blocks of at most ``block_seeds`` hashes; a larger benchmark takes more
-passes over the documents, never more memory.
+passes over the documents, one after the other, never more memory.
 
-Defined cases: null and empty texts match nothing; an item of fewer tokens than ``seed`` is one seed of its own length
+Defined cases: rows of the benchmark that share an item_id are texts of their own, and the item has the coverage of the one
+that is covered most; null and empty texts match nothing; an item of fewer tokens than ``seed`` is one seed of its own length
 and an item without tokens matches nothing; rows that share a doc_id are judged by their own texts, and those that share
 the text too get the same result.
 """
@@ -47,22 +48,23 @@ def seeds_of(texts: pa.Array, sizes: list[int]) -> Iterator[tuple[np.ndarray, np
             yield at + a, place[: len(h)][ok], h[ok].view(np.int64), n[at]
 
 
-SEEDS = "item_id long, ipos int, size int, n_item int, seed long"
+SEEDS = "item_id long, t long, ipos int, size int, n_item int, seed long"
 
 
 def item_seeds(benchmark: DataFrame, seed: int) -> DataFrame:
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size in range(1, seed + 1):
-                for row, place, h, n in seeds_of(batch.column(1), [size]):
+                for row, place, h, n in seeds_of(batch.column(2), [size]):
                     ok = (size == seed) | (n == size)
                     k = int(ok.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row[ok])), pa.array(place[ok].astype(np.int32)), pa.array(np.full(k, size, np.int32)), pa.array(n[ok].astype(np.int32)), pa.array(h[ok])],
-                        ["item_id", "ipos", "size", "n_item", "seed"],
+                        [batch.column(0).take(pa.array(row[ok])), batch.column(1).take(pa.array(row[ok])), pa.array(place[ok].astype(np.int32)), pa.array(np.full(k, size, np.int32)), pa.array(n[ok].astype(np.int32)), pa.array(h[ok])],
+                        ["item_id", "t", "ipos", "size", "n_item", "seed"],
                     )
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).mapInArrow(make, SEEDS)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("t"), F.lower("text").alias("text"))
+    return rows.dropDuplicates(["item_id", "t"]).mapInArrow(make, SEEDS)
 
 
 def seed_hits(docs: DataFrame, seeds: DataFrame, block_seeds: int) -> DataFrame:
@@ -91,6 +93,8 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, block_seeds: int) -> DataFrame:
                         )
 
         found = rows.mapInArrow(find, "doc_id long, h long, dpos int, seed long")
+        found = materialise(found, "hits")  # so that the block's seeds can go before the next block's come
+        held.destroy()
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -127,19 +131,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage
     (h: xxhash64 of the text)."""
     seeds = materialise(item_seeds(benchmark, seed), "item-seeds")
     hits = seed_hits(docs, seeds, block_seeds).distinct()
-    pairs = hits.join(seeds, "seed").select("doc_id", "h", "item_id", "dpos", "ipos", "size", "n_item")
+    pairs = hits.join(seeds, "seed").select("doc_id", "h", "item_id", "t", "dpos", "ipos", "size", "n_item")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         size, n = int(pdf["size"].iloc[0]), int(pdf["n_item"].iloc[0])
         tiles = tile(pdf["dpos"].to_numpy(), pdf["ipos"].to_numpy(), size)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "h": pdf["h"].iloc[:1], "item_id": pdf["item_id"].iloc[:1], "coverage": sum(x[2] for x in tiles) / n, "n_tiles": len(tiles)})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "h": pdf["h"].iloc[:1], "item_id": pdf["item_id"].iloc[:1], "t": pdf["t"].iloc[:1], "coverage": sum(x[2] for x in tiles) / n, "n_tiles": len(tiles)})
 
     # a pair whose seeds touch too few of the item's tokens can't reach the coverage, whatever the tiles
-    touched = pairs.select("doc_id", "h", "item_id", "n_item", F.explode(F.sequence("ipos", F.col("ipos") + F.col("size") - 1)).alias("t")).groupBy("doc_id", "h", "item_id", "n_item").agg(F.countDistinct("t").alias("n"))
-    able = touched.where(F.col("n") >= coverage * F.col("n_item")).select(*(F.col(c).alias(f"{c}_") for c in ("doc_id", "h", "item_id")))
-    on: Column = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("h") == F.col("h_")) & F.col("item_id").eqNullSafe(F.col("item_id_"))
-    judged = pairs.join(able, on, "left_semi").groupBy("doc_id", "h", "item_id").applyInPandas(judge, "doc_id long, h long, item_id long, coverage double, n_tiles int")
-    return judged.where(F.col("coverage") >= coverage)
+    touched = pairs.select("doc_id", "h", "item_id", "t", "n_item", F.explode(F.sequence("ipos", F.col("ipos") + F.col("size") - 1)).alias("at")).groupBy("doc_id", "h", "item_id", "t", "n_item").agg(F.countDistinct("at").alias("n"))
+    able = touched.where(F.col("n") >= coverage * F.col("n_item")).select(*(F.col(c).alias(f"{c}_") for c in ("doc_id", "h", "item_id", "t")))
+    on: Column = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("h") == F.col("h_")) & F.col("item_id").eqNullSafe(F.col("item_id_")) & (F.col("t") == F.col("t_"))
+    judged = pairs.join(able, on, "left_semi").groupBy("doc_id", "h", "item_id", "t").applyInPandas(judge, "doc_id long, h long, item_id long, t long, coverage double, n_tiles int")
+    best = judged.where(F.col("coverage") >= coverage).groupBy("doc_id", "h", "item_id").agg(F.max(F.struct("coverage", "n_tiles")).alias("b"))
+    return best.select("doc_id", "h", "item_id", "b.coverage", "b.n_tiles")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.5) -> DataFrame:

@@ -165,3 +165,25 @@ def spelling(docs: list[tuple[int, str | None]], one_in: int = 31, chars: int =
         return w
 
     return {(w, form.get(w), root(w), k, len(found[w]), n[form[w]] if w in form else None) for w, k in n.items()}
+
+
+def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: the longest common runs of unmarked tokens, of equal ones those of the lowest diagonal first."""
+    used_d, used_i, out = set(), set(), []
+    while True:
+        runs = []
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in used_d and i + n not in used_i:
+                    n += 1
+                if n >= least:
+                    runs.append((n, d, i))
+        if not runs:
+            return out
+        best = max(runs)[0]
+        for n, d, i in sorted((r for r in runs if r[0] == best), key=lambda r: (r[1] - r[2], r[1])):
+            if not any(d + k in used_d or i + k in used_i for k in range(n)):
+                out.append((d, i, n))
+                used_d |= set(range(d, d + n))
+                used_i |= set(range(i, i + n))

@@ -205,3 +205,47 @@ def test_word_hashes():
     h = word_hash(data, start, end)
     assert h[0] == h[1] == h[4] and len(set(h.tolist())) == 3
     assert not len(word_hash(data, np.zeros(0, int), np.zeros(0, int)))
+
+
+def test_tiles_by_plain_tiling():
+    rnd = random.Random(7)
+    for _ in range(60):
+        item = [rnd.choice("abcd") for _ in range(rnd.randrange(3, 30))]
+        doc = [rnd.choice("abcd") for _ in range(10)] + item[5:20] + [rnd.choice("abcd") for _ in range(5)] + item[:8]
+        seeds = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if doc[d : d + 3] == item[i : i + 3]]
+        got = decon.tile(np.array([d for d, _ in seeds]), np.array([i for _, i in seeds]), 3) if seeds else []
+        assert got == brute.tiles(doc, item, 3)
+
+
+def test_contamination_by_plain_tiling_with_shared_item_ids(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i % 5, " ".join(rnd.choice(words) for _ in range(rnd.randrange(5, 25)))) for i in range(8)] + [(0, None), (None, " ".join(words[:9]))]
+    docs = []
+    for i in range(40):
+        parts = [t.split() for _, t in rnd.sample(items, 2) if t]
+        cut = [p[(k := rnd.randrange(len(p))) :] + p[:k] if rnd.random() < 0.5 else p[: rnd.randrange(len(p))] for p in parts]
+        docs.append((i, " ".join(w for p in cut for w in [*p, rnd.choice(words)])))
+    docs += [docs[0], (None, items[0][1]), (41, items[0][1] + " x " + items[5][1])]
+    want = {}
+    for i, text in docs:
+        for item, t in items:
+            if t and text:
+                found = brute.tiles(text.split(), t.split(), 5)
+                if (c := sum(n for *_, n in found) / len(t.split())) >= 0.5:
+                    want[i, item] = max(want.get((i, item), (0, 0)), (c, len(found)))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").withColumn("t", F.lit("clash"))
+    for block in (1 << 22, 9):
+        rows = decon.contamination(frame(docs, "doc_id"), frame(items, "item_id"), block_seeds=block).collect()
+        assert {(r.doc_id, r.item_id): (r.coverage, r.n_tiles) for r in rows} == want and len(rows) == len(want)
+    assert max(c for c, _ in want.values()) == 1.0
+
+
+@pytest.mark.parametrize(("query", "label"), [("op8_quality", "quality"), ("op10_toxicity", "toxic")])
+def test_models_rank_held_out_rows(spark, query, label):
+    """The area under the curve, which always answering the frequent label leaves at one half."""
+    sf = "/root/testdata/sf0.01"
+    rows = queries.queries()[query](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(F.col("held_out") & F.col(label).isNotNull()).select("score", F.col(label).alias("y")).collect()
+    good, bad = [r.score for r in rows if r.y == 1], [r.score for r in rows if r.y == 0]
+    assert len(good) > 3 < len(bad)
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / len(good) / len(bad) >= 0.9
