@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators import currency, entities, receivables
-from quillon.sources.roles import table
+from quillon.operators import currency, dashboard, entities, receivables
+from quillon.sources.roles import facts, table
 
 
 def _whole(x: str):
@@ -93,9 +93,70 @@ def receivable_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *(F.col(c).cast("string").alias(c) for c in ("due", "payment_due", "payout_due")), F.round("base_amount", 2).alias("base_amount"), "stage", F.size("payouts").alias("partners"), done.alias("partners_done"), F.round(12 * paid, 2).alias("dozen_payouts"))
 
 
-QUERIES = {f.__name__: f for f in (order_industries, order_sectors, part_holders, first_orders, currency_scores, receivable_stages)}
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir, {"ym", "company", "amt"})
+    return f.groupBy("company", F.col("ym").alias("period")).agg(F.sum("amt").alias("sales"), F.count("*").alias("tx"))
+
+
+def anomaly_events_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of companies out of line by interquartile ranges or by a z-score over 2.5, in a window of nine."""
+    return dashboard.anomalies(_panel(spark, sf_dir), "both", window=9)
+
+
+def demand_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dashboard.demand(_panel(spark, sf_dir))
+    return out.select("company", "period", *((F.round(c, 4) + 0).alias(c) for c in ("sales_chg", "tx_chg", "ticket_chg", "sales_accel")), "driver", "demand_score")
+
+
+def company_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.dashboard(_panel(spark, sf_dir), window=9, threshold=2.0)
+
+
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the order lines, with dates, sales and counts missing where flags and taxes say so."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when((F.col("l_returnflag") != "R") | (F.col("l_tax") > 0), F.col("l_shipdate")).alias("day"), F.when(F.col("l_linestatus") != "F", F.nullif(F.col("l_linenumber"), F.lit(7))).alias("tx"),
+        F.when(F.col("l_discount") < 0.1, F.round(F.col("l_quantity") * F.col("l_quantity") * F.when(F.col("l_tax") > 0.07, -1).when(F.col("l_tax") > 0.06, 0).otherwise(1))).alias("sales"),
+    )
+    return dashboard.data_quality(rows, "day", "sales", "tx")
+
+
+QUERIES = {f.__name__: f for f in (order_industries, order_sectors, part_holders, first_orders, currency_scores, receivable_stages, anomaly_events_both, demand_scores, company_dashboard, line_quality)}
+
+_PANEL = """m AS (SELECT s_name AS company, CAST(strftime(l_shipdate, '%Y%m') AS INTEGER) AS period, sum(l_extendedprice * (1 - l_discount)) AS sales, count(*) :: DOUBLE AS tx FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+             l AS (SELECT company, list(period ORDER BY period) AS ps, list(sales ORDER BY period) AS ss, list(tx ORDER BY period) AS xs FROM m GROUP BY company)"""
+_EVENTS = """v AS (SELECT company, 'sales' AS metric, ps, ss AS vs FROM l WHERE len(ps) >= 3 UNION ALL SELECT company, 'tx', ps, xs FROM l WHERE len(ps) >= 3),
+             w AS (SELECT company, metric, ps[i] AS period, vs[i] AS x, vs[greatest(1, i - {0} + 1):i] AS w FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM v)),
+             z AS (SELECT *, list_avg(w) AS a, round((x - list_avg(w)) / nullif(list_stddev_samp(w), 0), 2) AS z, list_aggregate(w, 'quantile_cont', 0.25) AS q1, list_aggregate(w, 'quantile_cont', 0.75) AS q3 FROM w WHERE len(w) >= 3),
+             ev AS (SELECT *, round_even(a, 0) AS e, CASE WHEN abs(z) >= 5 THEN 'critical' WHEN abs(z) >= 4 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM z WHERE abs(z) > {1} OR ({2} AND q3 > q1 AND (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))))"""
+_DEMAND = """i AS (SELECT company, ps, ss, xs, list_transform(ss, lambda s, k: s / xs[k]) AS ts, unnest(range(1, len(ps) + 1)) AS i FROM l),
+             c AS (SELECT company, i, len(ps) AS n, ps[i] AS period, CASE WHEN i > 1 THEN 100 * (ss[i] / ss[i - 1] - 1) END AS sc, CASE WHEN i > 1 THEN 100 * (xs[i] / xs[i - 1] - 1) END AS xc, CASE WHEN i > 1 THEN 100 * (ts[i] / ts[i - 1] - 1) END AS tc,
+                          CASE WHEN i > 2 THEN 100 * (ss[i] / ss[i - 1] - ss[i - 1] / ss[i - 2]) END AS ac, CASE WHEN i > 1 THEN ss[i] - ss[i - 1] END AS d, CASE WHEN i > 1 THEN ts[i - 1] * (xs[i] - xs[i - 1]) END AS vo, CASE WHEN i > 1 THEN xs[i - 1] * (ts[i] - ts[i - 1]) END AS pr FROM i),
+             a AS (SELECT company, avg(sc) AS s, avg(xc) AS x, avg(tc) AS t, avg(ac) AS a FROM c WHERE i > n - 3 GROUP BY company),
+             sc AS (SELECT company, round(0.3 * coalesce(least(100, greatest(0, s + 50)), 50) + 0.25 * coalesce(least(100, greatest(0, x + 50)), 50) + 0.2 * coalesce(least(100, greatest(0, t + 50)), 50) + 0.25 * CASE WHEN a IS NULL THEN 50 ELSE least(100, greatest(0, (a + 20) * 2.5)) END, 1) :: DOUBLE AS score FROM a),
+             dm AS (SELECT c.*, score, CASE WHEN d IS NULL OR d = 0 THEN '' WHEN d > 0 THEN CASE WHEN vo >= 0.6 * greatest(abs(d), 1) THEN 'volume' WHEN pr >= 0.6 * greatest(abs(d), 1) THEN 'price' WHEN vo > 0 AND pr > 0 THEN 'volume and price' ELSE 'other' END
+                           WHEN vo < 0 AND pr < 0 THEN 'both fall' WHEN abs(vo) >= abs(pr) THEN 'volume falls' ELSE 'price falls' END AS driver FROM c JOIN sc USING (company))"""
 
 ORACLE = {
+    "anomaly_events_both": f"""WITH {_PANEL}, {_EVENTS.format(9, 2.5, "true")}
+        SELECT company, period, metric, CASE WHEN x >= a THEN 'rise' ELSE 'fall' END AS kind, round_even(x, 0) AS actual, e AS expected, round(100 * (x - e) / nullif(e, 0), 1) + 0 AS deviation, z, severity FROM ev""",
+    "demand_scores": f"WITH {_PANEL}, {_DEMAND} SELECT company, period, round(sc, 4) + 0 AS sales_chg, round(xc, 4) + 0 AS tx_chg, round(tc, 4) + 0 AS ticket_chg, round(ac, 4) + 0 AS sales_accel, driver, score AS demand_score FROM dm",
+    "company_dashboard": f"""WITH {_PANEL}, {_EVENTS.format(9, 2.0, "false")}, {_DEMAND},
+             n AS (SELECT company, count(*) AS n, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m FROM ev GROUP BY company),
+             o AS (SELECT dm.*, coalesce(n.n, 0) AS events, coalesce(c, 0) AS critical, round(sc, 1) AS mom, least(25, coalesce(10 * c + 5 * h + 2 * m, 0)) AS cost FROM dm LEFT JOIN n USING (company) WHERE i = dm.n),
+             p AS (SELECT *, round(CASE WHEN mom IS NULL THEN 20 ELSE least(40, greatest(0, (mom + 30) / 60 * 40)) END + score * 0.35 + 25 - cost, 1) AS points FROM o)
+        SELECT company, mom, round(ac, 1) AS accel, CASE WHEN ac > 2 THEN 'accelerates' WHEN sc > 5 THEN 'grows' WHEN ac < -2 THEN 'slows' ELSE 'flat' END AS trend, driver, score AS demand_score, events, critical, points AS score,
+               CASE WHEN points >= 75 THEN 'strong buy' WHEN points >= 60 THEN 'buy' WHEN points >= 45 THEN 'neutral' WHEN points >= 30 THEN 'caution' ELSE 'risk' END AS band FROM p""",
+    "line_quality": """
+        WITH r AS (SELECT CASE WHEN l_returnflag <> 'R' OR l_tax > 0 THEN l_shipdate END AS day, CASE WHEN l_linestatus <> 'F' THEN nullif(l_linenumber, 7) END AS tx,
+                          CASE WHEN l_discount < 0.1 :: DOUBLE THEN l_quantity * l_quantity * CASE WHEN l_tax > 0.07 :: DOUBLE THEN -1 WHEN l_tax > 0.06 :: DOUBLE THEN 0 ELSE 1 END END AS sales FROM lineitem),
+             q AS (SELECT quantile_cont(sales, 0.25) AS a, quantile_cont(sales, 0.75) AS b FROM r),
+             g AS (SELECT count(*) AS n, count(*) - count(day) AS nd, count(*) - count(sales) AS ns, count(*) - count(tx) AS nt, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS rep, count(*) FILTER (sales < 0) AS neg, count(*) FILTER (sales = 0) AS zero,
+                          count(*) FILTER (sales < a - 1.5 * (b - a) OR sales > b + 1.5 * (b - a)) AS far, count(*) FILTER (day IS NOT NULL AND sales IS NOT NULL) AS ok FROM r, q),
+             c AS (SELECT unnest(['no_date', 'no_sales', 'no_tx', 'repeated', 'negative', 'zero', 'outliers', 'usable_rows']) AS "check", unnest(['error', 'error', 'warning', 'warning', 'warning', 'info', 'info', 'ok']) AS bad, unnest([nd, ns, nt, rep, neg, zero, far, ok]) AS n,
+                          unnest([floor(least(30, 50.0 * nd / n)), floor(least(25, 40.0 * ns / n)), floor(least(5, 5.0 * nt / n)), CASE WHEN 20 * rep > n THEN 10 ELSE 5 END, 5, CASE WHEN 20 * zero > n THEN 5 ELSE 2 END, CASE WHEN 10 * far > n THEN 5 WHEN 20 * far > n THEN 3 ELSE 0 END, 0]) AS cut FROM g),
+             d AS (SELECT "check", CASE WHEN n > 0 THEN bad ELSE 'ok' END AS severity, n, CASE WHEN n > 0 THEN cut ELSE 0 END :: INT AS cut FROM c)
+        SELECT *, greatest(0, 100 - sum(cut) OVER ()) :: INT AS score FROM d""",
     "order_industries": """
         WITH o AS (SELECT o_orderkey, floor(o_totalprice) :: BIGINT :: VARCHAR AS c FROM orders), l AS (SELECT floor(p_retailprice) :: BIGINT :: VARCHAR AS c, min(p_type) AS i FROM part GROUP BY 1),
              b AS (SELECT left(floor(s_acctbal) :: BIGINT :: VARCHAR, 3) AS c, min('S' || s_nationkey) AS i FROM supplier GROUP BY 1)
