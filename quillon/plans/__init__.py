@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,39 @@ from quillon.sources.roles import ROLES
 PLANS: dict[str, str] = aggregates.PLANS | series.PLANS | research.PLANS
 
 
+#: What a plan's ``:name``s stand for unless ``run`` is given something else.
+PARAMETERS: dict[str, dict[str, object]] = {
+    "pit_latest": {"as_of": dt.date(1998, 6, 15), "lag_days": 7},
+    "category_category_filter": {"category": "PROMO", "pattern": "S%"},
+    "sales_coverage": {"covered": "[13]$"},
+    "asp_outliers": {"least": 100, "most": 1800},
+    "anomaly_events": {"threshold": 1.8},
+}
+
+
 def roles(name: str) -> set[str]:
     """The roles that a plan reads."""
     return {r for r in ROLES if re.search(rf"\b{r}\b", PLANS[name])}
 
 
-def run(spark: SparkSession, name: str, facts: DataFrame) -> DataFrame:
-    return SCALED[name](facts) if name in SCALED else spark.sql(render(PLANS[name], 0), f=facts)
+def run(spark: SparkSession, name: str, facts: DataFrame, **parameters: object) -> DataFrame:
+    """A plan over ``facts``; ``parameters`` replace those that it has (``PARAMETERS``), others raise."""
+    known = PARAMETERS.get(name, {})
+    if unknown := set(parameters) - set(known):
+        raise ValueError(f"{name} has no parameters {sorted(unknown)}")
+    if name in SCALED:
+        return SCALED[name](facts)
+    return spark.sql(render(PLANS[name], 0), args=known | parameters or None, f=facts)
+
+
+def _literal(x: object) -> str:
+    if isinstance(x, dt.date):
+        return f"DATE '{x}'"
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
 
 def duckdb_sql(name: str, facts_sql: str) -> str:
     body = render(PLANS[name], 1).replace("{f}", "f").strip()
+    for key, value in PARAMETERS.get(name, {}).items():
+        body = re.sub(rf":{key}\b", lambda _, v=value: _literal(v), body)
     return f"WITH {facts_sql}, {body[5:]}" if body.startswith("WITH ") else f"WITH {facts_sql} {body}"

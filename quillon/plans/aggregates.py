@@ -20,7 +20,7 @@ PLANS = {
         FROM {f} GROUP BY ym * 100 + day(dt), company, cat1""",
     "annual_company": "SELECT YEARNO(ym) AS yr, company, round(sum(amt), 4) AS amt, count(DISTINCT ym) AS n_months FROM {f} GROUP BY YEARNO(ym), company",
     "annual_brand": "SELECT YEARNO(ym) AS yr, company, brand, round(sum(amt), 4) AS amt FROM {f} GROUP BY YEARNO(ym), company, brand",
-    "category_category_filter": "SELECT ym, company, round(sum(amt), 4) AS amt FROM {f} WHERE cat1 = 'PROMO' OR cat1 LIKE 'S%' GROUP BY ym, company",
+    "category_category_filter": "SELECT ym, company, round(sum(amt), 4) AS amt FROM {f} WHERE cat1 = :category OR cat1 LIKE :pattern GROUP BY ym, company",
     # without an entity, periods without sales are there with 0
     "daily_total_filled": """
         WITH d AS (SELECT dt, sum(amt) AS amt FROM {f} GROUP BY dt),
@@ -78,8 +78,8 @@ PLANS = {
              r AS (SELECT company, amt, CAST(row_number() OVER (ORDER BY amt DESC, company) AS INT) AS best, CAST(row_number() OVER (ORDER BY amt, company DESC) AS INT) AS worst FROM s)
         SELECT company, round(amt, 4) AS amt, best, worst FROM r WHERE best <= 10 OR worst <= 10""",
     "sales_coverage": """
-        SELECT cat1, round(100 * sum(CASE WHEN MATCHES(brand, '[13]$') THEN amt ELSE 0 END) / nullif(sum(amt), 0), 4) AS covered_pct,
-               count(DISTINCT CASE WHEN NOT MATCHES(brand, '[13]$') THEN sku END) AS open_skus FROM {f} GROUP BY cat1""",
+        SELECT cat1, round(100 * sum(CASE WHEN MATCHES(brand, :covered) THEN amt ELSE 0 END) / nullif(sum(amt), 0), 4) AS covered_pct,
+               count(DISTINCT CASE WHEN NOT MATCHES(brand, :covered) THEN sku END) AS open_skus FROM {f} GROUP BY cat1""",
     "duplicate_rows": """
         WITH k AS (SELECT company, sku, dt, count(*) AS n FROM {f} GROUP BY company, sku, dt)
         SELECT sum(n) AS n_rows, count(*) AS n_keys, sum(n) - count(*) AS n_duplicates FROM k""",
@@ -94,7 +94,7 @@ PLANS = {
     "medians": "SELECT sector, round(PCTL(amt, 0.5), 2) AS median_amt, round(PCTL(qty, 0.9), 2) AS p90_qty FROM {f} GROUP BY sector",
     "asp_outliers": """
         WITH m AS (SELECT sku, ym, sum(amt) / nullif(sum(qty), 0) AS asp FROM {f} GROUP BY sku, ym)
-        SELECT sku, ym, round(asp, 4) AS asp FROM m WHERE asp < 100 OR asp > 1800""",
+        SELECT sku, ym, round(asp, 4) AS asp FROM m WHERE asp < :least OR asp > :most""",
     "year_pivot": """
         SELECT company, round(sum(CASE WHEN YEARNO(ym) = 1996 THEN amt END), 2) AS y1996, round(sum(CASE WHEN YEARNO(ym) = 1997 THEN amt END), 2) AS y1997,
                round(sum(CASE WHEN YEARNO(ym) = 1998 THEN amt END), 2) AS y1998 FROM {f} GROUP BY company""",

@@ -36,8 +36,8 @@ PLANS = {
         WITH {_MONTHLY}, e AS (SELECT *, MONTHEND(ym) AS me FROM m)
         SELECT code, ym, round(amt, 4) AS amt, tx, TEXT(PLUSDAYS(me, 7 - CASE DOW(me) WHEN 6 THEN 1 WHEN 0 THEN 2 ELSE 0 END)) AS available FROM e""",
     "pit_latest": f"""
-        WITH {_MONTHLY}, e AS (SELECT *, MONTHEND(ym) AS me FROM m), v AS (SELECT *, PLUSDAYS(me, 7) AS available FROM e),
-             k AS (SELECT code, ym, amt, row_number() OVER (PARTITION BY code ORDER BY ym DESC) AS r FROM v WHERE available <= DATE '1998-06-15')
+        WITH {_MONTHLY}, e AS (SELECT *, MONTHEND(ym) AS me FROM m), v AS (SELECT *, PLUSDAYS(me, :lag_days) AS available FROM e),
+             k AS (SELECT code, ym, amt, row_number() OVER (PARTITION BY code ORDER BY ym DESC) AS r FROM v WHERE available <= :as_of)
         SELECT code, ym, round(amt, 4) AS amt FROM k WHERE r = 1""",
     "factor_features": f"""
         WITH {_YOY}, g AS (SELECT y.code, y.ym, y.yoy, y.yoy - lag(y.yoy) OVER (PARTITION BY y.code ORDER BY y.ym) AS d_yoy,

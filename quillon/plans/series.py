@@ -44,7 +44,7 @@ PLANS = {
             FROM m WINDOW w AS (PARTITION BY company ORDER BY ym ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
         SELECT company, ym, round(amt, 4) AS amt, round(z, 4) AS z, CASE WHEN z > 0 THEN 'spike' ELSE 'drop' END AS kind,
                CASE WHEN abs(z) >= 5 THEN 'critical' WHEN abs(z) >= 4 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS severity
-        FROM z WHERE n >= 3 AND abs(z) >= 1.8""",
+        FROM z WHERE n >= 3 AND abs(z) >= :threshold""",
     "global_anomaly": f"""
         WITH {_MONTHLY}, g AS (SELECT company, ym, amt, (amt - avg(amt) OVER (PARTITION BY company)) / nullif(stddev_samp(amt) OVER (PARTITION BY company), 0) AS z FROM m)
         SELECT company, ym, round(z, 4) AS z, CASE WHEN z > 2 THEN 'high' WHEN z < -2 THEN 'low' ELSE 'normal' END AS label FROM g WHERE abs(z) > 2""",

@@ -67,3 +67,21 @@ def test_quality_of_rows(spark):
     assert {r.score for r in d.data_quality(df, "d", "s", "t").collect()} == {100 - sum(c for *_, c in got.values())}
     empty = {r.check: (r.n, r.cut, r.score) for r in d.data_quality(df.limit(0), "d", "s").collect()}
     assert empty["usable_rows"] == (0, 30, 70) and "no_tx" not in empty and len(empty) == 7
+
+
+def test_plans_take_parameters(spark):
+    import datetime as dt
+
+    from quillon import plans
+    from quillon.sources import bind_roles
+
+    rows = [("2024-01-10", "A", "x1", 10.0, 1.0, "PROMO"), ("2024-02-10", "A", "x2", 30.0, 1.0, "OLD"), ("2024-03-10", "A", "x1", 20.0, 4.0, "SMALL")]
+    df = spark.createDataFrame(rows, "day string, company string, brand string, amt double, qty double, cat string")
+    f = bind_roles(df, {"dt": "day", "company": "company", "code": "company", "brand": "brand", "amt": "amt", "qty": "qty", "cat1": "cat", "sku": F.lit(1)})
+    assert [r.ym for r in plans.run(spark, "pit_latest", f, as_of=dt.date(2024, 3, 20)).collect()] == [202402]
+    assert [r.ym for r in plans.run(spark, "pit_latest", f, as_of=dt.date(2024, 3, 5), lag_days=6).collect()] == [202401]
+    assert {r.ym for r in plans.run(spark, "category_category_filter", f, category="OLD", pattern="SM%").collect()} == {202402, 202403}
+    assert {r.cat1: r.covered_pct for r in plans.run(spark, "sales_coverage", f, covered="1$").collect()} == {"PROMO": 100.0, "OLD": 0.0, "SMALL": 100.0}
+    assert {r.ym for r in plans.run(spark, "asp_outliers", f, least=6, most=29).collect()} == {202402, 202403}
+    with pytest.raises(ValueError):
+        plans.run(spark, "pit_latest", f, day=1)
