@@ -1,48 +1,44 @@
 """Similar spellings: a similarity join on edit distance that meets candidates only.
 
-Two strings are similar if ``1 - d / n`` reaches the cutoff, d being their edit distance and n the longer one's length. One edit
-touches at most two of a string's bigrams, so that of any ``2 k + 1`` of them one survives k edits, moved by k places at most.
-The rarest ``2 k + 1`` bigrams of every string on the left (as the right side counts them) are looked up among the bigrams of
-the right side's strings of the lengths that can reach the cutoff: an equi-join on (bigram, length). Edit distances are computed
-for what meets there and nowhere else. From a cutoff of 0.8 on every string has as many bigrams as that takes.
+Two strings are similar if ``1 - d / n`` reaches the cutoff, d being their edit distance and n the longer one's length; so many
+edits, k, are allowed. A string that is cut into k + 1 segments keeps one of them whole under k edits, and that one moves by s
+places only, where s letters to the left and the rest of the difference in length to the right cost k at most. The right
+side's strings give out their segments, those of the left the substrings that may be one, for every length and k that go
+together; an equi-join on (length, k, number, segment) finds what may be similar, and edit distances are computed for that alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _bigrams(s: str) -> Column:
-    n = F.length(s)
-    places = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.substring(F.col(s), i, F.lit(2)).alias("g"), i.alias("at")))
-
-
 def similar_pairs(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float = 0.8) -> DataFrame:
     """``a, b, distance``: the distinct strings of column ``a`` of ``left`` and ``b`` of ``right`` that are similar. Equal strings are
-    (distance 0); null and empty ones are not. Cutoffs below 0.8 raise, as short strings would have too few bigrams."""
-    if not 0.8 <= cutoff <= 1:
-        raise ValueError("the cutoff must be from 0.8 to 1")
-    edits = lambda n: F.floor(n * (1 - cutoff) + 1e-9)  # noqa: E731  the most that a pair may have whose longer string has n letters
+    (distance 0); null and empty ones are not. Cutoffs below 0.6 raise, as short strings would have more segments than letters."""
+    if not 0.6 <= cutoff <= 1:
+        raise ValueError("the cutoff must be from 0.6 to 1")
+    edits = lambda n: F.floor(n * (1 - cutoff) + 1e-9).cast("int")  # noqa: E731  the most for a pair whose longer string has n letters
+    longest = lambda n: F.floor(n / cutoff + 1e-9).cast("int")  # noqa: E731  the longest partner of n letters
+
+    def segment(m: Column, k: Column, i: Column) -> tuple[Column, Column]:
+        """(letters before, length) of a segment; the last ones are a letter longer if the length doesn't divide."""
+        base, short = F.floor(m / (k + 1)).cast("int"), k + 1 - m % (k + 1)
+        return (i * base + F.greatest(i - short, F.lit(0))).cast("int"), base + F.when(i >= short, 1).otherwise(0)
+
     mine = left.select(F.col(a).alias("a")).where("length(a) > 0").distinct()
     theirs = right.select(F.col(b).alias("b")).where("length(b) > 0").distinct()
-    posts = theirs.select("b", F.length("b").alias("m"), F.explode(_bigrams("b")).alias("p")).select("b", "m", "p.g", F.col("p.at").alias("bt"))
-    often = posts.groupBy("g").agg(F.count("*").alias("often"))
-    # a may be the shorter one: then the longer has at most n / cutoff letters
-    n = F.length("a")
-    most = edits(F.floor(n / cutoff + 1e-9))
-    probes = mine.select("a", n.alias("n"), most.alias("k"), F.explode(_bigrams("a")).alias("p")).select("a", "n", "k", "p.g", F.col("p.at").alias("at"))
-    order = W.partitionBy("a").orderBy(F.coalesce("often", F.lit(0)), "g", "at")
-    rare = probes.join(often, "g", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * F.col("k") + 1).where("often IS NOT NULL")
-    lengths = F.sequence((F.col("n") - edits(F.col("n"))).cast("int"), F.floor(F.col("n") / cutoff + 1e-9).cast("int"))
-    asked = rare.select("a", "n", "at", "g", F.explode(lengths).alias("m"))
-    k = edits(F.greatest("n", "m"))
-    met = asked.join(posts, ["g", "m"]).where((F.abs(F.col("at") - F.col("bt")) <= k) & (F.abs(F.col("n") - F.col("m")) <= k)).select("a", "b").distinct()
-    near = met.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= edits(F.greatest(F.length("a"), F.length("b"))))
-    single = mine.where("length(a) = 1").join(theirs, F.col("a") == F.col("b")).select("a", "b", F.lit(0).alias("distance"))
-    return near.unionAll(single)
+    m, n, k, i = (F.col(c) for c in "mnki")
+    at, size = segment(m, k, i)
+    cut = theirs.withColumn("m", F.length("b")).withColumn("k", F.explode(F.sequence(edits(m), edits(longest(m))))).withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    held = cut.select("b", "m", "k", "i", F.substring(F.col("b"), at + 1, size).alias("s"))
+    tried = mine.withColumn("n", F.length("a")).withColumn("m", F.explode(F.sequence(n - edits(n), longest(n)))).withColumn("k", edits(F.greatest("n", "m")))
+    tried = tried.where(F.abs(n - m) <= k).withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    moved = F.sequence(F.ceil((n - m - k) / 2).cast("int"), F.floor((n - m + k) / 2).cast("int"))
+    starts = F.filter(F.transform(moved, lambda s: at + s), lambda p: (p >= 0) & (p + size <= n))
+    asked = tried.select("a", "n", "m", "k", "i", F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("a"), p + 1, size)))).alias("s"))
+    met = asked.join(held, ["m", "k", "i", "s"]).select("a", "b", "k").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= F.col("k")).select("a", "b", "distance")
 
 
 def closest(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float = 0.8) -> DataFrame:
