@@ -24,8 +24,7 @@ def identify(queries: DataFrame, query: str, registry: DataFrame, cutoff: float
     per code) that the text of ``query`` stands for, by the first rule that finds one: ticker, RIC, ISIN, ISIN with its check
     digit mended, eight-digit number, code of up to six digits, unique end of a code, exact name, a spelling of a name, or all
     words of the query among those of a name (the name with the fewest words wins). Of rows that a rule finds alike the smallest
-    code is taken; null where no rule does. The words of a query are sought by the one that fewest names have, so that words
-    which very many names share are not joined. With a ``cutoff`` (0.8 or more), what is left takes the name with the most
+    code is taken; null where no rule does. Words that very many names share don't multiply the rows (see ``_by_words``). With a ``cutoff`` (0.8 or more), what is left takes the name with the most
     similar spelling (``similar``: one minus edit distance over length; of equally similar names the first in order)."""
     q = F.trim(F.col("__q"))
     asked = queries.select(F.col(query).alias("__q")).where("length(trim(__q)) > 0").distinct()
@@ -61,19 +60,29 @@ def identify(queries: DataFrame, query: str, registry: DataFrame, cutoff: float
     return queries.join(found, F.col(query) == F.col("__q"), "left").drop("__q")
 
 
+def _word_pairs(words: str) -> Column:
+    """Each two words of a sorted array, with a space between them."""
+    x = F.col(words)
+    first = F.when(F.size(x) > 1, F.sequence(F.lit(1), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(first, lambda i: F.transform(F.slice(x, i + 1, F.size(x)), lambda y: F.concat(F.get(x, i - 1), F.lit(" "), y))))
+
+
 def _by_words(rest: DataFrame, registry: DataFrame) -> DataFrame:
-    names = registry.select("code", products.token_set(F.col("name_en")).alias("__has"))
-    words = names.select("code", F.explode("__has").alias("w"))
-    common = words.groupBy("w").agg(F.count("*").alias("n"))
-    asked = rest.select("__q", products.token_set(F.col("__q")).alias("__wants")).where("size(__wants) > 0")
-    # the rarest word of each query; a query with a word that no name has can't be found
-    counted = asked.select("__q", "__wants", F.explode("__wants").alias("w")).join(common, "w").groupBy("__q", "__wants").agg(F.min(F.struct("n", "w")).alias("__rare"), F.count("*").alias("__known"))
-    rare = counted.where("__known = size(__wants)").select("__q", "__wants", F.col("__rare.w").alias("w"))
-    tried = rare.join(words, "w").join(names, "code").where(F.size(F.array_except("__wants", "__has")) == 0)
-    best = tried.groupBy("__q").agg(F.min(F.struct(F.size("__has").alias("size"), F.col("code"), F.size("__wants").alias("asked"))).alias("b"))
-    share = F.col("b.asked") / F.col("b.size")
-    several = F.col("b.asked") >= 2
-    return best.select("__q", "b.code", F.when(several, "words").otherwise("word").alias("how"), F.round(F.when(several, 0.85).otherwise(0.78) + 0.1 * share, 3).alias("score"))
+    """The name with the fewest words among those that have all words of the query. Queries of one and of two words meet a table that
+    holds only the best name of each word and each pair; longer ones meet the names of the pair of their two rarest words, whose
+    other words are then compared. So common words don't multiply queries by names; a name has a row for each pair of its words."""
+    names = registry.select("code", F.sort_array(products.token_set(F.col("name_en"))).alias("__has"))
+    held = names.select("code", "__has", F.size("__has").alias("size"), F.explode(F.concat("__has", _word_pairs("__has"))).alias("k"))
+    best = held.groupBy("k").agg(F.min(F.struct("size", "code")).alias("b"))
+    asked = rest.select("__q", F.sort_array(products.token_set(F.col("__q"))).alias("__wants")).where("size(__wants) > 0").withColumn("n", F.size("__wants"))
+    short = asked.where("n <= 2").join(best, F.array_join("__wants", " ") == F.col("k")).select("__q", "n", "b")
+    common = held.where("instr(k, ' ') = 0").groupBy("k").agg(F.count("*").alias("often")).withColumnRenamed("k", "w")
+    counted = asked.where("n > 2").select("__q", "__wants", "n", F.explode("__wants").alias("w")).join(common, "w").groupBy("__q", "__wants", "n").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("ws"))
+    rare = F.array_join(F.sort_array(F.transform(F.slice("ws", 1, 2), lambda x: x["w"])), " ")
+    tried = counted.where("size(ws) = n").withColumn("p", rare).join(held, F.col("p") == F.col("k")).where(F.size(F.array_except("__wants", "__has")) == 0)
+    long = tried.groupBy("__q", "n").agg(F.min(F.struct("size", "code")).alias("b"))
+    share, several = F.col("n") / F.col("b.size"), F.col("n") >= 2
+    return short.unionByName(long).select("__q", "b.code", F.when(several, "words").otherwise("word").alias("how"), F.round(F.when(several, 0.85).otherwise(0.78) + 0.1 * share, 3).alias("score"))
 
 
 def _by_spelling(rest: DataFrame, registry: DataFrame, cutoff: float) -> DataFrame:

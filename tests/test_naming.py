@@ -102,3 +102,18 @@ def test_product_names_apart_and_together(spark):
     english = {r.name: r.e for r in rows}
     assert english["농심 신라면 큰사발면 86g"] == "농심 신라면 Big Bowl 86g" and english["오뚜기 진라면 매운맛 5입"] == "오뚜기 진라면 Spicy 5입" and english[None] == ""
     assert mastering.parse_product_names(df, "name", brands.limit(0)).where("brand IS NOT NULL").count() == 0
+
+
+def test_identify_by_common_words_gives_a_row_per_query(spark):
+    """Words that all names share: queries of one, two and more words, against a plain search."""
+    rnd = random.Random(3)
+    names = [(f"{i:06d}", " ".join(["Holdings", "Harbor", *rnd.sample(["north", "south", "blue", "red", "iron"], rnd.randrange(4))])) for i in range(80)]
+    held = spark.createDataFrame([(c, None, None, None, n) for c, n in names], "code string, isin string, corp string, name_kr string, name_en string")
+    queries = ["harbor", "holdings harbor x", "Harbor Holdings", "red harbor", "blue iron harbor", "iron north south holdings", "absent harbor", "north"]
+    got = {r.q: r.code for r in registry.identify(spark.createDataFrame([(q,) for q in queries], "q string"), "q", held).where("how IN ('word', 'words')").collect()}
+    words = {c: {w.lower() for w in n.split()} for c, n in names}
+    for q in queries:
+        fits = sorted((len(ws), c) for c, ws in words.items() if {w.lower() for w in q.split()} <= ws)
+        if q in got or not fits:
+            assert got.get(q) == (fits[0][1] if fits else None), q
+    assert len(got) >= 4
