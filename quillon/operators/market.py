@@ -34,11 +34,16 @@ def _spread(a: Column, b: Column) -> Column:
 
 
 def signals(daily: DataFrame, freq: str) -> DataFrame:
-    """How well each key's sales growth leads its price at one frequency: the lag of the greatest absolute correlation (the
-    smallest of equal ones), the share of equal signs there, how often and how steadily the rolling correlation is above 0.2,
-    the correlation of volume, and a score from 0 to 100 with a grade. Keys under four periods are left out."""
+    """``scored`` over the ``periods`` of ``daily``."""
+    return scored(periods(daily, freq).where("growth IS NOT NULL AND ret IS NOT NULL"), freq)
+
+
+def scored(rows: DataFrame, freq: str) -> DataFrame:
+    """How well each key's sales growth leads its price at one frequency, from ``key, period, growth, ret, volume_change``: the lag
+    of the greatest absolute correlation (the smallest of equal ones), the share of equal signs there, how often and how steadily
+    the rolling correlation is above 0.2, the correlation of volume, and a score from 0 to 100 with a grade. Keys under four
+    periods are left out."""
     most, short = FREQUENCIES[freq]
-    rows = periods(daily, freq).where("growth IS NOT NULL AND ret IS NOT NULL")
     w = W.partitionBy("key").orderBy("period")
     rolling = W.partitionBy("key").orderBy("period").rowsBetween(1 - short, 0)
     varied = (F.min("growth").over(rolling) < F.max("growth").over(rolling)) & (F.min("ret").over(rolling) < F.max("ret").over(rolling))
