@@ -36,8 +36,8 @@ def lead_pairs(signals: DataFrame, targets: DataFrame, keys: list[str], order: s
     return each.where("a IS NOT NULL AND b IS NOT NULL")
 
 
-def rank_correlations(pairs: DataFrame, by: list[str], least: int) -> DataFrame:
-    """``*by, n, corr, hit``: Spearman's correlation to three digits (null below ``least`` pairs and for constant series) and the
+def rank_correlations(pairs: DataFrame, by: list[str], least: int, digits: int | None = 3) -> DataFrame:
+    """``*by, n, corr, hit``: Spearman's correlation to ``digits`` (null below ``least`` pairs and for constant series) and the
     share of pairs of one sign."""
 
     def twice_average_rank(x: str) -> Column:
@@ -50,7 +50,8 @@ def rank_correlations(pairs: DataFrame, by: list[str], least: int) -> DataFrame:
     spread = F.sqrt(moment("__a", "__a") * moment("__b", "__b"))
     varied = (F.count("*") >= least) & (F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))
     same = F.avg(F.when(F.signum("a") == F.signum("b"), 1.0).otherwise(0.0))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.round(moment("__a", "__b") / F.nullif(spread, F.lit(0.0)), 3)).alias("corr"), F.round(same, 2).alias("hit"))
+    corr = moment("__a", "__b") / F.nullif(spread, F.lit(0.0))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, corr if digits is None else F.round(corr, digits)).alias("corr"), F.round(same, 2).alias("hit"))
 
 
 def best_lag(correlations: DataFrame, keys: list[str]) -> DataFrame:
