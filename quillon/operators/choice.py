@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.panels import min_max, representativeness
 from quillon.operators.ranks import positions, settled
-from quillon.operators.universe import DEEP_SEGMENTS, HEAT_HIGH
+from quillon.operators.universe import DEEP_SEGMENTS, HEAT_HIGH, OPPORTUNITY_HIGH
 
 # Parts of a candidate's score, priority of segments (0.3 for others), sizes of universe and watch list.
 PARTS = {"size": 0.40, "sector_rep": 0.25, "segment_score": 0.20, "listed_score": 0.15}
@@ -92,6 +92,22 @@ def trend_packages(trends: DataFrame, markers: tuple[str, ...] = SPICY, top: int
     return rows.groupBy("theme").agg(F.array_join(words, ", ").alias("drivers"), F.count("*").alias("n"))
 
 
+def with_reasons(recommended: DataFrame) -> DataFrame:
+    """``recommended`` (``universe.recommendations``) with ``why``: what the action rests on, in words, with heat and opportunity to two digits."""
+    two = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
+    heat, segment = F.concat(F.lit("heat "), two("heat")), F.coalesce(F.col("segment"), F.lit("no segment"))
+    gap = F.when(F.col("opportunity") >= OPPORTUNITY_HIGH, F.concat(F.lit("uncertain consensus "), two("opportunity")))
+    why = (
+        F.when(F.col("action") == "collect data", "no outside signals")
+        .when(F.col("action") == "deep dive", F.concat_ws(", ", heat, F.concat(segment, F.lit(" fits deep dives")), F.lit("listed"), gap))
+        .when(F.col("action") == "brand tracker", F.concat_ws(", ", heat, F.lit("listed"), F.concat(segment, F.lit(" is not for deep dives"))))
+        .when(F.col("action") == "watch unlisted", F.concat_ws(", ", heat, F.lit("unlisted")))
+        .when(F.col("action") == "consensus gap", gap)
+        .otherwise(F.concat(heat, F.lit(", nothing special")))
+    )
+    return recommended.withColumn("why", why)
+
+
 def recommendation_summary(rows: DataFrame) -> DataFrame:
     """One row from ``status, confidence`` of recommendations: how many there are, how many have signals and of each confidence, and
     which signals nobody has."""

@@ -52,6 +52,10 @@ def recommended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choice.recommendation_summary(universe.recommendations(_signals(spark, sf_dir)))
 
 
+def recommended_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choice.with_reasons(universe.recommendations(_signals(spark, sf_dir))).select("company", "action", "why")
+
+
 def trend_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts as keywords, the share of their lines with a discount of 0.05 or more as momentum."""
     f = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -67,7 +71,7 @@ def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", F.col("day").cast("string").alias("day"), *(F.round(c, 4).alias(c) for c in out.columns[2:]))
 
 
-QUERIES = {f.__name__: f for f in (scored_candidates, selected_universe, segment_notes, recommended_summary, trend_themes, order_snapshots)}
+QUERIES = {f.__name__: f for f in (scored_candidates, selected_universe, segment_notes, recommended_summary, recommended_reasons, trend_themes, order_snapshots)}
 
 _C = """c AS (SELECT s_suppkey AS k, s_name AS company, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_acctbal, s_acctbal >= 0 AS listed, n_name AS sub, ['ramen', 'alcohol', 'holding', 'other', 'dairy'][n_regionkey + 1] AS segment
     FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey <> 7)"""
@@ -88,6 +92,10 @@ ORACLE = {
     "recommended_summary": f"""WITH {_H}, g AS (SELECT coalesce(st, false) AS st, sn, sc FROM h)
         SELECT count(*) AS n, count(*) FILTER (st OR sn OR sc) AS with_signal, count(*) FILTER (st AND (sn OR sc)) AS high, count(*) FILTER ((st OR sn OR sc) AND NOT (st AND (sn OR sc))) AS medium, count(*) FILTER (NOT (st OR sn OR sc)) AS low,
                concat_ws(',', CASE WHEN bool_or(NOT (st OR sn OR sc)) THEN 'some without signals' END, CASE WHEN NOT bool_or(st) THEN 'no trends' END, CASE WHEN NOT bool_or(sc) THEN 'no consensus' END) AS lacks FROM g""",
+    "recommended_reasons": f"""WITH {_H}, g AS (SELECT company, coalesce(segment, 'no segment') AS segment, listed, heat >= 0.6::DOUBLE AS hot, 'heat ' || CAST(round(heat, 2) AS DECIMAL(18, 2)) AS h, CASE WHEN sc THEN s_acctbal / 10000 END AS o FROM h),
+        a AS (SELECT *, CASE WHEN o >= 0.6::DOUBLE THEN 'uncertain consensus ' || CAST(round(o, 2) AS DECIMAL(18, 2)) END AS u, CASE WHEN h IS NULL THEN 1 WHEN hot AND NOT listed THEN 4 WHEN hot AND segment IN ('ramen', 'alcohol', 'dairy') THEN 2 WHEN hot THEN 3 WHEN o >= 0.6::DOUBLE THEN 5 ELSE 6 END AS j FROM g)
+        SELECT company, ['collect data', 'deep dive', 'brand tracker', 'watch unlisted', 'consensus gap', 'keep'][j] AS action,
+               CASE j WHEN 1 THEN 'no outside signals' WHEN 2 THEN concat_ws(', ', h, segment || ' fits deep dives', 'listed', u) WHEN 3 THEN h || ', listed, ' || segment || ' is not for deep dives' WHEN 4 THEN h || ', unlisted' WHEN 5 THEN u ELSE h || ', nothing special' END AS why FROM a""",
     "trend_themes": """WITH k AS (SELECT p_name AS k, avg(CASE WHEN l_discount >= 0.05::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS m FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING m > 0.2::DOUBLE),
         t AS (SELECT 'rising' AS theme, * FROM k UNION ALL SELECT 'spicy', * FROM k WHERE regexp_matches(lower(k), '불닭|매운|마라|spicy|buldak|hot|mala|red')), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY m DESC, k) AS j FROM t)
         SELECT theme, string_agg(k, ', ' ORDER BY j) AS drivers, count(*) AS n FROM r WHERE j <= 5 GROUP BY theme""",

@@ -56,6 +56,17 @@ def test_summary(spark):
     assert tuple(choice.recommendation_summary(rows.limit(0)).first())[:2] == (0, 0)
 
 
+def test_reasons(spark):
+    rows = [
+        ("deep dive", 0.905, 0.7, "ramen", ", ".join(("heat 0.91", "ramen fits deep dives", "listed", "uncertain consensus 0.70"))), ("deep dive", 1.0, None, "ramen", "heat 1.00, ramen fits deep dives, listed"),
+        ("brand tracker", 0.6, None, None, "heat 0.60, listed, no segment is not for deep dives"), ("watch unlisted", 0.75, 0.9, "x", "heat 0.75, unlisted"),
+        ("consensus gap", 0.1, 0.6, "x", "uncertain consensus 0.60"), ("keep", 0.1, None, "x", "heat 0.10, nothing special"), ("collect data", None, 0.9, "x", "no outside signals"),
+    ]
+    df = spark.createDataFrame(rows, "action string, heat double, opportunity double, segment string, want string")
+    got = choice.with_reasons(df).collect()
+    assert [r.why for r in got] == [r.want for r in got]
+
+
 def test_snapshots(spark):
     day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
     rows = [("a", day(i), float(i)) for i in range(6)] + [("a", day(9), None), ("a", day(8), float("nan")), ("b", day(0), 1.0), (None, day(0), 4.0), (None, day(1), 2.0)]
