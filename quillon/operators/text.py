@@ -59,14 +59,15 @@ def match_names(left: DataFrame, registry: DataFrame, name: str, key: str, ratio
     """``left`` with ``matched`` (a ``key`` of the registry) and ``how``: equal normalised names, else the longest
     registry name that contains the name or is inside it, where the shorter has at least ``ratio`` of the longer's
     length. The second step joins the strings inside the names of one side with the names of the other, both ways, so
-    that only names that contain each other meet, whatever their script and length."""
+    that only names that contain each other meet, whatever their script and length. All joins are by merging: Spark takes
+    a side's size from before it is exploded, or from compressed files, and would send millions of rows through the driver."""
     exact = registry.select(F.col(key).alias("__key"), name_key(F.col(name)).alias("__reg")).where("length(__reg) > 0").groupBy("__reg").agg(F.min("__key").alias("__exact"))
-    first = left.withColumn("__name", name_key(F.col(name))).join(exact, F.col("__name") == F.col("__reg"), "left").drop("__reg")
+    first = left.withColumn("__name", name_key(F.col(name))).join(exact.hint("merge"), F.col("__name") == F.col("__reg"), "left").drop("__reg")
     rest = first.where(F.col("__exact").isNull() & (F.length("__name") > 0)).select("__name").distinct()
-    inside = rest.withColumn("__p", F.explode(_parts("__name", ratio))).join(exact.withColumn("__p", F.xxhash64("__reg")), "__p").where(F.col("__name").contains(F.col("__reg")))
-    around = exact.withColumn("__p", F.explode(_parts("__reg", ratio))).join(rest.withColumn("__p", F.xxhash64("__name")), "__p").where(F.col("__reg").contains(F.col("__name")))
+    inside = rest.withColumn("__p", F.explode(_parts("__name", ratio))).hint("merge").join(exact.withColumn("__p", F.xxhash64("__reg")), "__p").where(F.col("__name").contains(F.col("__reg")))
+    around = exact.withColumn("__p", F.explode(_parts("__reg", ratio))).hint("merge").join(rest.withColumn("__p", F.xxhash64("__name")), "__p").where(F.col("__reg").contains(F.col("__name")))
     best = inside.unionByName(around).groupBy("__name").agg(F.max_by("__exact", F.struct(F.length("__reg"), F.col("__reg"))).alias("__long"))
-    out = first.join(best, "__name", "left")
+    out = first.join(best.hint("merge"), "__name", "left")
     how = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__long").isNotNull(), "contains").otherwise("none")
     return out.withColumn("matched", F.coalesce("__exact", "__long")).withColumn("how", how).drop("__name", "__exact", "__long")
 

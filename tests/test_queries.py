@@ -146,3 +146,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_strings_inside_names_are_not_broadcast(spark):
+    from quillon.operators.text import match_names
+
+    left = spark.createDataFrame([(f"harbor elec {i} x",) for i in range(50)], "name string")
+    registry = spark.createDataFrame([(i, f"harbor elec {i}") for i in range(50)], "id long, name string")
+    out = match_names(left, registry, "name", "id")
+    assert {r.how for r in out.collect()} == {"contains"}
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
