@@ -13,12 +13,13 @@ HANGUL = "[가-힣]"
 
 def _met(names: DataFrame, words: DataFrame, word: str) -> DataFrame:
     """``__s`` and the columns of ``words`` whose ``word`` occurs in it. The strings inside a name that are as long as some word
-    are joined with the words by equality, so that only what occurs meets."""
+    are joined with the words by equality, so that only what occurs meets. The join is by merging: Spark takes the strings' size
+    from before they are exploded, and would send them all through the driver."""
     lengths = sorted(r[0] for r in words.select(F.length(word)).distinct().collect())  # as many as the longest word has letters at most
     sizes = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("__s"))
     inside = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length("__s") - k + 1), lambda i: F.substring(F.col("__s"), i, k))))
     pieces = names.select("__s", F.explode(F.array_distinct(inside)).alias("__w"))
-    return pieces.join(words, F.col("__w") == F.col(word)).drop("__w")
+    return pieces.hint("merge").join(words, F.col("__w") == F.col(word)).drop("__w")
 
 
 def translated(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def parse_product_names(df: DataFrame, column: str, brands: DataFrame) -> DataFr
     known = brands.where("length(brand) > 0").select("brand").distinct()
     most = known.agg(F.max(F.length("brand"))).first()[0] or 1
     starts = names.select("__s", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("__s"), F.lit(most))), lambda k: F.left(F.col("__s"), k))).alias("__p"))
-    owned = starts.join(known, F.col("__p") == F.col("brand")).groupBy("__s").agg(F.max_by("brand", F.length("brand")).alias("brand"))
+    owned = starts.hint("merge").join(known, F.col("__p") == F.col("brand")).groupBy("__s").agg(F.max_by("brand", F.length("brand")).alias("brand"))
     cut = lambda x, w: F.when(w.isNull(), x).otherwise(F.trim(F.replace(x, w, F.lit(""))))
     out = names.join(owned, "__s", "left").withColumn("x", F.when(F.col("brand").isNull(), F.col("__s")).otherwise(F.trim(F.substring(F.col("__s"), F.length("brand") + 1, F.length("__s")))))
     out = out.withColumn("package_size", F.nullif(F.regexp_extract("x", SIZE, 0), F.lit("")))

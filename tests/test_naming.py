@@ -117,3 +117,15 @@ def test_identify_by_common_words_gives_a_row_per_query(spark):
         if q in got or not fits:
             assert got.get(q) == (fits[0][1] if fits else None), q
     assert len(got) >= 4
+
+
+def _sent_whole(df):
+    """The sides of joins that the driver would send to every task, in the plan before and after it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_exploded_names_are_not_broadcast(spark):
+    names = spark.createDataFrame([(i, f"제품 큰컵 {i} 매운맛") for i in range(50)], "i int, name string")
+    words = spark.createDataFrame([("큰컵", "Big Cup", 0), ("매운맛", "Spicy", 1)], "word string, english string, rank int")
+    assert _sent_whole(mastering._met(names.select(F.col("name").alias("__s")), words, "word")) == 0
