@@ -62,3 +62,11 @@ def test_numbers_marks_and_rates(spark):
 def test_share_matrix_fills_with_zero(spark):
     df = spark.createDataFrame([("a", 1, 3.0), ("a", 2, None), ("b", 1, 1.0)], "k string, m int, x double")
     assert {(r.k, r.m): r.share for r in masters.share_matrix(df, "k", "m", "x").collect()} == {("a", 1): 75.0, ("a", 2): 0.0, ("b", 1): 25.0, ("b", 2): 0.0}
+
+
+def test_rank_correlations_of_very_many_pairs(spark):
+    n = 70_000
+    pairs = spark.range(n).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("a"), ((F.col("id") * 3) % n).cast("double").alias("b"))
+    row = leads.rank_correlations(pairs, ["k"], 5, None).first()
+    a, b = list(range(n)), [3 * i % n for i in range(n)]
+    assert row.n == n and math.isclose(row["corr"], (n * sum(map(int.__mul__, a, b)) - sum(a) * sum(b)) / (n * sum(x * x for x in a) - sum(a) ** 2), rel_tol=1e-9)
