@@ -135,8 +135,9 @@ def use_cases(panel: DataFrame, skus: DataFrame, top: int = 6, low: int = 3, new
 
 def review_queue(df: DataFrame, keys: list[str], amount: str, known: Column) -> DataFrame:
     """Keys that aren't ``known`` in any row, with their sales, share of all sales in percent, place by sales and the share of
-    the queue up to them. Running sums are dealt into steps, so that no task orders all keys."""
-    sums = df.groupBy(*keys).agg(F.sum(F.coalesce(F.col(amount), F.lit(0.0))).alias("sales"), F.max(F.coalesce(known, F.lit(False))).alias("__known"))
+    the queue up to them. Running sums are dealt into steps, so that no task orders all keys. Sums are rounded to four digits, as the
+    last ones of a double depend on the order of adding: equal sales go by their keys."""
+    sums = df.groupBy(*keys).agg(F.round(F.sum(F.coalesce(F.col(amount), F.lit(0.0))), 4).alias("sales"), F.max(F.coalesce(known, F.lit(False))).alias("__known"))
     sums = settled(sums)
     total = sums.agg(F.nullif(F.sum("sales"), F.lit(0.0)).alias("__total"))  # one row
     placed = positions(sums.where("NOT __known"), "sales", keys).join(F.broadcast(total))

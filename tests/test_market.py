@@ -131,3 +131,12 @@ def test_neutralised_rows_without_sector_or_spread(spark):
 
 def test_capabilities():
     assert capabilities({"dt": "d", "brand": "b"}) == {"grain": "brand", "missing": ["amt"], "has_sku": False, "has_brand": True, "has_cat1": False, "has_qty": False, "has_region": False}
+
+
+def test_review_queue_equal_sales_go_by_name(spark):
+    """The same amounts in other orders add up to doubles that differ in their last digits."""
+    amounts = [0.1, 0.2, 0.3]
+    rows = [(b, x) for b, order in (("c", 1), ("b", -1), ("a", 1)) for x in amounts[::order]]
+    df = spark.createDataFrame(rows, "brand string, amt double").coalesce(1)
+    got = universe.review_queue(df, ["brand"], "amt", F.lit(False)).orderBy("place").collect()
+    assert [r.brand for r in got] == ["a", "b", "c"] and len({r.sales for r in got}) == 1
