@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.operators.ranks import settled
 from quillon.plans import aggregates, research, series
 from quillon.plans.dialect import render
 from quillon.plans.scaled import SCALED
@@ -37,7 +38,19 @@ def run(spark: SparkSession, name: str, facts: DataFrame, **parameters: object)
         raise ValueError(f"{name} has no parameters {sorted(unknown)}")
     if name in SCALED:
         return SCALED[name](facts)
-    return spark.sql(render(PLANS[name], 0), args=known | parameters or None, f=facts)
+    text, tables = PLANS[name], {"f": facts}
+
+    def once(sql: str) -> str:
+        for done in tables:
+            if done != "f":
+                sql = sql.replace(f"{done} AS ({research.STEPS[done][0]})", f"{done} AS (SELECT * FROM {{{done}}})")
+        return sql
+
+    # each use of a step would read the facts again, and sums of doubles differ in their last digits from one use to the next
+    for step, (sql, before) in research.STEPS.items():
+        if f"{step} AS ({sql})" in text:
+            tables[step] = settled(spark.sql(render(once(before) + sql, 0), **tables))
+    return spark.sql(render(once(text), 0), args=known | parameters or None, **tables)
 
 
 def _literal(x: object) -> str:

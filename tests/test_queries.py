@@ -156,3 +156,12 @@ def test_strings_inside_names_are_not_broadcast(spark):
     out = match_names(left, registry, "name", "id")
     assert {r.how for r in out.collect()} == {"contains"}
     assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
+
+
+def test_research_steps_are_worked_out_once(spark, sf):
+    """Months and prices are read from the checkpoint folder: the order lines aren't in what is left of the plan."""
+    from quillon import catalog
+
+    for name in ("event_study", "quintile_backtest_costs"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "l_extendedprice" not in plan
