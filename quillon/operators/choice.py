@@ -26,7 +26,7 @@ HOT = 0.2
 
 def score_candidates(candidates: DataFrame, caps: DataFrame) -> DataFrame:
     """``candidates`` (``company, code, listed, segment, sub_sector``) with ``cap``, the parts of the score, ``score`` (0 to 100) and ``rank``
-    (equal scores by company). ``caps`` has ``code, cap``; of several the greatest counts, missing ones are 0. Size is the logarithm of the
+    (equal scores by company, then code). ``caps`` has ``code, cap``; of several the greatest counts, missing ones are 0. Size is the logarithm of the
     cap from the least to the greatest; where no candidate has a cap, listing takes its place (0.5 or 0)."""
     cap = caps.groupBy("code").agg(F.max("cap").cast("double").alias("cap"))
     rows = candidates.withColumn("listed", F.coalesce("listed", F.lit(False))).join(cap, "code", "left").withColumn("cap", F.coalesce("cap", F.lit(0.0)))
@@ -40,7 +40,7 @@ def score_candidates(candidates: DataFrame, caps: DataFrame) -> DataFrame:
     segment = F.coalesce(F.try_element_at(priority, F.coalesce("segment", F.lit(""))), F.lit(OTHER_SEGMENT))
     rows = rows.withColumns({"segment_score": segment, "listed_score": F.when(F.col("listed"), 1.0).otherwise(0.0)})
     score = F.round(100 * sum((weight * F.col(c) for c, weight in PARTS.items()), F.lit(0.0)), 1)
-    ranked = positions(settled(rows.withColumn("score", score)), "score", ["company"])
+    ranked = positions(settled(rows.withColumn("score", score)), "score", ["company", "code"])
     return ranked.withColumnRenamed("pos", "rank").drop("__log", "__known", "__by", "rnk", "run")
 
 
@@ -60,11 +60,11 @@ def select_universe(scored: DataFrame, n: int = CHOSEN, watch: int = WATCHED, li
     of several for a company the greatest counts, blank ones change nothing. Pins don't move others up or down."""
     scored = settled(scored)
     first = scored.where("listed") if listed_only else scored
-    chosen = first.orderBy("rank").limit(n).select("company", F.lit("selected").alias("status"))
+    chosen = first.orderBy("rank").limit(n).select("rank", F.lit("selected").alias("status"))
     chosen = settled(chosen)
-    others = scored.join(F.broadcast(chosen), "company", "left_anti").orderBy("rank").limit(watch)  # n rows
-    found = chosen.unionByName(others.select("company", F.lit("watch").alias("status")))
-    out = scored.join(F.broadcast(found), "company", "left")  # n + watch rows
+    others = scored.join(F.broadcast(chosen), "rank", "left_anti").orderBy("rank").limit(watch)  # n rows
+    found = chosen.unionByName(others.select("rank", F.lit("watch").alias("status")))
+    out = scored.join(F.broadcast(found), "rank", "left")  # n + watch rows
     status, pinned = F.coalesce("status", F.lit("excluded")), F.lit(False)
     if pins is not None:
         given = pins.where("trim(status) <> ''").groupBy("company").agg(F.max(F.trim("status")).alias("__pin"))

@@ -20,7 +20,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    caps = facts(spark, sf_dir, {"code", "sku", "amt"}).where("sku % 2 = 0").groupBy("code").agg((1e9 * F.round(F.sum("amt"), 2)).alias("cap"))
+    caps = facts(spark, sf_dir, {"code", "sku", "amt"}).where("sku % 2 = 0").groupBy("code").agg((1e9 * F.round(F.round(F.sum("amt"), 4), 2)).alias("cap"))  # four digits first: halves of a cent must not hang on the order of adding
     return choice.score_candidates(_suppliers(spark, sf_dir).drop("s_acctbal"), caps)
 
 

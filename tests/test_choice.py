@@ -74,3 +74,11 @@ def test_snapshots(spark):
     a = got["a"]
     assert (a.day, a.last, a.prev, a.ma5, a.ma20, a.pct1, a.pct5, a.pct20) == (day(5), 5.0, 4.0, 3.0, None, 25.0, None, None)
     assert set(got) == {"a", None} and got[None].pct1 == -50.0
+
+
+def test_companies_of_one_name_are_not_multiplied(spark):
+    rows = [("a", f"00000{i}", True, "ramen", "x") for i in range(4)] + [("b", "000009", True, "ramen", "x")]
+    caps = spark.createDataFrame([(r[1], 5.0) for r in rows], "code string, cap double")
+    scored = choice.score_candidates(spark.createDataFrame(rows, "company string, code string, listed boolean, segment string, sub_sector string"), caps)
+    out = choice.select_universe(scored, n=3, watch=1).orderBy("rank").collect()
+    assert [r.status for r in out] == ["selected"] * 3 + ["watch", "excluded"]
