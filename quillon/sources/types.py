@@ -42,16 +42,16 @@ class ColumnType:
 def plain(x: Column) -> Column:
     """A value without spaces around it, null if nothing is left; whole numbers that went through a float lose their ``.0``."""
     x = F.nullif(F.trim(x.cast("string")), F.lit(""))
-    return F.regexp_replace(x, r"^(\d+)\.0$", "$1")
+    return F.when(F.contains(x, F.lit(".0")), F.regexp_replace(x, r"^(\d+)\.0$", "$1")).otherwise(x)
 
 
 def read_as(x: Column, kind: str, form: str | None = None) -> Column:
     """A plain value as a type, null if it can't be read."""
     if kind == "boolean":
-        return F.when(F.lower(x).isin(*TRUE), True).when(F.lower(x).isin(*FALSE), False)
+        return F.when(F.octet_length(x) <= 5, F.when(F.lower(x).isin(*TRUE), True).when(F.lower(x).isin(*FALSE), False))
     if kind == "date":
         looks, pattern, behind = FORMS[form]
-        return F.when(x.rlike(looks), F.try_to_date(F.concat(x, F.lit(behind)), pattern))
+        return F.when((F.octet_length(x) == len(form)) & x.rlike(looks), F.try_to_date(F.concat(x, F.lit(behind)), pattern))
     if kind == "long":
         return F.when(x.rlike(r"^[+-]?(0|[1-9]\d{0,2}(,\d{3})+|[1-9]\d*)$"), F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
     if kind == "double":
@@ -64,27 +64,34 @@ LATTICE = [("boolean", None), *(("date", f) for f in FORMS), ("long", None), ("d
 
 
 def infer_types(df: DataFrame, sample_rows: int | None = None, tolerance: float = 0.0) -> list[ColumnType]:
-    """The types of all columns of ``df`` (text), from all rows or from ``sample_rows`` of them (whichever Spark reads first): one row
-    of counts comes back. At most ``tolerance`` of a column's values may be unreadable as its type."""
+    """The types of all columns of ``df`` (text), from all rows or from ``sample_rows`` of them (whichever Spark reads first). Every value
+    becomes a mark, a bit for each entry of the lattice that it can be read as; marks are counted by column, so a few rows a column come
+    back. At most ``tolerance`` of a column's values may be unreadable as its type."""
     rows = df if sample_rows is None else df.limit(sample_rows)
-    counts = [F.count("*").alias("rows")]
-    for i, c in enumerate(df.columns):
-        x = plain(F.col(f"`{c}`"))
-        counts += [F.count(x).alias(f"n{i}"), *(F.count(read_as(x, kind, form)).alias(f"n{i}_{k}") for k, (kind, form) in enumerate(LATTICE))]
-    got = rows.agg(*counts).first()
+    names = [str(i) for i in range(len(df.columns))]
+    values = rows.select(*(F.col(f"`{c}`").cast("string").alias(i) for i, c in zip(names, df.columns, strict=True))).unpivot([], names, "i", "x")
+    x = F.col("x")
+    reads = lambda *at: sum((F.when(read_as(x, kind, form).isNotNull(), 1 << k).otherwise(0) for k, (kind, form) in enumerate(LATTICE) if kind in at), F.lit(0))
+    long, double = (1 << LATTICE.index((kind, None)) for kind in ("long", "double"))
+    numbers = F.when(reads("long") > 0, long + double).otherwise(reads("double"))  # every whole number is a number
+    mark = F.when(F.substring(x, 1, 1).isin(*"0123456789+-."), reads("date") + numbers).otherwise(reads("boolean"))  # by the first letter: nothing else can be read
+    marks = values.withColumn("x", plain(x)).groupBy("i", F.when(x.isNotNull(), mark).alias("mark")).agg(F.count("*").alias("n")).collect() if names else []
     out = []
-    for i, c in enumerate(df.columns):
-        n = got[f"n{i}"]
-        fits = [k for k in range(len(LATTICE)) if n and got[f"n{i}_{k}"] >= (1 - tolerance) * n]
+    for i, c in zip(names, df.columns, strict=True):
+        own = [(m.mark, m.n) for m in marks if m.i == i]
+        total, n = sum(n for _, n in own), sum(n for mark, n in own if mark is not None)
+        read = [sum(n for mark, n in own if mark is not None and mark >> k & 1) for k in range(len(LATTICE))]
+        fits = [k for k in range(len(LATTICE)) if n and read[k] >= (1 - tolerance) * n]
         kind, form = LATTICE[fits[0]] if fits else ("string", None)
-        out.append(ColumnType(c, kind, form, got["rows"], got["rows"] - n, n - got[f"n{i}_{fits[0]}"] if fits else 0))
+        out.append(ColumnType(c, kind, form, total, total - n, n - read[fits[0]] if fits else 0))
     return out
 
 
 def typed(df: DataFrame, types: list[ColumnType]) -> DataFrame:
     """``df`` with each column read as its type; blank values and those that can't be read are null. Columns without a type stay."""
     known = {t.column: t for t in types}
-    return df.select(*(read_as(plain(F.col(f"`{c}`")), known[c].kind, known[c].form).alias(c) if c in known else F.col(f"`{c}`") for c in df.columns))
+    clean = df.select(*((plain(F.col(f"`{c}`")) if c in known else F.col(f"`{c}`")).alias(c) for c in df.columns))  # once, however often a reading looks at it
+    return clean.select(*(read_as(F.col(f"`{c}`"), known[c].kind, known[c].form).alias(c) if c in known else F.col(f"`{c}`") for c in df.columns))
 
 
 def read_typed_table(spark: SparkSession, path: str, sample_rows: int | None = 200_000, tolerance: float = 0.0) -> DataFrame:
