@@ -75,8 +75,9 @@ def alpha_points(mom: Column, demand_score: Column, critical: Column, high: Colu
     growth = F.when(mom.isNull(), 20.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(40.0), (mom + 30) / 60 * 40)))
     wanted = F.when(demand_score.isNull(), 17.5).otherwise(demand_score * 0.35)
     cost = F.least(F.lit(25), critical * COSTS["critical"] + high * COSTS["high"] + medium * COSTS["medium"])
-    score = 50 + (growth + wanted + 25 - cost - 50) * TRUST.get(analyses, 1.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1)
+    points, trust = growth + wanted + 25 - cost, TRUST.get(analyses, 1.0)
+    score = points if trust == 1.0 else 50 + (points - 50) * trust  # halves of the last digit are common: no step that blurs them
+    return F.round(10 * F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))) / 10
 
 
 def band(score: Column) -> Column:

@@ -49,6 +49,13 @@ def test_points_and_bands(spark):
     assert [r.b for r in bands] == ["strong buy", "strong buy", "buy", "buy", "neutral", "caution", "risk", "risk"]
 
 
+def test_points_that_end_in_a_half(spark):
+    """91 times 0.35 and 25 are 56.85; by way of 50 and back it was 56.849999999999994."""
+    df = spark.createDataFrame([(-72.1, 91.0), (-6.3, 53.0), (-34.0, 81.0)], "mom double, demand double")
+    none = F.lit(0)
+    assert [r.p for r in df.select(d.alpha_points(F.col("mom"), F.col("demand"), none, none, none).alias("p")).collect()] == [56.9, 59.4, 53.4]
+
+
 def test_dashboard_has_every_company(spark):
     panel = _panel(spark, calm=[(100 + i, 10 + i) for i in range(8)], wild=[(100, 10)] * 8 + [(900, 10)], new=[(5, 1)])
     got = {r.company: r for r in d.dashboard(panel, threshold=2.0, window=9).collect()}
