@@ -5,6 +5,8 @@ All features go through the chain as rows of one long table, so that it is plann
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from quillon.operators.ranks import percentiles, settled
 
 FEATURES = ("yoy", "delta", "smooth3", "z6", "tx_yoy", "atv", "atv_yoy", "price_effect")
 #: Rows of prices that each horizon spans, and the days within which a price must follow the signal.
+KINDS = ("raw", "excess", "sector_rel")
 HORIZONS = {"1m": 21, "3m": 63, "6m": 126}
 TOLERANCE = 10
 COST = 15.0  # basis points of each sale and each purchase
@@ -36,25 +39,26 @@ def _forward(prices: DataFrame, keys: list[str], horizons: dict[str, int], out:
     return wide.unpivot([*keys, "day"], list(horizons), "horizon", out)
 
 
-def targets(prices: DataFrame, index: DataFrame, sectors: DataFrame, days: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
+def targets(prices: DataFrame, index: DataFrame, sectors: DataFrame, days: DataFrame, horizons: dict[str, int] = HORIZONS, kinds: Sequence[str] = KINDS) -> DataFrame:
     """``code, day, horizon, kind, target`` on the given ``days``: the return, less that of the index (a row a day, in one task), and
     less the median of the sector that day; without nulls. Every code of a sector counts for its median, with or without a signal."""
     own = _forward(prices.where("price IS NOT NULL"), ["code"], horizons, "raw").join(days.distinct(), "day", "left_semi").where("raw IS NOT NULL")
-    market = _forward(index.where("price IS NOT NULL"), [], horizons, "__index")
     rows = settled(own.join(sectors.select("code", "sector"), "code", "left"))
     medians = rows.where("sector IS NOT NULL").groupBy("day", "sector", "horizon").agg(F.median("raw").alias("__median"))
-    wide = rows.join(market, ["day", "horizon"], "left").join(medians, ["day", "sector", "horizon"], "left")
-    wide = wide.withColumns({"excess": F.col("raw") - F.col("__index"), "sector_rel": F.col("raw") - F.col("__median")})
-    return wide.unpivot(["code", "day", "horizon"], ["raw", "excess", "sector_rel"], "kind", "target").where("target IS NOT NULL").withColumn("target", F.round("target", DIGITS))
+    wide = rows.join(medians, ["day", "sector", "horizon"], "left").withColumn("sector_rel", F.col("raw") - F.col("__median")) if "sector_rel" in kinds else rows
+    if "excess" in kinds:
+        market = _forward(index.where("price IS NOT NULL"), [], horizons, "__index")
+        wide = wide.join(market, ["day", "horizon"], "left").withColumn("excess", F.col("raw") - F.col("__index"))
+    return wide.unpivot(["code", "day", "horizon"], list(kinds), "kind", "target").where("target IS NOT NULL").withColumn("target", F.round("target", DIGITS))
 
 
-def signals(panel: DataFrame, prices: DataFrame, sectors: DataFrame) -> DataFrame:
+def signals(panel: DataFrame, prices: DataFrame, sectors: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """``code, ym, day, sector, feature, value`` from ``code, ym, sales, tx``: features clipped at the month's tails and scaled within sectors, of rows
     that have a price within ten days of the day they are known (``day``); without nulls. Rows without a sector are left out."""
-    f = settled(factors.features(panel.where("code IS NOT NULL AND ym IS NOT NULL")))
+    f = settled(factors.features(panel.where("code IS NOT NULL AND ym IS NOT NULL")).select("code", "ym", *features))
     known = f.select("code", "ym", signal_day(F.col("ym")).alias("signal_day"))
     hits = asof_forward(known, prices.where("price IS NOT NULL").select("code", "day").distinct(), ["code"], "signal_day", "day", TOLERANCE).select("code", "ym", "day")
-    long = f.unpivot(["code", "ym"], list(FEATURES), "feature", "x").join(hits, ["code", "ym"]).join(sectors.select("code", "sector"), "code", "left")
+    long = f.unpivot(["code", "ym"], list(features), "feature", "x").join(hits, ["code", "ym"]).join(sectors.select("code", "sector"), "code", "left")
     scaled = factors.neutralised(long.withColumn("date", F.struct("ym", "feature")), "x", "value", ("winsorize", "sector_z"))
     return scaled.where("value IS NOT NULL").select("code", "ym", "day", "sector", "feature", F.round("value", DIGITS).alias("value"))
 

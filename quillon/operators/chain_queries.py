@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,16 @@ from quillon.operators.ranks import settled
 from quillon.sources.roles import facts, table
 
 
-def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers by region: signals of their monthly sales, returns of the mean price of their units against that of all orders."""
+def _chain(spark: SparkSession, sf_dir: str, features: Sequence[str] = chain.FEATURES, horizons: dict[str, int] = chain.HORIZONS, kinds: Sequence[str] = chain.KINDS) -> tuple[DataFrame, DataFrame]:
+    """Suppliers by region: signals of their monthly sales, returns of the mean price of their units against that of all orders; those that are read."""
     f = settled(facts(spark, sf_dir, {"dt", "code", "amt", "qty"}).groupBy("code", "dt").agg(F.sum("amt").alias("amt"), F.sum("qty").alias("qty"), F.count("*").alias("tx")))
     panel = f.groupBy("code", (F.year("dt") * 100 + F.month("dt")).alias("ym")).agg(F.sum("amt").alias("sales"), F.sum("tx").alias("tx"))
     prices = f.select("code", F.col("dt").alias("day"), (F.col("amt") / F.nullif("qty", F.lit(0.0))).alias("price"))
     index = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.avg("o_totalprice").alias("price"))
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     sectors = s.select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("n_regionkey").alias("sector"))
-    found = settled(chain.signals(panel, prices, sectors))
-    return found, settled(chain.targets(prices, index, sectors, found.select("day")))
+    found = settled(chain.signals(panel, prices, sectors, features))
+    return found, settled(chain.targets(prices, index, sectors, found.select("day"), horizons, kinds))
 
 
 def factor_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +30,18 @@ def factor_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("feature", "kind", "horizon", "n", *(F.round(c, 4).alias(c) for c in ("ic", "sd", "icir", "t", "hit")))
 
 
+def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest reads one feature and one target, so only these go through the chain."""
+    return chain.backtest(*_chain(spark, sf_dir, ("yoy",), {"1m": chain.HORIZONS["1m"]}, ("sector_rel",)), "yoy", "sector_rel", "1m")
+
+
 def factor_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chain.backtest(*_chain(spark, sf_dir))
+    out = _backtest(spark, sf_dir)
     return out.select("ym", "n", *((F.round(c, 4) + 0).alias(c) for c in ("low", "high", "ls", "turnover", "net")))
 
 
 def factor_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chain.performance(chain.backtest(*_chain(spark, sf_dir)))
+    out = chain.performance(_backtest(spark, sf_dir))
     return out.select("n", *((F.round(c, 4) + 0).alias(c) for c in out.columns[1:]))
 
 

@@ -54,6 +54,9 @@ def test_targets(spark):
     out = chain.targets(spark.createDataFrame(rows, PRICES), spark.createDataFrame(index, "day date, price double"), sectors, days, horizons).collect()
     got = {(r.code, r.day, r.horizon, r.kind): r.target for r in out}
     assert len(out) == len(got) and set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    for kinds in (("sector_rel",), ("raw",), ("excess",)):  # what isn't read isn't worked out
+        some = chain.targets(spark.createDataFrame(rows, PRICES), spark.createDataFrame(index, "day date, price double"), sectors, days, horizons, kinds).collect()
+        assert sorted(some) == sorted(r for r in out if r.kind in kinds)
     assert chain.targets(spark.createDataFrame([], PRICES), spark.createDataFrame([], "day date, price double"), sectors, days).count() == 0
 
 
@@ -65,6 +68,8 @@ def test_signals(spark):
     sectors = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", "x")], "code string, sector string")
     rows = chain.signals(spark.createDataFrame(panel, "code string, ym int, sales double, tx long"), spark.createDataFrame(prices, PRICES), sectors).collect()
     growth = {(r.code, r.ym): (r.day, r.value) for r in rows if r.feature == "yoy"}
+    one = chain.signals(spark.createDataFrame(panel, "code string, ym int, sales double, tx long"), spark.createDataFrame(prices, PRICES), sectors, ("yoy",)).collect()
+    assert sorted(one) == sorted(r for r in rows if r.feature == "yoy")
     assert {k: d for k, (d, _) in growth.items()} == {(c, ym): dt.date(2024, ym - 202400 + 1, 12) for c in "ab" for ym in (202401, 202402)}
     assert growth[("a", 202401)][1] == pytest.approx(-(0.5**0.5)) and growth[("b", 202401)][1] == pytest.approx(0.5**0.5)
     assert all(r.code in "ab" for r in rows)
