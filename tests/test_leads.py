@@ -23,6 +23,24 @@ def test_rank_correlations(spark):
         assert got[k].corr is None if want is None else math.isclose(got[k].corr, want, abs_tol=5.01e-4)
 
 
+def test_returns_research_measures_series_row_by_row(spark, monkeypatch):
+    """Gaps, nulls, ties and flat series, as the long way over every pair has them, without a row a pair and lag."""
+    rng = random.Random(9)
+    months = [y * 100 + m for y in (2020, 2021, 2022, 2023) for m in range(1, 13)]
+    signal = [(c, s, ym, float(rng.randint(-3, 3)) if s == "ties" else 1.0 if s == "flat" else rng.gauss(0, 1)) for c in "abc" for s in ("ties", "free", "flat") for ym in months if rng.random() < 0.9]
+    returns = [(c, ym, rng.choice([None, 0.0, rng.gauss(0, 1)])) for c in "abd" for ym in months if rng.random() < 0.9]
+    s = spark.createDataFrame(signal, "code string, signal string, ym int, value double").cache()
+    t = spark.createDataFrame(returns, "code string, ym int, target double").where("target IS NOT NULL").cache()
+    pairs = {(r.code, r.signal, r.lag): r for r in leads.rank_correlations(leads.lead_pairs(s, t.join(s.select("code", "signal").distinct(), "code"), ["code", "signal"], "ym", 6), ["code", "signal", "lag"], 12).collect()}
+    monkeypatch.setattr(leads, "lead_pairs", None)
+    rows = leads.returns_research(s, t).collect()
+    assert {(r.code, r.signal) for r in rows} == {(c, k) for c in "ab" for k in ("ties", "free")}
+    for r in rows:
+        want = pairs[(r.code, r.signal, r.lag)]
+        assert (r.full, r.n) == (want["corr"], want.n) and abs(r.hit - want.hit) < 0.011
+    assert leads.returns_research(s, t.where("code = 'd'")).count() == 0
+
+
 def test_returns_research_finds_the_planted_lead(spark):
     rng = random.Random(4)
     signal, returns = [], []
