@@ -32,6 +32,16 @@ def test_similar_pairs_by_brute_force(spark, cutoff):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_words_of_the_same_syllables_do_not_meet(spark, monkeypatch):
+    """Up to round 3 strings met by an equal half, so that candidates grew with the square of a vocabulary made of syllables."""
+    rnd = random.Random(8)
+    ends = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 4)) for _ in range(400)]
+    left, right = (spark.createDataFrame([("tion" + x,) for x in part] + [("tionsome" + x,) for x in part], "x string") for part in (ends[:200], ends[200:]))
+    near = similar.similar_pairs(left, "x", right, "x").count()
+    monkeypatch.setattr(F, "levenshtein", lambda a, b: F.lit(0))  # lets all candidates through
+    assert near <= similar.similar_pairs(left, "x", right, "x").count() < 12_000
+
+
 def test_closest_ties_and_bounds(spark):
     t = lambda *xs: spark.createDataFrame([(x,) for x in xs], "s string")
     got = {r.a: (r.b, r.ratio) for r in similar.closest(t("abcde", "zz"), "s", t("abcdx", "abcda", "qq"), "s").collect()}
