@@ -8,6 +8,7 @@ codes and make a column text; empty and blank values are null, and a column of n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +16,14 @@ from pyspark.sql import functions as F
 
 from quillon.sources.files import read_text_table
 
-#: Forms of dates: what a value looks like, how Spark reads it, and what is put behind it first. Years outside 1900 to 2100 aren't dates.
+#: Forms of dates: what a value looks like, and what is put behind it first. Years outside 1900 to 2100 aren't dates.
 FORMS = {
-    "yyyyMMdd": (r"^(19\d\d|20\d\d|2100)\d{4}$", "yyyyMMdd", ""),
-    "yyyyMM": (r"^(19\d\d|20\d\d|2100)\d{2}$", "yyyyMMdd", "01"),
-    "yyyy-MM-dd": (r"^(19\d\d|20\d\d|2100)-\d{2}-\d{2}$", "yyyy-MM-dd", ""),
-    "yyyy/MM/dd": (r"^(19\d\d|20\d\d|2100)/\d{2}/\d{2}$", "yyyy/MM/dd", ""),
-    "yyyy.MM.dd": (r"^(19\d\d|20\d\d|2100)\.\d{2}\.\d{2}$", "yyyy.MM.dd", ""),
-    "yyyy-MM": (r"^(19\d\d|20\d\d|2100)-\d{2}$", "yyyy-MM-dd", "-01"),
+    "yyyyMMdd": (r"^(19\d\d|20\d\d|2100)\d{4}$", ""),
+    "yyyyMM": (r"^(19\d\d|20\d\d|2100)\d{2}$", "01"),
+    "yyyy-MM-dd": (r"^(19\d\d|20\d\d|2100)-\d{2}-\d{2}$", ""),
+    "yyyy/MM/dd": (r"^(19\d\d|20\d\d|2100)/\d{2}/\d{2}$", ""),
+    "yyyy.MM.dd": (r"^(19\d\d|20\d\d|2100)\.\d{2}\.\d{2}$", ""),
+    "yyyy-MM": (r"^(19\d\d|20\d\d|2100)-\d{2}$", "-01"),
 }
 TRUE, FALSE = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
 
@@ -50,8 +51,13 @@ def read_as(x: Column, kind: str, form: str | None = None) -> Column:
     if kind == "boolean":
         return F.when(F.octet_length(x) <= 5, F.when(F.lower(x).isin(*TRUE), True).when(F.lower(x).isin(*FALSE), False))
     if kind == "date":
-        looks, pattern, behind = FORMS[form]
-        return F.when((F.octet_length(x) == len(form)) & x.rlike(looks), F.try_to_date(F.concat(x, F.lit(behind)), pattern))
+        looks, behind = FORMS[form]
+        mark = form.replace("y", "").replace("M", "").replace("d", "")[:1]
+        day = F.concat(x, F.lit(behind))  # its digits are known to be in place, so that a cast reads it
+        day = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2)) if not mark else day if mark == "-" else F.replace(day, F.lit(mark), F.lit("-"))
+        same = F.octet_length(x) == len(form)
+        same = same & (F.substring(x, 5, 1) == mark) if mark else same
+        return F.when(same & x.rlike(looks), day.try_cast("date"))
     if kind == "long":
         return F.when(x.rlike(r"^[+-]?(0|[1-9]\d{0,2}(,\d{3})+|[1-9]\d*)$"), F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
     if kind == "double":
@@ -59,6 +65,12 @@ def read_as(x: Column, kind: str, form: str | None = None) -> Column:
     return x
 
 
+def _apart(x: Column, read: Callable[[Column], Column]) -> Column:
+    """``read(x)`` in a lambda. Spark joins the expressions of a projection to one method of generated code, which the JVM does not compile
+    for wide rows; a projection with a lambda is left out of that, and its expressions become methods of their own."""
+    return F.transform(F.array(x), lambda v: read(v))[0]
+
+
 #: What a column may be, the most special first.
 LATTICE = [("boolean", None), *(("date", f) for f in FORMS), ("long", None), ("double", None)]
 
@@ -89,9 +101,11 @@ def infer_types(df: DataFrame, sample_rows: int | None = None, tolerance: float
 
 def typed(df: DataFrame, types: list[ColumnType]) -> DataFrame:
     """``df`` with each column read as its type; blank values and those that can't be read are null. Columns without a type stay."""
-    known = {t.column: t for t in types}
-    clean = df.select(*((plain(F.col(f"`{c}`")) if c in known else F.col(f"`{c}`")).alias(c) for c in df.columns))  # once, however often a reading looks at it
-    return clean.select(*(read_as(F.col(f"`{c}`"), known[c].kind, known[c].form).alias(c) if c in known else F.col(f"`{c}`") for c in df.columns))
+    known, name = {t.column: t for t in types}, lambda c: F.col(f"`{c}`")
+    first = next((c for c in df.columns if c in known), None)
+    put = lambda c, read: (name(c) if c not in known else _apart(name(c), read) if c == first else read(name(c))).alias(c)
+    clean = df.select(*(put(c, plain) for c in df.columns))  # once, however often a reading looks at it
+    return clean.select(*(put(c, lambda x, c=c: read_as(x, known[c].kind, known[c].form)) for c in df.columns))
 
 
 def read_typed_table(spark: SparkSession, path: str, sample_rows: int | None = 200_000, tolerance: float = 0.0) -> DataFrame:

@@ -11,6 +11,9 @@ from quillon.sources import types
 from quillon.sources.roles import parse_day
 
 
+DAYS = {"yyyyMMdd": "20240229", "yyyyMM": "202402", "yyyy-MM-dd": "2024-02-29", "yyyy/MM/dd": "2024/02/29", "yyyy.MM.dd": "2024.02.29", "yyyy-MM": "2024-02"}
+
+
 def _types(spark, columns: dict[str, list], **kw) -> dict[str, tuple]:
     rows = list(zip(*columns.values(), strict=True))
     df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
@@ -61,6 +64,19 @@ def test_a_wide_table_takes_no_aggregate_per_column_and_type(spark):
     assert sum(planned) < 30
 
 
+def test_readings_of_wide_rows_are_not_one_method(spark):
+    """Up to round 3 all columns' readings were one method of generated code, too long for the JVM to compile."""
+    values = {"long": ["1,234", "x"], "double": ["1.5", "."], "boolean": ["Y", "?"], "string": [" a ", " "], **{f: [day, "2023" + day[4:]] for f, day in DAYS.items()}}
+    kinds = [types.ColumnType(c, "date" if c in DAYS else c, c if c in DAYS else None, 2, 0, 0) for c in values]
+    out = types.typed(spark.createDataFrame(list(zip(*values.values(), strict=True)), ", ".join(f"`{c}` string" for c in values)), kinds)
+    leap, month = dt.date(2024, 2, 29), dt.date(2024, 2, 1)
+    assert [tuple(r) for r in out.collect()] == [
+        (1234, 1.5, True, "a", *(leap if "d" in f else month for f in DAYS)), (None, None, None, None, *(None if "d" in f else dt.date(2023, 2, 1) for f in DAYS)),
+    ]
+    readings = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "RLIKE" in x]
+    assert readings and not [x for x in readings if "*(" in x]
+
+
 def test_files_with_types(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿day,code,amount,note\n20240105,0012,\"1,200\",x\n20240106,0013,,\n", "utf-8")
     (tmp_path / "b.csv").write_text("day;code;amount;note\n20240107;0014;7.5;한글\n", "cp949")
