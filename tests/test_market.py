@@ -140,3 +140,18 @@ def test_review_queue_equal_sales_go_by_name(spark):
     df = spark.createDataFrame(rows, "brand string, amt double").coalesce(1)
     got = universe.review_queue(df, ["brand"], "amt", F.lit(False)).orderBy("place").collect()
     assert [r.brand for r in got] == ["a", "b", "c"] and len({r.sales for r in got}) == 1
+
+
+def test_delivery_facts_sort_by_a_number_first(spark):
+    """Up to round 3 the tiers were sorted by names alone, which begin alike, so that every comparison read whole rows."""
+    rows = [("a", None, 1, 202301, 10.0, 1.0), ("a", None, 1, 202301, 5.0, 1.0), ("a", None, 1, 202302, 30.0, 2.0), ("a", "b", None, 202401, 45.0, 3.0), (None, None, None, 202401, 7.0, 1.0)]
+    out = market.delivery_facts(spark.createDataFrame(rows, "company string, brand string, sku long, ym int, amt double, qty double"))
+    got = {(r.tier, r.company, r.brand, r.sku, r.ym): (r.sales, r.yoy, r.mom) for r in out.collect()}
+    assert got == {
+        ("sku", "a", None, 1, 202301): (15.0, None, None), ("sku", "a", None, 1, 202302): (30.0, None, 100.0), ("sku", "a", "b", None, 202401): (45.0, None, None), ("sku", None, None, None, 202401): (7.0, None, None),
+        ("brand", "a", None, None, 202301): (15.0, None, None), ("brand", "a", None, None, 202302): (30.0, None, 100.0), ("brand", "a", "b", None, 202401): (45.0, None, None), ("brand", None, None, None, 202401): (7.0, None, None),
+        ("company", "a", None, None, 202301): (15.0, None, None), ("company", "a", None, None, 202302): (30.0, None, 100.0), ("company", "a", None, None, 202401): (45.0, 200.0, None), ("company", None, None, None, 202401): (7.0, None, None),
+    }
+    sorts = [x.split("Sort [")[1] for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Sort [" in x] or [x.split("Window [")[1].split("], [")[1] for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window [" in x]
+    assert len(sorts) == 3 and all(x.startswith("__h") for x in sorts)
+    assert "__h" not in out.columns
