@@ -13,20 +13,29 @@ from quillon.operators.ranks import settled
 from quillon.sources.roles import facts, table
 
 
-def _chain(spark: SparkSession, sf_dir: str, features: Sequence[str] = chain.FEATURES, horizons: dict[str, int] = chain.HORIZONS, kinds: Sequence[str] = chain.KINDS) -> tuple[DataFrame, DataFrame]:
-    """Suppliers by region: signals of their monthly sales, returns of the mean price of their units against that of all orders; those that are read."""
-    f = settled(facts(spark, sf_dir, {"dt", "code", "amt", "qty"}).groupBy("code", "dt").agg(F.sum("amt").alias("amt"), F.sum("qty").alias("qty"), F.count("*").alias("tx")))
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Suppliers by region: their monthly sales, the mean price of their units by day, that of all orders, and their sectors."""
+    lines = facts(spark, sf_dir, {"dt", "code", "amt", "qty"}).repartition("code")  # a code's days stay together, as it is read by code
+    f = settled(lines.groupBy("code", "dt").agg(F.sum("amt").alias("amt"), F.sum("qty").alias("qty"), F.count("*").alias("tx")).sortWithinPartitions("code", "dt"))
     panel = f.groupBy("code", (F.year("dt") * 100 + F.month("dt")).alias("ym")).agg(F.sum("amt").alias("sales"), F.sum("tx").alias("tx"))
     prices = f.select("code", F.col("dt").alias("day"), (F.col("amt") / F.nullif("qty", F.lit(0.0))).alias("price"))
     index = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.avg("o_totalprice").alias("price"))
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     sectors = s.select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("n_regionkey").alias("sector"))
+    return panel, prices, index, sectors
+
+
+def _chain(spark: SparkSession, sf_dir: str, features: Sequence[str] = chain.FEATURES, horizons: dict[str, int] = chain.HORIZONS, kinds: Sequence[str] = chain.KINDS) -> tuple[DataFrame, DataFrame]:
+    """Signals of monthly sales, and returns of the price against that of all orders; those that are read."""
+    panel, prices, index, sectors = _tables(spark, sf_dir)
     found = settled(chain.signals(panel, prices, sectors, features))
     return found, settled(chain.targets(prices, index, sectors, found.select("day"), horizons, kinds))
 
 
 def factor_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chain.lag_decay(*_chain(spark, sf_dir))
+    panel, prices, index, sectors = _tables(spark, sf_dir)
+    found = chain.wide_signals(panel, prices, sectors).drop("sector")
+    out = chain.wide_lag_decay(chain.wide_targets(prices, index, sectors, found.select("day"), found=found))
     return out.select("feature", "kind", "horizon", "n", *(F.round(c, 4).alias(c) for c in ("ic", "sd", "icir", "t", "hit")))
 
 

@@ -109,3 +109,31 @@ def test_fifths(spark):
     rows = spark.createDataFrame([("g", v) for v in (1.0, 1.0, 1.0, 1.0, 2.0, 3.0)] + [("few", 1.0)] + [(None, float(i)) for i in range(5)], "g string, v double")
     got = sorted((r.g, r.v, r.q) for r in chain.fifths(rows.where("g IS NOT NULL"), ["g"], "v").collect())
     assert got == [("g", 1.0, 1)] * 4 + [("g", 2.0, 1), ("g", 3.0, 2)]
+
+
+def test_wide_lag_decay(spark):
+    """One row a code and month gives what the long tables of pairs give, and the pairs of features and targets are never rows that move."""
+    draw = random.Random(8)
+    months = [2022 * 100 + m for m in range(1, 13)] + [2023 * 100 + m for m in range(1, 13)]
+    codes = [f"c{i}" for i in range(16)]
+    panel = spark.createDataFrame([(c, ym, float(draw.randint(0, 9)), draw.randint(1, 3)) for c in codes for ym in months if draw.random() < 0.95], "code string, ym int, sales double, tx long")
+    prices = spark.createDataFrame([(c, dt.date(2022, 1, 1) + dt.timedelta(d), draw.choice([None, 0.0, 5.0, draw.uniform(5, 9)])) for c in codes for d in range(0, 800, 2)], PRICES)
+    index = spark.createDataFrame([(dt.date(2022, 1, 1) + dt.timedelta(d), draw.uniform(5, 9)) for d in range(0, 760, 2)], "day date, price double")
+    sectors = spark.createDataFrame([(c, None if c == "c0" else int(c[1:]) % 2) for c in codes], "code string, sector int")
+    found = chain.wide_signals(panel, prices, sectors).drop("sector")
+    wide = chain.wide_lag_decay(chain.wide_targets(prices, index, sectors, found.select("day"), found=found))
+    signals = chain.signals(panel, prices, sectors)
+    long = chain.lag_decay(signals, chain.targets(prices, index, sectors, signals.select("day")))
+    key = lambda r: (r.feature, r.kind, r.horizon)
+    got, want = sorted(wide.collect(), key=key), sorted(long.select(wide.columns).collect(), key=key)
+    assert len(want) >= 50 and [(*key(r), r.n) for r in got] == [(*key(r), r.n) for r in want]
+    assert all(a[c] == pytest.approx(b[c], abs=1e-9) for a, b in zip(got, want, strict=True) for c in ("ic", "sd", "icir", "t", "hit"))
+    assert chain.wide_lag_decay(chain.wide_targets(prices.limit(0), index, sectors, found.select("day"), found=found)).count() == 0
+
+
+def test_factor_decay_moves_a_row_once(spark, sf):
+    """Up to round 3 every pair of a feature and a target was a row, shuffled and sorted for its rank."""
+    from quillon.operators import chain_queries
+
+    plan = chain_queries.factor_decay(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "rank(" not in plan

@@ -88,3 +88,20 @@ def test_rank_correlations_of_very_many_pairs(spark):
     row = leads.rank_correlations(pairs, ["k"], 5, None).first()
     a, b = list(range(n)), [3 * i % n for i in range(n)]
     assert row.n == n and math.isclose(row["corr"], (n * sum(map(int.__mul__, a, b)) - sum(a) * sum(b)) / (n * sum(x * x for x in a) - sum(a) ** 2), rel_tol=1e-9)
+
+
+def test_rank_correlation_grid(spark):
+    """Every column against every other as ``rank_correlations`` has their pairs: ties, nulls, signed zeros, flat columns, few rows, a group without a key."""
+    rng = random.Random(4)
+    cell = lambda kind: None if rng.random() < 0.2 else {"ties": float(rng.randint(-1, 1)), "free": rng.gauss(0, 1), "flat": 1.0, "zero": rng.choice([0.0, -0.0, 1.0])}[kind]
+    rows = [(k, *(cell(c) for c in ("ties", "free", "flat", "zero")), *(cell(c) for c in ("free", "ties"))) for k, n in ((1, 60), (2, 9), (3, 4), (None, 30)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k int, ties double, free double, flat double, zero double, y1 double, y2 double")
+    left, right = ["ties", "free", "flat", "zero"], ["y1", "y2"]
+    got = {(r.k, r.x, r.y): (r.n, r["corr"]) for r in leads.rank_correlation_grid(df, ["k"], left, right, 5).collect()}
+    want = {}
+    for x in left:
+        for y in right:
+            pairs = df.select("k", F.col(x).alias("a"), F.col(y).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+            want |= {(r.k, x, y): (r.n, r["corr"]) for r in leads.rank_correlations(pairs, ["k"], 5, None).where("corr IS NOT NULL").collect()}
+    assert len(want) > 10 and got == want
+    assert leads.rank_correlation_grid(df.limit(0), ["k"], left, right, 5).count() == 0

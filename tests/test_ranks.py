@@ -50,3 +50,16 @@ def test_discovery_rates(spark):
     for r in rows:
         at = order.index(r.id)
         assert math.isclose(r.q, min(1.0, min(ps[order[k]] * 200 / (k + 1) for k in range(at, 200))), rel_tol=1e-12, abs_tol=1e-15)
+
+
+def test_percentiles_of_few_groups_move_wanted_steps_only(spark):
+    """The same percentiles, without a shuffle of all values: rows of other steps than the wanted ones are dropped by a broadcast."""
+    rng = random.Random(6)
+    rows = [(g, rng.choice([2.0, -2.0, None, rng.expovariate(1e-3)])) for g, n in (("a", 300), (None, 77), ("one", 1), ("b", 2)) for _ in range(n)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"lo": 0.0, "q": 0.3, "hi": 1.0}
+    plain = {r.g: tuple(r) for r in percentiles(df, ["g"], "v", shares).collect()}
+    assert {r.g: tuple(r) for r in percentiles(df, ["g"], "v", shares, few=True).collect()} == plain and len(plain) == 5
+    assert percentiles(df.where("false"), ["g"], "v", shares, few=True).count() == 0
+    plan = lambda **few: percentiles(df, ["g"], "v", shares, **few)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few=True) and "LeftSemi" in plan(few=True) and "LeftSemi" not in plan()
