@@ -24,6 +24,11 @@ SPICY = ("불닭", "매운", "마라", "spicy", "buldak", "hot", "mala")
 HOT = 0.2
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded as the double that it is: 16384.045 lies below its half, though its shortest text ends in one."""
+    return F.round(x * 10**digits) / 10**digits
+
+
 def score_candidates(candidates: DataFrame, caps: DataFrame) -> DataFrame:
     """``candidates`` (``company, code, listed, segment, sub_sector``) with ``cap``, the parts of the score, ``score`` (0 to 100) and ``rank``
     (equal scores by company, then code). ``caps`` has ``code, cap``; of several the greatest counts, missing ones are 0. Size is the logarithm of the
@@ -35,11 +40,11 @@ def score_candidates(candidates: DataFrame, caps: DataFrame) -> DataFrame:
     rows = min_max(rows.withColumn("__log", F.log1p("cap")), "__log", "size").join(F.broadcast(known))
     alone = F.when(F.col("listed"), 0.5).otherwise(0.0)
     rows = rows.withColumns({"size": F.when(F.col("__known"), F.col("size")).otherwise(alone), "__by": F.when(F.col("__known"), F.col("cap")).otherwise(alone)})
-    rows = representativeness(rows, "sub_sector", [F.desc("__by"), F.asc("company")])
+    rows = representativeness(rows, "sub_sector", [F.desc("__by"), F.asc("company"), F.asc("code")])
     priority = F.create_map(*(F.lit(x) for pair in SEGMENTS.items() for x in pair))
     segment = F.coalesce(F.try_element_at(priority, F.coalesce("segment", F.lit(""))), F.lit(OTHER_SEGMENT))
     rows = rows.withColumns({"segment_score": segment, "listed_score": F.when(F.col("listed"), 1.0).otherwise(0.0)})
-    score = F.round(100 * sum((weight * F.col(c) for c, weight in PARTS.items()), F.lit(0.0)), 1)
+    score = _rounded(100 * sum((weight * F.col(c) for c, weight in PARTS.items()), F.lit(0.0)), 1)
     ranked = positions(settled(rows.withColumn("score", score)), "score", ["company", "code"])
     return ranked.withColumnRenamed("pos", "rank").drop("__log", "__known", "__by", "rnk", "run")
 
@@ -50,7 +55,7 @@ def _reason() -> Column:
     listed = F.when(F.col("listed"), F.when(code != "", F.concat(F.lit("listed ("), code, F.lit(")"))).otherwise("listed")).otherwise("unlisted")
     given = lambda c, text: F.when(F.trim(c) != "", text)
     place = given("sub_sector", F.concat("sub_sector", F.lit(" place "), F.round("sector_rep", 2).cast("string")))
-    cap = F.when(F.col("cap") > 0, F.concat(F.lit("cap "), F.round(F.col("cap") / 1e12, 2).cast("decimal(18,2)").cast("string"), F.lit("T")))
+    cap = F.when(F.col("cap") > 0, F.concat(F.lit("cap "), _rounded(F.col("cap") / 1e12, 2).cast("decimal(18,2)").cast("string"), F.lit("T")))
     return F.concat_ws(", ", listed, place, given("segment", F.concat(F.lit("segment "), "segment")), cap, F.concat(F.lit("score "), F.col("score").cast("string")))
 
 

@@ -82,3 +82,23 @@ def test_companies_of_one_name_are_not_multiplied(spark):
     scored = choice.score_candidates(spark.createDataFrame(rows, "company string, code string, listed boolean, segment string, sub_sector string"), caps)
     out = choice.select_universe(scored, n=3, watch=1).orderBy("rank").collect()
     assert [r.status for r in out] == ["selected"] * 3 + ["watch", "excluded"]
+
+
+def test_caps_are_rounded_as_doubles(spark):
+    """Sums that end in 5.00, as thousands: half of a hundredth in their text, more or less than that as doubles."""
+    import duckdb
+
+    sums = [11_000_005 + 370_010 * i for i in range(30)] + [16_384_045]
+    rows = [(f"c{i:02d}", f"{i:06d}", True, "ramen", "x") for i in range(len(sums))]
+    caps = spark.createDataFrame([(r[1], 1e9 * s) for r, s in zip(rows, sums, strict=True)], "code string, cap double")
+    out = choice.select_universe(choice.score_candidates(spark.createDataFrame(rows, CANDIDATES), caps))
+    got = {r.company: r.reason.split("cap ")[1].split("T")[0] for r in out.collect()}
+    want = {r[0]: str(duckdb.execute("SELECT CAST(round(1e9::DOUBLE * ?::DOUBLE / 1e12::DOUBLE, 2) AS DECIMAL(18, 2))", [s]).fetchall()[0][0]) for r, s in zip(rows, sums, strict=True)}
+    assert got == want and got["c30"] == "16384.04"
+
+
+def test_places_of_one_name_go_by_code(spark):
+    rows = [("a", f"{i:06d}", True, "ramen", "x") for i in (3, 1, 2, 0)]
+    caps = spark.createDataFrame([(r[1], 5.0) for r in rows], "code string, cap double")
+    got = {r.code: r.sector_rep for r in choice.score_candidates(spark.createDataFrame(rows, CANDIDATES).coalesce(1), caps).collect()}
+    assert got == {f"{i:06d}": pytest.approx(1 / (i + 1)) for i in range(4)}
